@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cairnflow.llm import cooccurrence, runs, splitting
+from cairnflow.llm import cooccurrence, leakage, runs, splitting, tokenizing
 from cairnflow.sources.tables import table
 
 
@@ -34,6 +34,28 @@ def p7_found(spark, sf_dir):
     )
 
 
+def p8_ids(spark, sf_dir):
+    return tokenizing.encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p9_leaks(spark, sf_dir):
+    return leakage.leaked_items(
+        table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text"
+    )
+
+
+def p9_found(spark, sf_dir):
+    return p9_leaks(spark, sf_dir).filter("exact").select("doc_id", "item_id")
+
+
+def p9_near(spark, sf_dir):
+    """Proximity matches: 11 of 13 words, each within one word of its place."""
+    return leakage.leaked_items(
+        table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text",
+        min_terms=11, slop=1,
+    ).select("doc_id", "item_id", "n_hits")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_runs": p1_runs,
@@ -41,6 +63,10 @@ QUERIES = {
     "p6_pieces": p6_pieces,
     "p7_found": p7_found,
     "p7_associations": p7_associations,
+    "p8_ids": p8_ids,
+    "p9_found": p9_found,
+    "p9_leaks": p9_leaks,
+    "p9_near": p9_near,
 }
 
 _P1 = """
@@ -76,10 +102,23 @@ done AS (
   WHERE n_ab >= 5 AND n_ab * 500 >= n.n AND n_ab * n.n >= 4 * fa.k * fb.k)
 """
 
+_P9 = """
+WITH d AS (SELECT doc_id, string_split_regex(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ') AS w
+           FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, string_split_regex(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ') AS w
+      FROM eval_items WHERE text IS NOT NULL),
+dw AS (SELECT doc_id, array_to_string(w[k : k + 12], ' ') AS gram
+       FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) AS k FROM d)),
+iw AS (SELECT DISTINCT item_id, array_to_string(w[k : k + 12], ' ') AS gram
+       FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - 12)) AS k FROM i))
+SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (gram)
+"""
+
 SQL = {
     "p1_found": _P1 + "SELECT first_id, last_id FROM done",
     "p1_runs": _P1 + "SELECT * FROM done",
     "p6_found": "SELECT DISTINCT id FROM raw_memories WHERE length(content) > 4000",
     "p7_found": _P7 + "SELECT item_a AS concept_a, item_b AS concept_b FROM done",
     "p7_associations": _P7 + "SELECT * FROM done",
+    "p9_found": _P9,
 }
