@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cairnflow.llm import cooccurrence, leakage, runs, splitting, tokenizing
+from cairnflow.llm import cooccurrence, leakage, quality, runs, splitting, tokenizing
 from cairnflow.sources.tables import table
 
 
@@ -56,6 +56,14 @@ def p9_near(spark, sf_dir):
     ).select("doc_id", "item_id", "n_hits")
 
 
+def p10_quality(spark, sf_dir):
+    return quality.text_quality(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p10_found(spark, sf_dir):
+    return p10_quality(spark, sf_dir).filter("kind <> 'prose'").select("doc_id", "kind")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_runs": p1_runs,
@@ -67,6 +75,8 @@ QUERIES = {
     "p9_found": p9_found,
     "p9_leaks": p9_leaks,
     "p9_near": p9_near,
+    "p10_found": p10_found,
+    "p10_quality": p10_quality,
 }
 
 _P1 = """
