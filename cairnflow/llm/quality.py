@@ -65,6 +65,7 @@ REPETITION, REPETITION_CHARS = 0.13, 200
 _WORD = re.compile(r"[^\W_]+")
 _MARK = re.compile(r"\s*(?:[-*•–—+·▪◦‣►○●✓✗]|\d{1,3}[.)]|[A-Za-z][.)]|[ivxIVX]{1,5}[.)]|\(\w{1,3}\)|\[[ xX]\])\s+(?=\S)")
 _RULE = re.compile(r"\s*[|+:][-+=|: ]{3,}[|+:]?\s*|\s*[-=]{3,}(?:\s+[-=]{3,})+\s*")
+_RULED = re.compile(r"^[|+][-=+|: ]{6,}[|+]$", re.M)
 _GAPS = re.compile(r"(?<=\S) {2,}(?=\S)")
 _QUOTED = re.compile(r'"[^"\n]*"')
 _ENDS = re.compile(r"[.!?…:;,。！？](?:[\"'”’»)\]]*)\s*$")
@@ -130,6 +131,8 @@ def class_shares(counts: Counter) -> list[float]:
             plain += k
         elif c in "-_/()–—":
             joins += k
+    if capital > 3 * small:  # a text in capitals
+        small, capital = capital, small
     n = sum(counts.values()) or 1
     return [x / n for x in (small, capital, digits, blanks, plain, joins, n - small - capital - digits - blanks - plain - joins)]
 
@@ -147,7 +150,7 @@ def is_noise(text: str) -> bool:
 def is_symbols(counts: Counter, text: str) -> bool:
     """Whether hardly any letter or digit stands among the signs, and no ruled table explains it."""
     small, capital, digits, blanks, *_ = class_shares(counts)
-    return small + capital + digits < 0.25 * (1 - blanks) and "+---" not in text and "|---" not in text
+    return small + capital + digits < 0.25 * (1 - blanks) and not _RULED.search(text)
 
 
 def _separators(line: str) -> dict[str, int]:

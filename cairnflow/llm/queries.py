@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cairnflow.llm import cooccurrence, leakage, quality, runs, splitting, tokenizing
+from cairnflow.llm import cooccurrence, leakage, near_duplicates, quality, runs, splitting, tokenizing
 from cairnflow.sources.tables import table
 
 
@@ -16,6 +16,25 @@ def p1_found(spark, sf_dir):
     return p1_runs(spark, sf_dir).select("first_id", "last_id")
 
 
+def _observations_and_memories(spark, sf_dir):
+    raw, memories = table(spark, sf_dir, "raw_memories"), table(spark, sf_dir, "memories")
+    return raw.select("id", "content").unionByName(memories.select("id", "content"))
+
+
+def _p5(spark, sf_dir):
+    return near_duplicates.near_duplicates(
+        _observations_and_memories(spark, sf_dir), "id", "content", threshold=0.6, shingle=3, min_words=30
+    )
+
+
+def p5_found(spark, sf_dir):
+    return _p5(spark, sf_dir).pairs()
+
+
+def p5_documents(spark, sf_dir):
+    return _p5(spark, sf_dir).documents()
+
+
 def p6_pieces(spark, sf_dir):
     return splitting.split_items(table(spark, sf_dir, "raw_memories"), "id", "content")
 
@@ -67,6 +86,8 @@ def p10_found(spark, sf_dir):
 QUERIES = {
     "p1_found": p1_found,
     "p1_runs": p1_runs,
+    "p5_found": p5_found,
+    "p5_documents": p5_documents,
     "p6_found": p6_found,
     "p6_pieces": p6_pieces,
     "p7_found": p7_found,
