@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cairnflow.llm import cooccurrence, leakage, near_duplicates, quality, runs, splitting, tokenizing
+from cairnflow.llm import cooccurrence, leakage, near_duplicates, quality, runs, splitting, tokenizing, vectors
 from cairnflow.sources.tables import table
 
 
@@ -16,6 +16,18 @@ def p1_found(spark, sf_dir):
     return p1_runs(spark, sf_dir).select("first_id", "last_id")
 
 
+def p3_nearest(spark, sf_dir):
+    return vectors.nearest(table(spark, sf_dir, "memories"), "id", "embedding", dim=128, k=5, least=0.8)
+
+
+def p3_found(spark, sf_dir):
+    return (
+        p3_nearest(spark, sf_dir)
+        .select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b"))
+        .distinct()
+    )
+
+
 def _observations_and_memories(spark, sf_dir):
     raw, memories = table(spark, sf_dir, "raw_memories"), table(spark, sf_dir, "memories")
     return raw.select("id", "content").unionByName(memories.select("id", "content"))
@@ -86,6 +98,8 @@ def p10_found(spark, sf_dir):
 QUERIES = {
     "p1_found": p1_found,
     "p1_runs": p1_runs,
+    "p3_found": p3_found,
+    "p3_nearest": p3_nearest,
     "p5_found": p5_found,
     "p5_documents": p5_documents,
     "p6_found": p6_found,
