@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cairnflow.llm import cooccurrence, leakage, near_duplicates, quality, runs, splitting, tokenizing, vectors
+from cairnflow.llm import cooccurrence, credentials, leakage, near_duplicates, quality, runs, splitting, tokenizing, vectors
 from cairnflow.sources.tables import table
 
 
@@ -16,6 +16,15 @@ def p1_found(spark, sf_dir):
     return p1_runs(spark, sf_dir).select("first_id", "last_id")
 
 
+def p2_redacted(spark, sf_dir):
+    """Both fields of every observation, redacted, with the places of the secrets."""
+    return credentials.redact_credentials(table(spark, sf_dir, "raw_memories"), "id", ("content", "metadata"))
+
+
+def p2_found(spark, sf_dir):
+    return credentials.found_secrets(table(spark, sf_dir, "raw_memories"), "id", ("content", "metadata"))
+
+
 def p3_nearest(spark, sf_dir):
     return vectors.nearest(table(spark, sf_dir, "memories"), "id", "embedding", dim=128, k=5, least=0.8)
 
@@ -98,6 +107,8 @@ def p10_found(spark, sf_dir):
 QUERIES = {
     "p1_found": p1_found,
     "p1_runs": p1_runs,
+    "p2_found": p2_found,
+    "p2_redacted": p2_redacted,
     "p3_found": p3_found,
     "p3_nearest": p3_nearest,
     "p5_found": p5_found,
