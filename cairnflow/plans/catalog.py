@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cairnflow.plans import problem_queries
+from cairnflow.plans import problem_queries, retrieval_queries
 
-_MODULES = [problem_queries]
+_MODULES = [problem_queries, retrieval_queries]
 
 
 def queries() -> dict:

@@ -21,7 +21,7 @@ def canon(df: pd.DataFrame) -> list[str]:
         if isinstance(v, (list, tuple)) or hasattr(v, "tolist") and not isinstance(v, (int, float)):
             v = v.tolist() if hasattr(v, "tolist") else list(v)
             return str([one(x) for x in v]) if isinstance(v, list) else one(v)
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return "null"
         if isinstance(v, bool):
             return str(v)
