@@ -19,7 +19,7 @@ def undirected(edges: DataFrame) -> DataFrame:
 def degrees(edges: DataFrame) -> DataFrame:
     both = undirected(edges)
     return both.groupBy("node").agg(
-        F.count(F.lit(1)).alias("degree"), F.round(F.avg("strength"), 6).alias("avg_strength"), F.max("strength").alias("max_strength")
+        F.count(F.lit(1)).alias("degree"), F.round(F.sum("strength"), 4).alias("total_strength"), F.max("strength").alias("max_strength")
     )
 
 
