@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cairnflow.plans import lifecycle_queries, problem_queries, retrieval_queries, store_queries
+from cairnflow.plans import analytics_queries, cluster_queries, lifecycle_queries, problem_queries, retrieval_queries, store_queries
 
-_MODULES = [problem_queries, retrieval_queries, store_queries, lifecycle_queries]
+_MODULES = [problem_queries, retrieval_queries, store_queries, lifecycle_queries, analytics_queries, cluster_queries]
 
 
 def queries() -> dict:
