@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cairnflow.functions import exprs as X
+from cairnflow.sources.tables import materialize
 
 K1, B = 1.2, 0.75
 #: Queries compared with the vectors in one pass.
@@ -16,11 +17,12 @@ QUERY_BLOCK = 4096
 
 
 def postings(docs: DataFrame, doc_id: str, text: Column) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, term, tf) and (doc_id, length) of the documents that have a token."""
-    words = docs.select(F.col(doc_id).alias("doc_id"), X.tokens(text).alias("w"))
-    lists = words.select("doc_id", F.explode("w").alias("term")).groupBy("doc_id", "term")
-    lengths = words.select("doc_id", F.size("w").alias("length")).filter("length > 0")
-    return lists.agg(F.count(F.lit(1)).alias("tf")), lengths
+    """(doc_id, term, tf) and (doc_id, length) of the documents that have a token.
+
+    The posting lists are read several times by a search, so they are written once."""
+    words = docs.select(F.col(doc_id).alias("doc_id"), F.explode(X.tokens(text)).alias("term"))
+    lists = materialize(words.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    return lists, lists.groupBy("doc_id").agg(F.sum("tf").alias("length"))
 
 
 def bm25(

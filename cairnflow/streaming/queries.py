@@ -88,7 +88,7 @@ def anchored_episodes(stream: DataFrame, key: str, ts: str, minutes: float, dela
             state.remove()
         yield pd.DataFrame(out, columns=[key, "start", "end", "n_events"])
 
-    slim = stream.withWatermark(ts, delay).select(key, F.col(ts).cast("timestamp").alias("_t"), ts)
+    slim = stream.select(key, F.col(ts).cast("timestamp").alias("_t")).withWatermark("_t", delay)
     return slim.groupBy(key).applyInPandasWithState(
         run,
         f"{key} {key_type}, start timestamp, end timestamp, n_events long",
@@ -115,7 +115,7 @@ def rate_limited(stream: DataFrame, key: str, ts: str, event_id: str, limit: int
         state.update((recent[-limit:],))
         yield pd.DataFrame(kept, columns=[key, event_id, ts])
 
-    slim = stream.withWatermark(ts, delay).select(key, event_id, F.col(ts).cast("timestamp").alias("_t"), ts)
+    slim = stream.select(key, event_id, F.col(ts).cast("timestamp").alias("_t")).withWatermark("_t", delay)
     return slim.groupBy(key).applyInPandasWithState(
         run, f"{key} {types[key]}, {event_id} {types[event_id]}, {ts} timestamp", "recent array<bigint>", "append", GroupStateTimeout.NoTimeout
     )
