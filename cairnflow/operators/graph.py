@@ -166,20 +166,31 @@ def strengthen(edges: DataFrame, replayed: DataFrame, boost: float = 1.05) -> Da
 def shared_concept_pairs(memories: DataFrame, least: int) -> DataFrame:
     """``a, b, shared`` (a < b) of memories with at least ``least`` equal concepts (without letter case).
 
-    An inverted index: each concept's list is joined with itself.  A concept's list is cut into
-    blocks and pairs of blocks are joined, so a concept that a large share of memories holds is
-    spread over many tasks.
+    Candidates come from an inverted index with a prefix filter: in order of rarity, two
+    memories that share ``least`` concepts share one of all but the ``least - 1`` most frequent of
+    each, so these never enter the index.  A concept's list is cut into blocks and pairs of
+    blocks are joined, so a concept that a large share of memories holds is spread over many
+    tasks.  The candidates are then counted on the whole lists.
     """
-    held = memories.select("id", F.explode(X.folded_set(F.col("concepts"))).alias("c"))
-    sizes = held.groupBy("c").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    placed = held.join(sizes, "c").withColumns(
+    lists = materialize(memories.select("id", X.folded_set(F.col("concepts")).alias("cs")).filter(F.size("cs") >= least), "concept-lists")
+    held = lists.select("id", F.explode("cs").alias("c"))
+    sizes = held.groupBy("c").agg(F.count(F.lit(1)).alias("m"))
+    rarest = Window.partitionBy("id").orderBy("m", "c")
+    n = F.count(F.lit(1)).over(Window.partitionBy("id"))
+    ranked = held.join(sizes, "c").withColumns({"_k": F.row_number().over(rarest), "_n": n})
+    used = ranked.filter((F.col("_k") <= F.col("_n") - (least - 1)) & (F.col("m") > 1))
+    placed = used.withColumns(
         {"blocks": F.expr("cast(ceil(m / 200) as int)"), "own": F.expr("cast(pmod(xxhash64(id), ceil(m / 200)) as int)")}
     )
     left = placed.select("c", F.col("id").alias("a"), F.col("own").alias("i"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("j"))
     right = placed.select("c", F.col("id").alias("b"), F.col("own").alias("j"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("i"))
+    pairs = left.join(right, ["c", "i", "j"]).filter(F.col("a") < F.col("b")).select("a", "b").distinct()
+    full = lists.select("id", "cs")
     return (
-        left.join(right, ["c", "i", "j"]).filter(F.col("a") < F.col("b")).groupBy("a", "b")
-        .agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= least)
+        pairs.join(full.select(F.col("id").alias("a"), F.col("cs").alias("ca")), "a")
+        .join(full.select(F.col("id").alias("b"), F.col("cs").alias("cb")), "b")
+        .select("a", "b", F.size(F.array_intersect("ca", "cb")).cast("long").alias("shared"))
+        .filter(F.col("shared") >= least)
     )
 
 

@@ -14,6 +14,8 @@ from cairnflow.sources.tables import materialize
 K1, B = 1.2, 0.75
 #: Queries compared with the vectors in one pass.
 QUERY_BLOCK = 4096
+#: Queries whose best rows are picked at once inside a task.
+QUERY_STRIPE = 256
 
 
 def postings(docs: DataFrame, doc_id: str, text: Column) -> tuple[DataFrame, DataFrame]:
@@ -84,20 +86,23 @@ def vector_top_k(
     k: int = 10,
     exclude_self: bool = False,
     least: float | None = None,
+    group: str | None = None,
 ) -> DataFrame:
     """Best ``k`` vectors of each query by cosine: ``query_id, id, score, rank``.
 
+    With ``group`` (a column of both sides) only vectors of the query's group count; a null group
+    matches nothing.
+
     The queries are a stated set: they are taken in blocks of ``QUERY_BLOCK``, each block as one
     matrix against the rows of every partition.  A task keeps ``k`` per query and batch, so what
     is shuffled does not grow with the vectors of a task.  Vectors that are null, empty, zero,
     not finite or of another length than the query's match nothing.
     """
-    rows = vectors.select(F.col(vector_id).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter(
-        X.usable_vector(F.col("v"))
-    )
-    asked = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).cast("array<double>").alias("v")).filter(
-        X.usable_vector(F.col("v"))
-    )
+    g = (F.lit("") if group is None else F.col(group).cast("string")).alias("g")
+    rows = vectors.select(F.col(vector_id).alias("id"), F.col(vector).cast("array<double>").alias("v"), g)
+    rows = rows.filter(X.usable_vector(F.col("v")) & F.col("g").isNotNull())
+    asked = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).cast("array<double>").alias("v"), g)
+    asked = asked.filter(X.usable_vector(F.col("v")) & F.col("g").isNotNull())
     types = dict(asked.dtypes)["query_id"], dict(rows.dtypes)["id"]
     n = asked.count()
     blocks = max(1, -(-n // QUERY_BLOCK))
@@ -110,43 +115,50 @@ def vector_top_k(
 
 
 def _scan(rows: DataFrame, queries: list, types: tuple[str, str], k: int, exclude_self: bool, least: float | None):
-    by_length: dict[int, tuple[list, list]] = {}
-    for q, v in queries:
-        ids, vs = by_length.setdefault(len(v), ([], []))
+    by_kind: dict[tuple[int, str], tuple[list, list]] = {}
+    for q, v, g in queries:
+        ids, vs = by_kind.setdefault((len(v), g), ([], []))
         ids.append(q)
         vs.append(v)
     shared = rows.sparkSession.sparkContext.broadcast(
-        {d: (ids, np.array(vs) / np.linalg.norm(vs, axis=1, keepdims=True)) for d, (ids, vs) in by_length.items()}
+        {d: (ids, np.array(vs) / np.linalg.norm(vs, axis=1, keepdims=True)) for d, (ids, vs) in by_kind.items()}
     )
     arrow_q = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[types[0]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             vs, ids = b.column("v").to_pylist(), b.column("id").to_pylist()
-            for d, (qids, q) in shared.value.items():
-                at = [i for i, v in enumerate(vs) if len(v) == d]
+            gs = b.column("g").to_pylist()
+            for kind, (qids, q) in shared.value.items():
+                at = [i for i, v in enumerate(vs) if (len(v), gs[i]) == kind]
                 if not at:
                     continue
                 m = np.array([vs[i] for i in at])
                 m /= np.linalg.norm(m, axis=1, keepdims=True)
                 sims = np.round(m @ q.T, 9)
-                own = [ids[i] for i in at]
-                order = np.argsort(np.array(own, dtype=object), kind="stable")
-                oq, oi, os_ = [], [], []
-                for j, qid in enumerate(qids):
-                    s = sims[order, j]
-                    best = np.argsort(-s, kind="stable")[: k + exclude_self]
-                    for i in best:
-                        name = own[order[i]]
-                        if (exclude_self and name == qid) or (least is not None and s[i] < least):
-                            continue
-                        oq.append(qid)
-                        oi.append(name)
-                        os_.append(float(s[i]))
-                yield pa.record_batch(
-                    [pa.array(oq, arrow_q), pa.array(oi, b.schema.field("id").type), pa.array(os_, pa.float64())],
-                    names=["query_id", "id", "score"],
-                )
+                own = np.array([ids[i] for i in at], dtype=object)
+                order = np.argsort(own, kind="stable")
+                sims, own = sims[order], own[order]
+                keep = min(k + exclude_self, len(own))
+                for lo in range(0, len(qids), QUERY_STRIPE):
+                    part = sims[:, lo : lo + QUERY_STRIPE]
+                    floor = np.partition(part, len(own) - keep, axis=0)[len(own) - keep]
+                    row, col = np.nonzero(part >= (floor if least is None else np.maximum(floor, least)))
+                    best = np.lexsort((row, -part[row, col], col))  # ties: the smaller id
+                    row, col = row[best], col[best]
+                    place = np.arange(len(col)) - np.searchsorted(col, col)
+                    row, col = row[place < keep], col[place < keep]
+                    names = [qids[lo + c] for c in col]
+                    found = own[row].tolist()
+                    use = [i for i, (q, f) in enumerate(zip(names, found)) if not (exclude_self and q == f)]
+                    yield pa.record_batch(
+                        [
+                            pa.array([names[i] for i in use], arrow_q),
+                            pa.array([found[i] for i in use], b.schema.field("id").type),
+                            pa.array(part[row, col][use] if use else [], pa.float64()),
+                        ],
+                        names=["query_id", "id", "score"],
+                    )
 
     return rows.mapInArrow(run, f"query_id {types[0]}, id {types[1]}, score double")
 

@@ -137,11 +137,8 @@ def vector_topk(t):
 def vector_topk_by_label(t):
     """The five nearest vectors of the same label."""
     e = t("embeddings")
-    near = search.vector_top_k(e, "vec_id", "embedding", e.filter("vec_id % 100 = 0"), "vec_id", "embedding", 1_000_000, exclude_self=True)
-    a = e.select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"))
-    b = e.select(F.col("vec_id").alias("id"), "label")
-    same = near.drop("rank").join(a, "query_id").join(b, "id").filter("ql = label").drop("ql", "label")
-    return search.top_k(same, ["query_id"], [F.desc("score"), F.col("id")], 5)
+    asked = e.filter("vec_id % 100 = 0")
+    return search.vector_top_k(e, "vec_id", "embedding", asked, "vec_id", "embedding", 5, exclude_self=True, group="label")
 
 
 @query(f"WITH {_VEC} SELECT query_id, id, score, rank FROM vec")
