@@ -19,6 +19,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
@@ -59,6 +60,8 @@ PROFILES = {
 LETTER_LIMIT, LETTER_GRACE = 0.17, 9.0
 #: The same for the classes of characters of a piece that has no row or entry form.
 CLASS_LIMIT, CLASS_CHARS = 0.20, 40
+#: Share of function words in prose.
+PROSE_SHARE = 0.35
 #: A text that shrinks below this share of its size is endless repetition.
 REPETITION, REPETITION_CHARS = 0.13, 200
 
@@ -95,61 +98,85 @@ def _normal(v: list[float]) -> list[float]:
 _LETTERS = {k: _normal(v) for k, v in LETTERS.items()}
 _CHARACTERS = _normal(CHARACTERS["prose"])
 _PROFILES = {k: _normal(v) for k, v in PROFILES.items()}
+_LANGUAGES = list(_LETTERS)
+_LETTER_ROWS = np.array([_LETTERS[k] for k in _LANGUAGES])
+_LETTER_ENTROPY = -(_LETTER_ROWS * np.log2(_LETTER_ROWS)).sum(axis=1)
 _A_TO_Z = "abcdefghijklmnopqrstuvwxyz"
 
 
-def _folded(text: str) -> str:
-    t = text.lower()
-    return t if t.isascii() else unicodedata.normalize("NFD", t)
+def _class_of(c: str) -> int:
+    """0 small letter, 1 capital, 2 digit, 3 blank, 4 ordinary punctuation, 5 joining sign, 6 other sign."""
+    if c.isalpha():
+        return int(c.isupper())
+    if c.isalnum():
+        return 2
+    if c.isspace():
+        return 3
+    return 4 if c in ".,;:!?'\"’”“«»" else 5 if c in "-_/()–—" else 6
 
 
-def letter_divergence(text: str) -> tuple[float, str, int]:
+_ASCII_CLASSES = np.zeros((7, 128), np.int64)
+_ASCII_CLASSES[[_class_of(chr(c)) for c in range(128)], np.arange(128)] = 1
+
+
+def count_characters(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(characters of each class, letters a to z with accents folded)."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    plain = codes < 128
+    ascii_ = np.bincount(codes[plain], minlength=128)
+    classes, letters = _ASCII_CLASSES @ ascii_, ascii_[97:123] + ascii_[65:91]
+    if not plain.all():
+        for code, k in Counter(codes[~plain].tolist()).items():
+            c = chr(code)
+            classes[_class_of(c)] += k
+            at = ord(unicodedata.normalize("NFD", c.lower())[:1]) - 97
+            if 0 <= at < 26:
+                letters[at] += k
+    return classes, letters
+
+
+def letter_divergence(letters: np.ndarray) -> tuple[float, str, int]:
     """(divergence from the nearest language, that language, number of letters)."""
-    t = _folded(text)
-    counts = [t.count(c) for c in _A_TO_Z]
-    n = sum(counts)
+    n = int(letters.sum())
     if not n:
         return 1.0, "", 0
-    p = [c / n for c in counts]
-    return min((divergence(p, q), k) for k, q in _LETTERS.items()) + (n,)
+    p = letters / n
+    m = (_LETTER_ROWS + p) / 2
+    own = p[p > 0]
+    # the divergence is the entropy of the mixture less the mean of the entropies
+    far = (m * -np.log2(m)).sum(axis=1) - (_LETTER_ENTROPY - (own * np.log2(own)).sum()) / 2
+    k = int(far.argmin())
+    return max(0.0, float(far[k])), _LANGUAGES[k], n
 
 
-def class_shares(counts: Counter) -> list[float]:
+def class_shares(classes: np.ndarray) -> list[float]:
     """Shares of small and capital letters, digits, blanks, ordinary punctuation, joining and other signs."""
-    small = capital = digits = blanks = plain = joins = 0
-    for c, k in counts.items():
-        if c.isalpha():
-            if c.isupper():
-                capital += k
-            else:
-                small += k
-        elif c.isdigit():
-            digits += k
-        elif c.isspace():
-            blanks += k
-        elif c in ".,;:!?'\"’”“«»":
-            plain += k
-        elif c in "-_/()–—":
-            joins += k
+    small, capital, *rest = classes.tolist()
     if capital > 3 * small:  # a text in capitals
         small, capital = capital, small
-    n = sum(counts.values()) or 1
-    return [x / n for x in (small, capital, digits, blanks, plain, joins, n - small - capital - digits - blanks - plain - joins)]
+    n = sum(classes.tolist()) or 1
+    return [x / n for x in (small, capital, *rest)]
 
 
 def is_noise(text: str) -> bool:
     """Whether a piece of text is no language: its letters or its classes of characters are far from prose."""
-    far, _, n = letter_divergence(text)
-    if len(_LATIN1_DEBRIS.findall(text)) * 25 > len(text):
+    if _broken(text, 25):
         return True
+    classes, letters = count_characters(text)
+    far, _, n = letter_divergence(letters)
     if n >= 8 and far > LETTER_LIMIT + LETTER_GRACE / n:
         return True
-    return len(text) >= CLASS_CHARS and divergence(class_shares(Counter(text)), _CHARACTERS) > CLASS_LIMIT
+    return len(text) >= CLASS_CHARS and divergence(class_shares(classes), _CHARACTERS) > CLASS_LIMIT
 
 
-def is_symbols(counts: Counter, text: str) -> bool:
+def _broken(text: str, one_in: int) -> bool:
+    """Whether more than one of so many characters shows a broken encoding."""
+    return not text.isascii() and len(_LATIN1_DEBRIS.findall(text)) * one_in > len(text)
+
+
+def is_symbols(classes: np.ndarray, text: str) -> bool:
     """Whether hardly any letter or digit stands among the signs, and no ruled table explains it."""
-    small, capital, digits, blanks, *_ = class_shares(counts)
+    small, capital, digits, blanks, *_ = class_shares(classes)
     return small + capital + digits < 0.25 * (1 - blanks) and not _RULED.search(text)
 
 
@@ -164,8 +191,11 @@ def _separators(line: str) -> dict[str, int]:
     }
 
 
-def matter(text: str) -> dict[str, tuple[int, int]]:
-    """(lines, characters) of running text, entries, cells, noise and fenced code."""
+def matter(text: str, calm: bool = False) -> dict[str, tuple[int, int]]:
+    """(lines, characters) of running text, entries, cells, noise and fenced code.
+
+    ``calm`` says that the text as a whole is far inside the limits; its parts are then not
+    looked at for noise, since noise that mattered would have moved the whole."""
     lines, fence, paragraph = [], False, 0
     for line in text.splitlines():
         if line.lstrip().startswith("```"):
@@ -204,7 +234,7 @@ def matter(text: str) -> dict[str, tuple[int, int]]:
         by_kind.setdefault(kind, []).append(line)
     for kind, mine in by_kind.items():
         noisy: set[str] = set()
-        if kind in ("prose", "entry", "cell"):
+        if not calm and kind in ("prose", "entry", "cell"):
             short = "\n".join(x for x in mine if len(x) < 200)
             noisy = {x for x in mine if len(x) >= 200 and (_cells_are_noise(x) if kind == "cell" else is_noise(x))}
             if short and (is_noise(short) if kind == "prose" else _cells_are_noise(short)):
@@ -241,8 +271,8 @@ def _grid(lines: list[str]) -> set[int]:
 
 
 def _cells_are_noise(text: str) -> bool:
-    far, _, n = letter_divergence(text)
-    return len(_LATIN1_DEBRIS.findall(text)) * 8 > len(text) or n >= 40 and far > 0.3 + LETTER_GRACE / n
+    far, _, n = letter_divergence(count_characters(text)[1])
+    return _broken(text, 8) or n >= 40 and far > 0.3 + LETTER_GRACE / n
 
 
 def _function_words(line: str) -> bool:
@@ -256,6 +286,21 @@ def _prose_like(line: str) -> bool:
     return len(w) >= 6 and sum(x in _ANY_FUNCTION_WORD for x in w) >= 0.12 * len(w)
 
 
+def word_divergence(known: dict[str, int], language: str, n: int) -> float:
+    """Divergence of a text's function words, all other words being one class, from prose that
+    uses the words of its language evenly in a share of ``PROSE_SHARE``."""
+    listed = _WORDS_OF[language]
+    q, seen, mass = PROSE_SHARE / len(listed), 0, 0.0
+    p_side, q_side = [], []
+    for w in known.keys() & listed:
+        p_side.append(known[w] / n)
+        q_side.append(q)
+        seen += known[w]
+        mass += q
+    # words that do not occur give their whole share: they count as one class of their own
+    return divergence([*p_side, 1 - seen / n if n else 1.0, 0.0], [*q_side, 1 - PROSE_SHARE, PROSE_SHARE - mass])
+
+
 COLUMNS = (
     "n_words long, mean_word_length double, symbol_ratio double, punctuated_line_share double, "
     "common_word_share double, language string, letter_divergence double, class_divergence double, "
@@ -269,43 +314,40 @@ def measure(text: str | None) -> tuple:
         return (0, None, None, None, None, None, None, None, None, None)
     words = _WORD.findall(text.lower())
     n = len(words)
-    chars = Counter(text)
-    solid = sum(k for c, k in chars.items() if not c.isspace())
-    signs = sum(k for c, k in chars.items() if not c.isspace() and not c.isalnum())
+    classes, letters = count_characters(text)
+    total, blanks = int(classes.sum()), int(classes[3])
     lines = [x for x in text.splitlines() if x.strip()]
     count = Counter(words)
-    best = max(_WORDS_OF, key=lambda k: (sum(count[w] for w in _WORDS_OF[k]), k == "en"))
-    common = sum(count[w] for w in _ANY_FUNCTION_WORD)
-    mine = sorted(_WORDS_OF[best])
-    hits = [count[w] for w in mine]
-    # function words of a language against an even use of its list, with all other words as one class
-    p = _normal([*hits, n - sum(hits)]) if n else [0.0] * len(mine) + [1.0]
-    q = _normal([0.35 / len(mine)] * len(mine) + [0.65])
-    letters, nearest, n_letters = letter_divergence(text)
-    classes = divergence(class_shares(chars), _CHARACTERS)
+    known = {w: count[w] for w in _ANY_FUNCTION_WORD & count.keys()}
+    common = sum(known.values())
+    mine = {k: sum(known[w] for w in known.keys() & words_) for k, words_ in _WORDS_OF.items()}
+    best = max(mine, key=lambda k: (mine[k], k == "en"))
+    far, nearest, n_letters = letter_divergence(letters)
+    spread = divergence(class_shares(classes), _CHARACTERS)
+    calm = far < LETTER_LIMIT / 2 and spread < CLASS_LIMIT / 2 and not _broken(text, 25)
     return (
         n,
         sum(map(len, words)) / n if n else None,
-        signs / solid,
+        int(classes[4:].sum()) / (total - blanks),
         sum(bool(_ENDS.search(x)) for x in lines) / len(lines),
         common / n if n else None,
-        (best if sum(hits) else nearest) or None,
-        letters if n_letters else None,
-        classes,
-        divergence(p, q),
-        structure(text, count, n, chars),
+        (best if mine[best] else nearest) or None,
+        far if n_letters else None,
+        spread,
+        word_divergence(known, best, n),
+        structure(text, count, n, classes, calm),
     )
 
 
-def structure(text: str, count: Counter, n: int, chars: Counter) -> str:
+def structure(text: str, count: Counter, n: int, classes: np.ndarray, calm: bool) -> str:
     """The nearest structural profile of a text that is not blank."""
-    if is_symbols(chars, text):
+    if is_symbols(classes, text):
         return "junk"
     if len(text) >= REPETITION_CHARS and (n < 8 or len(count) < 0.25 * n):
         data = text.encode("utf-8", "surrogatepass")
         if len(zlib.compress(data, 6)) < REPETITION * len(data):
             return "junk"
-    m = matter(text)
+    m = matter(text, calm)
     heading = m.pop("heading")
     m["prose"] = tuple(a + b for a, b in zip(m["prose"], m.pop("code")))
     n_lines, n_chars = (sum(v[i] for v in m.values()) for i in (0, 1))
