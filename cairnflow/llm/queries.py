@@ -170,9 +170,27 @@ iw AS (SELECT DISTINCT item_id, array_to_string(w[k : k + 12], ' ') AS gram
 SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (gram)
 """
 
+_P3 = """
+WITH v AS (SELECT id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM memories WHERE len(embedding) = 128
+  AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT a.id AS id, b.id AS neighbour, round(list_cosine_similarity(a.v, b.v), 12) AS s FROM v a JOIN v b ON a.id <> b.id),
+t AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, neighbour) AS k FROM p WHERE s >= 0.8)
+SELECT DISTINCT least(id, neighbour) AS id_a, greatest(id, neighbour) AS id_b FROM t WHERE k <= 5
+"""
+_P5 = """
+WITH r AS (SELECT DISTINCT id, content FROM raw_memories WHERE content IS NOT NULL UNION ALL SELECT id, content FROM memories WHERE content IS NOT NULL),
+w AS (SELECT id, string_split(trim(regexp_replace(lower(content), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ') AS w FROM r),
+s AS (SELECT DISTINCT id, hash(w[k], w[k + 1], w[k + 2]) AS g FROM (SELECT id, w, unnest(generate_series(1, len(w) - 2)) AS k FROM w WHERE len(w) >= 30)),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+c AS (SELECT x.id AS id_a, y.id AS id_b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.id < y.id GROUP BY ALL)
+SELECT id_a, id_b FROM c JOIN n a ON a.id = id_a JOIN n b ON b.id = id_b WHERE c / (a.n + b.n - c)::DOUBLE >= 0.6
+"""
+
 SQL = {
     "p1_found": _P1 + "SELECT first_id, last_id FROM done",
     "p1_runs": _P1 + "SELECT * FROM done",
+    "p3_found": _P3,
+    "p5_found": _P5,
     "p6_found": "SELECT DISTINCT id FROM raw_memories WHERE length(content) > 4000",
     "p7_found": _P7 + "SELECT item_a AS concept_a, item_b AS concept_b FROM done",
     "p7_associations": _P7 + "SELECT * FROM done",
