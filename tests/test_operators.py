@@ -174,3 +174,25 @@ def test_offsets_over_many_partitions(spark):
     got = {r.id: r.offset for r in corpus.offsets(df, ["id"], "n").collect()}
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert got == want
+
+
+def test_triplets(spark):
+    m = spark.createDataFrame(
+        [(f"m{k}", "p" if k < 8 else "q", "active" if k != 7 else "archived", "some summary text", "content of this memory") for k in range(10)],
+        "id string, project string, state string, summary string, content string",
+    )
+    edges = [("m0", "m1", 0.9, "similar"), ("m1", "m0", 0.8, "similar"), ("m0", "m2", 0.2, "similar"), ("m0", "m7", 0.9, "similar"), ("m8", "m9", 0.9, "caused_by")]
+    e = spark.createDataFrame(edges, "source_id string, target_id string, strength double, relation_type string")
+    got = {(r.anchor, r.positive): r.negative for r in corpus.triplets(m, e).collect()}
+    assert set(got) == {("m0", "m1"), ("m8", "m9")}
+    # never linked to the anchor, never archived, same project; none left gives null
+    assert got[("m0", "m1")] in {"m3", "m4", "m5", "m6", None} and got[("m8", "m9")] is None
+
+
+def test_keywords_and_composite(spark):
+    from cairnflow.functions import exprs as X
+
+    df = spark.createDataFrame([("The quick brown Fox is to the quick fox ab",), (None,)], "t string").coalesce(1)
+    assert [r[0] for r in df.select(X.keywords(F.col("t"))).collect()] == [["quick", "brown", "fox"], []]
+    m = spark.createDataFrame([(1.0, 0.5, 0.5, 1.0, 0.0)], "ndcg double, precision double, mrr double, noise_suppression double, signal_retention double")
+    assert evaluation.composite(m).first().composite == pytest.approx(0.3 + 0.1 + 0.1 + 0.15)
