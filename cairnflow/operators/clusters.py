@@ -2,88 +2,190 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cairnflow.functions import exprs as X
+from cairnflow.sources.tables import discard, materialize
+
+#: Undecided rows that are folded in one round, before their leaders are matched with all later rows.
+BLOCK = 4096
+#: Rows matched with leaders at once.
+_ROWS = 512
+
+#: (leaders, rows) -> whether each row (first axis) is absorbed by each leader (second axis).
+Absorbs = Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]
+
+
+def _fold(block: pd.DataFrame, absorbs: Absorbs) -> np.ndarray:
+    """The place of each row's leader, for rows in order; a leader is its own."""
+    out = np.arange(len(block))
+    for _, places in block.groupby("_key", sort=False).indices.items():
+        own, leads = block.iloc[places], np.zeros(len(places), bool)
+        for at in range(0, len(places), _ROWS):
+            ok = absorbs(own.iloc[: at + _ROWS], own.iloc[at : at + _ROWS])
+            for k in range(len(ok)):
+                free = ok[k, : at + k] & leads[: at + k]
+                leads[at + k] = not free.any()
+                if not leads[at + k]:
+                    out[places[at + k]] = places[free.argmax()]
+    return out
+
+
+def _match(leaders: pd.DataFrame, rows: pd.DataFrame, absorbs: Absorbs) -> np.ndarray:
+    """The place of the first leader that absorbs each row, or -1."""
+    out = np.full(len(rows), -1)
+    of = leaders.groupby("_key", sort=False).indices
+    for key, places in rows.groupby("_key", sort=False).indices.items():
+        if key not in of:
+            continue
+        own = leaders.iloc[of[key]]
+        for at in range(0, len(places), _ROWS):
+            some = places[at : at + _ROWS]
+            ok = absorbs(own, rows.iloc[some])
+            hit = ok.any(axis=1)
+            out[some[hit]] = of[key][ok[hit].argmax(axis=1)]
+    return out
+
+
+def leader_fold(df: DataFrame, keys: list[str], columns: list[str], absorbs: Absorbs, least: int) -> DataFrame:
+    """keys, ``id, leader``: from the newest to the oldest, each unused row leads and absorbs every later
+    unused row of its key that ``absorbs`` accepts by ``columns``; clusters below ``least`` are not returned.
+
+    The fold over all rows, in rounds: the first ``BLOCK`` undecided rows are folded on the driver,
+    their leaders are matched with all later rows (a map), and what is still undecided goes on.
+    A row is thus held against every leader before it, and no task holds a whole key."""
+    slim = df.select(*keys, "id", "created_at", *columns, F.to_json(F.struct(*keys)).alias("_key"), F.monotonically_increasing_id().alias("_row"))
+    state, parts = materialize(slim, "undecided"), []
+    schema = ", ".join(f"`{c}` {kind}" for c, kind in [*state.dtypes, ("leader", dict(df.dtypes)["id"])])
+    while True:
+        order = F.desc("created_at"), F.asc("id")
+        head = F.broadcast(state.orderBy(*order).limit(BLOCK).select("_row"))  # narrow, so few bytes are merged
+        block = state.join(head, "_row", "left_semi").orderBy(*order).select("_key", "_row", "id", *columns).toPandas()
+        if block.empty:
+            break
+        leader = _fold(block, absorbs)
+        decided = dict(zip(block["_row"].tolist(), block["id"].iloc[leader].tolist()))
+        first = block[leader == np.arange(len(block))].drop(columns="_row").reset_index(drop=True)
+        marked = materialize(_marked(state, columns, df.sparkSession.sparkContext.broadcast((decided, first)), absorbs, schema), "marked")
+        discard(state)
+        parts.append(materialize(marked.filter("leader IS NOT NULL").select(*keys, "_key", "id", "leader"), "led"))
+        state = marked.filter("leader IS NULL").drop("leader")
+    discard(state)
+    if not parts:
+        return slim.select(*keys, "id", F.col("id").alias("leader")).limit(0)
+    found = df.sparkSession.read.schema(parts[0].schema).parquet(*{f.rpartition("/")[0] for p in parts for f in p.inputFiles()})
+    large = found.groupBy("_key", "leader").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least)
+    return found.join(large, ["_key", "leader"], "left_semi").select(*keys, "id", "leader")
+
+
+def _marked(state: DataFrame, columns: list[str], shared, absorbs: Absorbs, schema: str) -> DataFrame:
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decided, first = shared.value
+        ids = first["id"].tolist()
+        for b in batches:
+            led = [decided.get(r) for r in b.column("_row").to_pylist()]
+            rest = np.array([k for k, x in enumerate(led) if x is None], np.int64)
+            rows = b.select(["_key", *columns]).take(pa.array(rest)).to_pandas()
+            for k, at in zip(rest, _match(first, rows, absorbs)):
+                led[k] = ids[at] if at >= 0 else None
+            id_type = b.schema.field("id").type
+            yield pa.record_batch([*b.columns, pa.array(led, id_type)], names=[*b.schema.names, "leader"])
+
+    return state.mapInArrow(mark, schema)
+
+
+def _cosines(a: pd.Series, b: pd.Series) -> np.ndarray:
+    """Cosine of each of ``b`` (first axis) with each of ``a``; 0 without two usable vectors of one length."""
+
+    def by_length(vectors: pd.Series) -> dict[int, tuple]:
+        places: dict[int, list[int]] = {}
+        vectors = [None if v is None else np.asarray(v, float) for v in vectors]
+        norms = [0.0 if v is None or not len(v) else float(np.linalg.norm(v)) for v in vectors]
+        for k, n in enumerate(norms):
+            if n and np.isfinite(n):
+                places.setdefault(len(vectors[k]), []).append(k)
+        return {n: (at, np.stack([vectors[k] for k in at]), np.array([norms[k] for k in at])) for n, at in places.items()}
+
+    out, left = np.zeros((len(b), len(a))), by_length(a)
+    for n, (at, rows, norm) in by_length(b).items():
+        if n in left:
+            own, heads, size = left[n]
+            out[np.ix_(at, own)] = rows @ heads.T / np.outer(norm, size)
+    return out
+
+
+def _low(values) -> list[str]:
+    return [x.lower() for x in (values if values is not None else []) if x is not None]
+
+
+def _shared(a: pd.Series, b: pd.Series) -> np.ndarray:
+    """How many of the concepts of each of ``b`` (first axis) each of ``a`` has."""
+    held: dict[str, list[int]] = {}
+    for k, values in enumerate(a):
+        for x in set(_low(values)):
+            held.setdefault(x, []).append(k)
+    held = {x: np.array(at) for x, at in held.items()}
+    out = np.zeros((len(b), len(a)), np.int32)
+    for k, values in enumerate(b):
+        for x in _low(values):
+            if x in held:
+                out[k, held[x]] += 1
+    return out
 
-#: Rows of a group that a fold looks at: the newest ones, as one maintenance cycle does.
-BUDGET = 100
 
+def by_vector(df: DataFrame, keys: list[str], threshold: float = 0.85, least: int = 3) -> DataFrame:
+    """Clusters by similarity to the leader's ``v``."""
+    return leader_fold(df, keys, ["v"], lambda a, b: _cosines(a["v"], b["v"]) >= threshold, least)
 
-def _newest(df: DataFrame, keys: list[str]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(F.desc("created_at"), "id")
-    return df.withColumn("_order", F.row_number().over(w)).filter(F.col("_order") <= BUDGET)
 
+def by_concepts(df: DataFrame, keys: list[str], least: int = 3) -> DataFrame:
+    """Clusters by two shared ``concepts``, or one and a cosine of at least 0.6."""
+
+    def absorbs(a, b):
+        n = _shared(a["concepts"], b["concepts"])
+        return (n >= 2) | (n == 1) & (_cosines(a["v"], b["v"]) >= 0.6)
 
-def leader_fold(
-    df: DataFrame, keys: list[str], absorbs: Callable[[pd.DataFrame, int, int, list[int]], bool], least: int
-) -> DataFrame:
-    """keys, ``id, leader``: in order, each unused row leads and absorbs every later unused row
-    that ``absorbs`` accepts; rows of a cluster below ``least`` are used up but not returned.
+    return leader_fold(df, keys, ["concepts", "v"], absorbs, least)
 
-    A fold over one ordered group; the group is bounded by the budget of a cycle."""
-    schema = ", ".join([*(f"{k} {dict(df.dtypes)[k]}" for k in keys), f"id {dict(df.dtypes)['id']}", f"leader {dict(df.dtypes)['id']}"])
+
+def by_time(df: DataFrame, keys: list[str], least: int = 3) -> DataFrame:
+    """Clusters of rows within two hours of the last member and six of the leader that share a concept.
+
+    No cluster reaches over a silence of two hours, so each stretch between silences is folded
+    by itself, whole; a row is looked at by the leaders of the six hours after it only."""
+    w = Window.partitionBy(*keys).orderBy(F.desc("created_at"), "id")
+    slim = df.select(*keys, "id", "created_at", "concepts")
+    silent = F.lag("created_at").over(w) - F.col("created_at") > F.expr("INTERVAL 2 HOURS")
+    slim = slim.withColumn("_new", F.coalesce(silent, F.lit(True)).cast("int"))
+    slim = slim.withColumn("_stretch", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    kinds = dict(df.dtypes)
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"id {kinds['id']}", f"leader {kinds['id']}"])
+    two, six = pd.Timedelta(hours=2), pd.Timedelta(hours=6)
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_order").reset_index(drop=True)
-        used, rows = set(), []
+        pdf = pdf.sort_values(["created_at", "id"], ascending=[False, True])
+        at, ids, low = list(pdf["created_at"]), pdf["id"].tolist(), [set(_low(c)) for c in pdf["concepts"]]
+        key, used, rows = [pdf[k].iloc[0] for k in keys], [False] * len(pdf), []
         for i in range(len(pdf)):
-            if i in used:
+            if used[i]:
                 continue
-            used.add(i)
             members = [i]
             for j in range(i + 1, len(pdf)):
-                if j not in used and absorbs(pdf, i, j, members):
-                    used.add(j)
+                if at[members[-1]] - at[j] > two or at[i] - at[j] > six:
+                    break  # all later rows are older still
+                if not used[j] and low[i] & low[j]:
+                    used[j] = True
                     members.append(j)
             if len(members) >= least:
-                rows += [(*(pdf[k].iloc[0] for k in keys), pdf["id"].iloc[m], pdf["id"].iloc[i]) for m in members]
+                rows += [(*key, ids[m], ids[i]) for m in members]
         return pd.DataFrame(rows, columns=[*keys, "id", "leader"])
 
-    return _newest(df, keys).groupBy(*keys).applyInPandas(fold, schema)
-
-
-def _cos(a, b) -> float:
-    if a is None or b is None or len(a) == 0 or len(a) != len(b):
-        return 0.0
-    x, y = np.asarray(a, float), np.asarray(b, float)
-    n = np.linalg.norm(x) * np.linalg.norm(y)
-    return float(x @ y / n) if n and np.isfinite(n) else 0.0
-
-
-def _shared(a, b) -> int:
-    low = {x.lower() for x in (a if a is not None else [])}
-    return sum(y.lower() in low for y in (b if b is not None else []))
-
-
-def by_vector(df: DataFrame, keys: list[str], threshold: float = 0.85, least: int = 3) -> DataFrame:
-    """Clusters by similarity to the leader's ``v``."""
-    return leader_fold(df, keys, lambda p, i, j, m: _cos(p["v"][i], p["v"][j]) >= threshold, least)
-
-
-def by_concepts(df: DataFrame, keys: list[str], least: int = 3) -> DataFrame:
-    """Clusters by two shared ``concepts``, or one and a cosine of at least 0.6."""
-
-    def absorbs(p, i, j, m):
-        n = _shared(p["concepts"][i], p["concepts"][j])
-        return n >= 2 or n >= 1 and _cos(p["v"][i], p["v"][j]) >= 0.6
-
-    return leader_fold(df, keys, absorbs, least)
-
-
-def by_time(df: DataFrame, keys: list[str], least: int = 3) -> DataFrame:
-    """Clusters of rows within two hours of the last member and six of the leader that share a concept."""
-
-    def absorbs(p, i, j, m):
-        last, first, t = (p["created_at"][k] for k in (m[-1], i, j))
-        near = abs((last - t).total_seconds()) <= 7200 and abs((first - t).total_seconds()) <= 21600
-        return near and _shared(p["concepts"][i], p["concepts"][j]) >= 1
-
-    return leader_fold(df, keys, absorbs, least)
+    return slim.groupBy(*keys, "_stretch").applyInPandas(fold, schema)
 
 
 def near_duplicate(title_a: Column, title_b: Column, vector_a: Column, vector_b: Column, jaccard: float, cosine: float) -> Column:

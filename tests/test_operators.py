@@ -102,6 +102,53 @@ def test_leader_clusters_against_a_loop(spark):
     assert clusters.by_concepts(df.limit(0), ["project"]).count() == 0
 
 
+def test_clusters_use_every_row_of_a_key(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "BLOCK", 64)  # several rounds
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((40, 8))
+    names = [f"c{k}" for k in range(30)]
+    rows = [
+        (f"m{k:03d}", "pq"[k % 7 == 0], (base[k % 40] + 0.3 * rng.standard_normal(8)).tolist() if k % 11 else None,
+         T0 - dt.timedelta(minutes=int(rng.integers(0, 6000))), [str(x).upper() if k % 2 else str(x) for x in rng.choice(names, 3, False)])
+        for k in range(400)
+    ]
+    df = spark.createDataFrame(rows, "id string, project string, v array<double>, created_at timestamp_ntz, concepts array<string>")
+
+    def cos(a, b):
+        return 0.0 if a is None or b is None else np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)
+
+    def shared(a, b):
+        return len({x.lower() for x in a[4]} & {x.lower() for x in b[4]})
+
+    def loop(absorbs):
+        used, want = set(), {}
+        for p in "pq":
+            own = sorted((r for r in rows if r[1] == p), key=lambda r: (T0 - r[3], r[0]))
+            for i, r in enumerate(own):
+                if r[0] in used:
+                    continue
+                group = [r]
+                for x in own[i + 1 :]:
+                    if x[0] not in used and absorbs(r, x, group[-1]):
+                        used.add(x[0])
+                        group.append(x)
+                if len(group) >= 3:
+                    want |= {x[0]: r[0] for x in group}
+        return want
+
+    def near(r, x, last):
+        return shared(r, x) >= 1 and last[3] - x[3] <= dt.timedelta(hours=2) and r[3] - x[3] <= dt.timedelta(hours=6)
+
+    rules = [
+        (clusters.by_vector, lambda r, x, last: cos(r[2], x[2]) >= 0.85),
+        (clusters.by_concepts, lambda r, x, last: shared(r, x) >= 2 or shared(r, x) == 1 and cos(r[2], x[2]) >= 0.6),
+        (clusters.by_time, near),
+    ]
+    for f, rule in rules:
+        want = loop(rule)
+        assert {r.id: r.leader for r in f(df, ["project"]).collect()} == want and len(want) > 100
+
+
 def test_event_windows(spark):
     rows = [("u", T0 + dt.timedelta(minutes=m), k) for k, m in enumerate((0, 4, 10, 11, 30, 30))] + [("v", None, 9)]
     df = spark.createDataFrame(rows, "u string, ts timestamp_ntz, id int")
