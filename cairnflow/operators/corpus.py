@@ -235,26 +235,30 @@ def gate_statistics(gated: DataFrame) -> DataFrame:
 
 def triplets(memories: DataFrame, edges: DataFrame, least: float = 0.7) -> DataFrame:
     """``anchor, positive, negative, relation``: strong links as positives, and for each a memory of
-    the same project that is not linked to the anchor as negative, the first by the MD5 of both ids.
+    the same project that is not linked to the anchor as negative.
 
-    The negatives come from a ring: the memories of a project are ordered by hash, and each anchor
-    takes the first of the ``RING`` next ones that it is not linked to; no pairs of a whole project
-    are formed.  An anchor whose ring is all linked gets a null negative."""
+    The memories of a project stand on a ring in the order of their hash, and an anchor takes the
+    next one that it is not linked to, all the way round: the linked ones are turned into
+    distances from the anchor, and the first distance missing among them is the place.  No pairs
+    of a project are formed.  Only an anchor linked to its whole project gets a null negative."""
     text = F.left(F.concat_ws(" ", "summary", "content"), F.lit(2000))
     ok = memories.filter((F.col("state") != "archived") & (F.length(text) >= 20)).select("id", F.coalesce("project", F.lit("")).alias("project"))
     pair = edges.filter(F.col("strength") >= least).withColumns({"a": F.least("source_id", "target_id"), "b": F.greatest("source_id", "target_id")})
     w = Window.partitionBy("a", "b").orderBy(F.desc("strength"), "source_id")
     pos = pair.withColumn("_n", F.row_number().over(w)).filter("_n = 1")
     pos = pos.join(ok.select(F.col("id").alias("a")), "a", "left_semi").join(ok.select(F.col("id").alias("b")), "b", "left_semi")
-    ring = Window.partitionBy("project").orderBy(F.md5("id"), "id")
-    placed = ok.withColumn("next", F.array(*[F.lead("id", k).over(ring) for k in range(1, RING + 1)]))
-    offers = placed.select(F.col("id").alias("anchor"), F.posexplode("next").alias("k", "negative")).filter("negative IS NOT NULL")
-    linked = edges.select(F.col("source_id").alias("anchor"), F.col("target_id").alias("negative")).unionByName(
-        edges.select(F.col("target_id").alias("anchor"), F.col("source_id").alias("negative"))
+    project = Window.partitionBy("project")
+    placed = ok.withColumns({"at": F.row_number().over(project.orderBy(F.md5("id"), "id")) - 1, "size": F.count(F.lit(1)).over(project)})
+    anchors = placed.join(pos.select(F.col("source_id").alias("id")).distinct(), "id", "left_semi").withColumnRenamed("id", "anchor")
+    linked = edges.select(F.col("source_id").alias("anchor"), F.col("target_id").alias("id")).unionByName(
+        edges.select(F.col("target_id").alias("anchor"), F.col("source_id").alias("id"))
     )
-    free = offers.join(linked.distinct(), ["anchor", "negative"], "left_anti").groupBy("anchor").agg(F.min_by("negative", "k").alias("negative"))
+    others = placed.select("id", F.col("project").alias("_project"), F.col("at").alias("_at"))
+    near = anchors.join(linked.filter("anchor <> id").distinct(), "anchor").join(others, "id").filter("project = _project")
+    near = near.select("anchor", F.pmod(F.col("_at") - F.col("at"), F.col("size")).alias("far"))
+    near = near.withColumn("_n", F.row_number().over(Window.partitionBy("anchor").orderBy("far")))
+    run = near.filter("far = _n").groupBy("anchor").agg(F.count(F.lit(1)).alias("run"))
+    first = anchors.join(run, "anchor", "left").withColumn("far", F.coalesce("run", F.lit(0)) + 1).filter("far < size")
+    first = first.select("anchor", "project", F.pmod(F.col("at") + F.col("far"), F.col("size")).alias("at"))
+    free = first.join(placed.select("project", F.col("at").cast("long").alias("at"), F.col("id").alias("negative")), ["project", "at"]).select("anchor", "negative")
     return pos.select(F.col("source_id").alias("anchor"), F.col("target_id").alias("positive"), F.col("relation_type").alias("relation"), "strength").join(free, "anchor", "left")
-
-
-#: Candidates for a negative of one anchor.
-RING = 8

@@ -236,6 +236,23 @@ def test_triplets(spark):
     assert got[("m0", "m1")] in {"m3", "m4", "m5", "m6", None} and got[("m8", "m9")] is None
 
 
+def test_triplets_find_any_unlinked_memory(spark):
+    m = spark.createDataFrame(
+        [(f"m{k:02d}", "p", "active", "some summary text", "content of this memory") for k in range(30)],
+        "id string, project string, state string, summary string, content string",
+    )
+    # m00 is linked to all but m17, m01 to all, every other one to m00 and m01 only
+    links = [("m00", f"m{k:02d}", 0.9) for k in range(1, 30) if k != 17] + [("m01", f"m{k:02d}", 0.9) for k in range(2, 30)]
+    links += [(f"m{k:02d}", f"m{k + 1:02d}", 0.8) for k in range(2, 29)]
+    e = spark.createDataFrame([(a, b, s, "similar") for a, b, s in links], "source_id string, target_id string, strength double, relation_type string")
+    got = corpus.triplets(m, e).collect()
+    both = {(a, b) for a, b, _ in links} | {(b, a) for a, b, _ in links}
+    assert len(got) == len(links)
+    assert {r.negative for r in got if r.anchor == "m00"} == {"m17"} and {r.negative for r in got if r.anchor == "m01"} == {None}
+    for r in got:
+        assert r.anchor == "m01" or r.negative and r.negative != r.anchor and (r.anchor, r.negative) not in both
+
+
 def test_keywords_and_composite(spark):
     from cairnflow.functions import exprs as X
 
