@@ -62,7 +62,8 @@ class PositionalIndex:
             parts += w
             lengths.append(len(w))
         self.tokens = np.array(parts, np.int32)
-        self.ends = np.cumsum(lengths)
+        self.lengths = np.array(lengths, np.int64)
+        self.ends = np.cumsum(self.lengths)
         self.counts = np.bincount(self.tokens[self.tokens >= 0], minlength=len(vocab))
 
     def postings(self, needed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,8 +80,9 @@ def phrase_matches(
     """(document, item, terms in place) of each window found.
 
     A window is found where at least ``min_terms`` of its terms stand within ``slop`` words of
-    their place.  If so many agree, one of the ``n - min_terms + 1`` rarest terms does, so
-    starting from these loses nothing.
+    their place in one document; places before its start or past its end are misses.  If so many
+    agree, one of the ``n - min_terms + 1`` rarest terms does, so starting from every place within
+    ``slop`` of these loses nothing.
     """
     n, found = windows.n, []
     if not len(windows.terms) or not len(index.tokens):
@@ -88,6 +90,7 @@ def phrase_matches(
     counts = index.counts[windows.terms]
     by_rarity = np.argsort(counts, axis=1, kind="stable")
     limit = len(index.tokens)
+    shifts = range(-slop, slop + 1)
     for start_rank in range(n - min_terms + 1):
         offset = by_rarity[:, start_rank]
         anchor = windows.terms[np.arange(len(offset)), offset]
@@ -108,25 +111,34 @@ def phrase_matches(
             part, reps = use[lo:hi], size[lo:hi]
             win = np.repeat(part, reps)
             within = np.arange(len(win)) - np.repeat(np.cumsum(reps) - reps, reps)
-            pos = at[np.repeat(first[anchor[part]], reps) + within] - offset[win]
-            keep = (pos >= 0) & (pos + n <= limit)
-            win, pos = win[keep], pos[keep]
+            here = at[np.repeat(first[anchor[part]], reps) + within]
+            doc = np.searchsorted(index.ends, here, side="right")
+            pos = np.concatenate([here - offset[win] + d for d in shifts])
+            win, doc = np.tile(win, len(shifts)), np.tile(doc, len(shifts))
+            low, high = index.ends[doc] - index.lengths[doc], index.ends[doc]
+            if min_terms == n:  # each end has a term within slop of its place
+                keep = (pos + slop >= low) & (pos + n - slop <= high)
+                win, pos, doc, low, high = win[keep], pos[keep], doc[keep], low[keep], high[keep]
             hits = np.ones(len(win), np.int32)
             for left, k in zip(range(n - 2, -1, -1), (k for k in range(n) if k != start_rank)):
                 o = by_rarity[win, k]
                 want, ok = windows.terms[win, o], np.zeros(len(win), bool)
-                for d in range(-slop, slop + 1):
-                    ok |= index.tokens[np.clip(pos + o + d, 0, limit - 1)] == want
+                for d in shifts:
+                    place = pos + o + d
+                    ok |= (index.tokens[np.clip(place, 0, limit - 1)] == want) & (place >= low) & (place < high)
                 hits += ok
                 keep = hits + left >= min_terms
-                win, pos, hits = win[keep], pos[keep], hits[keep]
+                win, pos, doc, low, high, hits = (x[keep] for x in (win, pos, doc, low, high, hits))
             keep = hits >= min_terms
-            found.append((win[keep], pos[keep] + offset[win[keep]], hits[keep]))
+            found.append((win[keep], pos[keep], doc[keep], hits[keep]))
             lo = hi
     if not found:
         return (np.empty(0, np.int64),) * 3
-    win, pos, hits = (np.concatenate(x) for x in zip(*found))
-    return np.searchsorted(index.ends, pos, side="right"), windows.owner[win], hits
+    win, pos, doc, hits = (np.concatenate(x) for x in zip(*found))
+    if min_terms < n or slop:  # a place can be reached from several anchors
+        _, one = np.unique(np.stack([win, pos, doc]), axis=1, return_index=True)
+        win, doc, hits = win[one], doc[one], hits[one]
+    return doc, windows.owner[win], hits
 
 
 def leaked_items(
@@ -143,14 +155,14 @@ def leaked_items(
     """Documents that hold ``run`` consecutive words of a test item.
 
     Columns: ``doc_id, item_id, exact`` (all words in place, one after the other) and ``n_hits``
-    (places where a window of the item was found).  With ``min_terms`` below ``run`` or a
+    (distinct starts at which a window of the item was found).  With ``min_terms`` below ``run`` or a
     ``slop`` above 0 proximity matches are returned too.  Null, empty and shorter texts match
     nothing.  Items with the same text are reported each.  A repeated document row is reported
     for each row.  Without items or documents there are no rows.  Extra columns are ignored.
     """
     min_terms = run if min_terms is None else min_terms
     spark = docs.sparkSession
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter(F.length("text") >= 2 * run - 1)
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter(F.length("text") >= 2 * min_terms - 1)
     tests = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).filter(F.col("text").isNotNull())
     size = tests.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-int(size) // (6 * BLOCK_WORDS)))

@@ -39,3 +39,26 @@ def test_proximity(spark):
     assert {r.doc_id for r in near.collect()} == {1, 2, 3}
     exact = leakage.leaked_items(d, "doc_id", "text", i, "item_id", "text", run=8)
     assert {r.doc_id for r in exact.collect()} == {1}
+
+
+def test_proximity_against_brute_force():
+    rng, n = random.Random(8), 5
+    word = lambda: rng.choice("a b c d e f g h i j".split())
+    items = [(k, [word() for _ in range(7)]) for k in range(6)]
+    docs = [[word() for _ in range(rng.randrange(9))] for _ in range(60)] + [items[0][1][2:], items[1][1][:-2], []]
+    docs = [items[2][1][2:6]] + docs + [items[3][1][:4]]  # cut at both ends of the batch
+    windows = leakage.Windows([(k, " ".join(w)) for k, w in items], n)
+    index = leakage.PositionalIndex([" ".join(d) for d in docs], windows.vocab)
+
+    def places(doc, want, least, slop):
+        for at in range(-n - slop, len(doc) + slop + 1):
+            near = [doc[max(0, at + k - slop) : max(0, at + k + slop + 1)] for k in range(n)]
+            if sum(w in x for w, x in zip(want, near)) >= least:
+                yield at
+
+    for least, slop in ((5, 0), (4, 0), (3, 0), (5, 1), (4, 1), (3, 2)):
+        want = sorted(
+            (d, k) for d, doc in enumerate(docs) for k, w in items for j in range(len(w) - n + 1) for _ in places(doc, w[j : j + n], least, slop)
+        )
+        doc, item, hits = leakage.phrase_matches(index, windows, least, slop)
+        assert sorted(zip(doc.tolist(), item.tolist())) == want and (hits >= least).all(), (least, slop)
