@@ -58,6 +58,8 @@ PROFILES = {
 }
 #: A piece of text with a letter divergence above this is noise; short pieces are granted more.
 LETTER_LIMIT, LETTER_GRACE = 0.17, 9.0
+#: The same for running pieces of at least so many letters with next to no function words of any language.
+WORDLESS_LIMIT, WORDLESS_GRACE, WORDLESS_LETTERS, WORDLESS_SHARE = 0.11, 4.5, 60, 0.05
 #: The same for the classes of characters of a piece that has no row or entry form.
 CLASS_LIMIT, CLASS_CHARS = 0.20, 40
 #: Share of function words in prose.
@@ -164,11 +166,19 @@ def is_noise(text: str) -> bool:
         return True
     classes, letters = count_characters(text)
     far, _, n = letter_divergence(letters)
-    if n >= 8 and far > LETTER_LIMIT + LETTER_GRACE / n:
+    if n >= 8 and far > LETTER_LIMIT + LETTER_GRACE / n or is_wordless(text, far, n):
         return True
     return len(text) >= CLASS_CHARS and divergence(class_shares(classes), _CHARACTERS) > CLASS_LIMIT
 
 
+def is_wordless(text: str, far: float, n: int) -> bool:
+    """Whether a piece of ``n`` letters at this letter divergence has no function words to tell of a language."""
+    if n < WORDLESS_LETTERS or far <= WORDLESS_LIMIT + WORDLESS_GRACE / n:
+        return False
+    words = _WORD.findall(text.lower())
+    return sum(len(w) > 2 and w in _ANY_FUNCTION_WORD for w in words) < WORDLESS_SHARE * len(words)
+
+
 def _broken(text: str, one_in: int) -> bool:
     """Whether more than one of so many characters shows a broken encoding."""
     return not text.isascii() and len(_LATIN1_DEBRIS.findall(text)) * one_in > len(text)
@@ -207,6 +217,9 @@ def matter(text: str, calm: bool = False) -> dict[str, tuple[int, int]]:
             paragraph += 1
     opened = [x for x, kind, _ in lines if not kind]
     grid = _grid(opened)
+    blobs = "\n".join(x for x in opened if _blob(x))
+    far, _, n = letter_divergence(count_characters(blobs)[1])
+    wordless = is_wordless(blobs, far, n)  # together they tell more than one by one
     kinds, k = [], -1
     for line, kind, para in lines:
         if not kind:
@@ -217,7 +230,7 @@ def matter(text: str, calm: bool = False) -> dict[str, tuple[int, int]]:
                 kind = "entry"
             elif len(opened) > 1 and (_HEADING.match(line) or line.rstrip().endswith(":") and len(line) < 60):
                 kind = "heading"
-            elif len(line) >= 60 and len(line.split()) <= 3 and is_noise(line):
+            elif _blob(line) and (wordless or is_noise(line)):
                 kind = "prose"  # counted as noise below
             elif len(line.split()) <= 6 and not _SENTENCE.search(line) and not _function_words(line):
                 kind = "short"
@@ -246,6 +259,10 @@ def matter(text: str, calm: bool = False) -> dict[str, tuple[int, int]]:
     return {k: tuple(v) for k, v in out.items()}
 
 
+def _blob(line: str) -> bool:
+    return len(line) >= 60 and len(line.split()) <= 3
+
+
 def _grid(lines: list[str]) -> set[int]:
     """The lines that are rows of cells: the same separator, equally often, in most of them."""
     counts = [_separators(x) for x in lines]

@@ -70,3 +70,25 @@ def test_frame(spark):
     assert all(r.n_words == 0 and r.kind is None and r.symbol_ratio is None for r in got if r.doc_id in (2, 3, 4))
     assert [r.kind for r in got if r.doc_id == 5] == ["junk"]
     assert quality.text_quality(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_random_lower_case_letters_are_junk():
+    import random
+
+    rng = random.Random(3)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    for text in (
+        " ".join(letters(rng.randint(2, 9)) for _ in range(200)),
+        ". ".join(" ".join(letters(rng.randint(2, 9)) for _ in range(9)).capitalize() for _ in range(20)) + ".",
+        letters(900),
+        "\n".join(letters(76) for _ in range(12)),
+    ):
+        assert quality.measure(text)[-1] == "junk"
+    # languages without a profile have no known function words, but letters like a language
+    for text in (
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, "
+        "ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem "
+        "i powinni postępować wobec innych w duchu braterstwa.",
+    ):
+        assert quality.measure(text)[-1] == "prose"
