@@ -201,11 +201,8 @@ def _separators(line: str) -> dict[str, int]:
     }
 
 
-def matter(text: str, calm: bool = False) -> dict[str, tuple[int, int]]:
-    """(lines, characters) of running text, entries, cells, noise and fenced code.
-
-    ``calm`` says that the text as a whole is far inside the limits; its parts are then not
-    looked at for noise, since noise that mattered would have moved the whole."""
+def matter(text: str) -> dict[str, tuple[int, int]]:
+    """(lines, characters) of running text, entries, cells, noise and fenced code."""
     lines, fence, paragraph = [], False, 0
     for line in text.splitlines():
         if line.lstrip().startswith("```"):
@@ -247,7 +244,7 @@ def matter(text: str, calm: bool = False) -> dict[str, tuple[int, int]]:
         by_kind.setdefault(kind, []).append(line)
     for kind, mine in by_kind.items():
         noisy: set[str] = set()
-        if not calm and kind in ("prose", "entry", "cell"):
+        if kind in ("prose", "entry", "cell"):
             short = "\n".join(x for x in mine if len(x) < 200)
             noisy = {x for x in mine if len(x) >= 200 and (_cells_are_noise(x) if kind == "cell" else is_noise(x))}
             if short and (is_noise(short) if kind == "prose" else _cells_are_noise(short)):
@@ -341,7 +338,6 @@ def measure(text: str | None) -> tuple:
     best = max(mine, key=lambda k: (mine[k], k == "en"))
     far, nearest, n_letters = letter_divergence(letters)
     spread = divergence(class_shares(classes), _CHARACTERS)
-    calm = far < LETTER_LIMIT / 2 and spread < CLASS_LIMIT / 2 and not _broken(text, 25)
     return (
         n,
         sum(map(len, words)) / n if n else None,
@@ -352,11 +348,11 @@ def measure(text: str | None) -> tuple:
         far if n_letters else None,
         spread,
         word_divergence(known, best, n),
-        structure(text, count, n, classes, calm),
+        structure(text, count, n, classes),
     )
 
 
-def structure(text: str, count: Counter, n: int, classes: np.ndarray, calm: bool) -> str:
+def structure(text: str, count: Counter, n: int, classes: np.ndarray) -> str:
     """The nearest structural profile of a text that is not blank."""
     if is_symbols(classes, text):
         return "junk"
@@ -364,7 +360,7 @@ def structure(text: str, count: Counter, n: int, classes: np.ndarray, calm: bool
         data = text.encode("utf-8", "surrogatepass")
         if len(zlib.compress(data, 6)) < REPETITION * len(data):
             return "junk"
-    m = matter(text, calm)
+    m = matter(text)
     heading = m.pop("heading")
     m["prose"] = tuple(a + b for a, b in zip(m["prose"], m.pop("code")))
     n_lines, n_chars = (sum(v[i] for v in m.values()) for i in (0, 1))

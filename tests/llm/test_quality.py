@@ -92,3 +92,16 @@ def test_random_lower_case_letters_are_junk():
         "i powinni postępować wobec innych w duchu braterstwa.",
     ):
         assert quality.measure(text)[-1] == "prose"
+
+
+def test_noise_lines_beside_long_prose_are_junk():
+    import base64
+    import random
+
+    line = "The committee said that it would look at all of the reports before the end of the year and then write to them again. "
+    noise = base64.b64encode(random.Random(2).randbytes(57 * 14)).decode()
+    noise = "\n".join(noise[k : k + 76] for k in range(0, len(noise), 76))
+    prose = "\n".join([line * 5, line * 5])
+    m = quality.matter(noise + "\n" + prose)
+    assert m["noise"][0] == 14 and m["prose"][0] == 2
+    assert quality.measure(noise + "\n" + prose)[-1] == "junk"
