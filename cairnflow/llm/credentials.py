@@ -4,12 +4,16 @@ A lexer cuts a line into tokens (names, operators, quotes, literal values, the p
 with user information, whole private-key blocks).  A linear-chain conditional random field
 labels the tokens with shape features of the literal and context features (the name it is
 given to, the call it stands in, operators and quotes around it); the Viterbi path decides
-which tokens are secret, and exactly their characters are reported and redacted.
-
-Only lines that hold a word for a credential, a URL with user information, a login option or a
-key marker are lexed; every other line cannot name a secret.  The field is trained on
-generated lines (``credentials_training``), deterministically, once per driver process, and
-broadcast as a table of weights of a few kilobytes.  Finding is a map over the rows.
+which tokens are secret, and exactly their characters are reported and redacted.  A literal
+alone on its line is read together with the line that opens it (``password:``, ``API_KEYS = [``).
+
+A literal without a credential's name or option on its line and without a form that tells by
+itself (a vendor's prefix, a web token, a key block) has one feature, its bare form, and the
+trained weight of every bare form is negative.  Lines without any of ``CUES`` hold only such
+literals, so they are passed over without a loss; tests run the field over all lines of a
+table to show it.  Literals of any length are looked at.  The field is trained on generated
+lines (``credentials_training``), deterministically, once per driver process, and broadcast as
+a table of weights of a few kilobytes.  Finding is a map over the rows.
 """
 
 from __future__ import annotations
@@ -19,19 +23,28 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 MARK = "[REDACTED]"
 
-#: A longer literal that is no key block and no web token is an encoded file.
-LONGEST = 400
-
-#: What can make a line name a secret; used as written by the JVM filter and by the task.
-GATE = (
-    r"(?i)pass(?!es\b|ed\b|ages?\b|ing\b|age\b)|pwd|secret|token(?!s\b)|key(?![a-z])|cred|auth|bearer|\bpw\b|_pw\b|pw[\"']?\s*[:=]"
-    r"|login|signing|hmac|\s-u\s|\s-p\s?|://[^/\s:@]*:[^/\s@]+@|PRIVATE KEY"
+#: A literal of more characters is classed by its alphabet only, in linear time.
+LONG = 400
+
+#: Beginnings of literals that tell by themselves, and the middle parts of other vendors' forms.
+VENDOR_STARTS = (
+    "ghp_ gho_ ghu_ ghs_ ghr_ github_pat_ glpat- xoxa- xoxb- xoxp- xoxr- xoxs- sk- sk_ rk_ pk_live AKIA ASIA AIza ya29. npm_ hf_ "
+    "dop_v1_ SG."
+).split()
+VENDOR_MIDDLES = "live key pat prod tok test sec".split()
+
+#: Without one of these in a line (lower case) no token of it has more than its bare form.
+CUES = (
+    *"pass pwd secret token key cred auth bearer basic pw login signing hmac -----begin eyj".split(),
+    *(" -p", "\t-p", " -u", "\t-u", "--user"),
+    *(x.lower() for x in VENDOR_STARTS),
+    *(f"_{x}_" for x in VENDOR_MIDDLES),
 )
-_GATE = re.compile(GATE)
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*)-----.*?-----END \1-----", re.S)
 _LEX = re.compile(
     r"""(?P<scheme>[A-Za-z][A-Za-z0-9+.-]*://)(?P<user>[^\s:/@"'`<>\\]*)(?P<colon>:)(?P<pw>[^\s"'`/<>\\]+)(?P<at>@)(?=[\w$\[{])
@@ -42,28 +55,38 @@ _LEX = re.compile(
     |(?P<chunk>[^\s"'`\\()\[\]{}<>,;|]+)""",
     re.X,
 )
+_USER_INFO = re.compile(r"""[A-Za-z][A-Za-z0-9+.-]*://[^\s:/@"'`<>\\]*:[^\s"'`/<>\\]+@(?=[\w$\[{])""")
 _ASSIGN = re.compile(r"([A-Za-z_$-][\w.$-]*)(:=|=>|==|=|:)(.+)", re.S)
-_GLUED = re.compile(r"-p(?=.*[\d_.~&?!%+^$#*=-])([^-=\s][^\s]{5,})")
+_GLUED = re.compile(r"-p(?=.*[\d_.~&?!%+^$#*=-])([^-=\s][^\s]{2,})")
 _NAME_WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
+#: A line that holds one literal and no more.
+_LONE = re.compile(r"\s*[+-]?\s*(?:[-*]\s+)?(?:\"[^\"]*\"|'[^']*'|`[^`]*`|[^\s\"'`:=(){}\[\]]+)[\s,;)\]}]*\\?\s*")
+_OPENS = frozenset([":", "=", ":=", "=>", "[", "(", "{", "|", ">", "\\", ","])
 
 #: Words that name a credential, words that turn such a name into a setting, words for checksums and ids.
-CREDENTIAL_WORDS = frozenset(
-    "pass password passwd pwd passphrase passcode pw secret token key apikey credential credentials cred creds auth "
-    "bearer authorization login signing hmac clientsecret dbpassword userpass servicecredential basic".split()
+PASSWORD_WORDS = frozenset("pass password passwd pwd passphrase passcode pw dbpassword userpass".split())
+CREDENTIAL_WORDS = PASSWORD_WORDS | frozenset(
+    "secret token key apikey credential cred auth bearer authorization login signing hmac clientsecret servicecredential basic".split()
 )
+PLURALS = frozenset("passwords passphrases passcodes secrets tokens keys apikeys credentials creds".split())
 SETTING_WORDS = frozenset(
     "file path dir name names url uri id ids length len min max limit ttl count policy expiry expires rotation public "
     "hint type ref size per days hours minutes enabled required header version source prefix alias label field store "
     "cache primary partition sort foreign routing object row idempotency dedup group index".split()
 )
+AMOUNTS = frozenset("max min limit count ttl size len length".split())
 CHECKSUM_WORDS = frozenset(
     "sha sha1 sha256 md5 checksum digest hash commit etag fingerprint integrity revision uuid trace request build "
     "certificate cert serial".split()
 )
-_FUSED = re.compile(r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|key|credentials?|auth|bearer|pw)$")
+_FUSED = re.compile(
+    r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|credentials?|auth|bearer|pw|(?:api|app|access|secret|private|master|sign(?:ing)?|"
+    r"encryption|auth|client|session|license|account|shared|service|deploy|admin|user|db)key)$"
+)
 _PLACEHOLDER = re.compile(
     r"(?i)^(?:x{3,}|\*{3,}|\.{3,}|-+|_+|0+|null|none|nil|true|false|undefined|empty|todo|tbd|n/a|<.*>|\[.*\]|changeme|change[-_]me|"
-    r"replace[-_]?me|redacted|.*redacted.*|placeholder|dummy|(?:your|example|sample|my|insert|enter)[-_].*|fixme|secret|password|token|test)$"
+    r"replace[-_]?me|redacted|.*redacted.*|placeholder|dummy|(?:your|example|sample|my|insert|enter)[-_].*|fixme|secret|password|token|test|"
+    r"required|optional|enabled|disabled|hidden|prompt|ask|unset|missing|invalid|expired|yes|no|on|off|string|str|bytes|never|always)$"
 )
 _REFERENCE = re.compile(
     r"(?i)^(?:\$.*|%[A-Z_]+%|.*\$\{.*|.*\{\{.*|env:.*|vault:.*|vault\..*|file:.*|secretref.*|arn:.*|ssm:.*|process\.env.*|os\.environ.*|"
@@ -72,8 +95,9 @@ _REFERENCE = re.compile(
 _PART = r"[a-z]+|[A-Z]+|[A-Z]?[a-z]+(?:[A-Z][a-z]{2,})+|[A-Z][a-z]+"
 _SHAPES = [
     ("pem", re.compile(r"^-----BEGIN")),
-    ("known", re.compile(r"^(?:gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk-|sk_|rk_|pk_live|AKIA|ASIA|AIza|ya29\.|npm_|hf_|dop_v1_|SG\.)[\w.-]{8,}")),
-    ("vendor", re.compile(r"^[a-z]{2,5}_(?:live|key|pat|prod|tok|test|sec)_[A-Za-z0-9]{12,}$")),
+    # behind a vendor's prefix a run that is no word: with a digit, or very long
+    ("known", re.compile(r"^(?:%s)(?=[\w.-]*?(?:(?=[A-Za-z]*\d)[A-Za-z0-9]{10}|[A-Za-z]{30}))[\w.-]{8,}" % "|".join(map(re.escape, VENDOR_STARTS)))),
+    ("vendor", re.compile(r"^[a-z]{2,5}_(?:%s)_(?=[A-Za-z]*\d)(?=[a-z0-9]*[A-Z])[A-Za-z0-9]{12,}$" % "|".join(VENDOR_MIDDLES))),
     ("jwt", re.compile(r"^eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]*")),
     ("uuid", re.compile(r"(?i)^[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}$")),
     ("digest", re.compile(r"(?i)^(?:sha\d+|md5)[:-]")),
@@ -83,7 +107,8 @@ _SHAPES = [
     ("url", re.compile(r"^(?:https?|[a-z]+)://|^[\w-]+(?:\.[\w-]+)*\.(?:com|org|net|io|example|test|invalid|internal|local)(?:[:/].*)?$")),
     ("filepath", re.compile(r"^[~.]{0,2}/?(?:[\w.-]+/)+[\w.-]*\.[A-Za-z]{1,5}$|^[~.]{0,2}/(?:[a-z][\w.-]*/)+[a-z][\w.-]*$")),
     ("wordmix", re.compile(r"^[A-Z][a-z]+[^\w\s]?_?\d{2,5}[a-z]+$")),
-    ("phrase", re.compile(r"^[a-z]+[^\w\s]?_?[a-z]*[-_.&^+$~!%#=?*][a-z]+\d{2,}$")),
+    ("phrase", re.compile(r"^[a-z]+(?:[^\w\s]|_)[a-z]+(?:[^\w\s]|_)[a-z]+\d{2,}$")),
+    ("mixed", re.compile(r"^[a-z]+[^\w\s.-][a-z]+\d{2,}$")),
     ("leet", re.compile(r"^(?=[a-z]*\d)[a-z0-9]{4,10}[-_.~&?!%+=^$#*][A-Za-z0-9]{4,6}$")),
     ("base64", re.compile(r"^(?=.*[A-Z])(?=.*[a-z])(?=.*[0-9/+])[A-Za-z0-9+/]{20,}={0,2}$")),
     ("camel", re.compile(r"^[A-Za-z][a-z]+(?:[A-Z][a-z]+)+\d{0,2}$")),
@@ -91,6 +116,14 @@ _SHAPES = [
 ]
 
 
+_SELF_TELLING = frozenset(["pem", "known", "vendor", "jwt"])
+_LONG_SHAPES = [
+    ("jwt", _SHAPES[3][1]),
+    ("hex", re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")),
+    ("base64", re.compile(r"[A-Za-z0-9+/]+={0,2}")),
+]
+
+
 class Token:
     __slots__ = ("text", "start", "end", "kind", "quoted")
 
@@ -100,22 +133,37 @@ class Token:
 
 @lru_cache(maxsize=20_000)
 def name_class(name: str) -> str:
-    """cred, setting, sum or none: what a name says about the value it is given to."""
+    """pw, cred, many (a plural), setting, sum or none: what a name says about the value it is given to."""
     parts = [w.lower() for w in _NAME_WORD.findall(name)]
-    if not parts:
-        return "none"
-    whole = "".join(parts)
-    cred = any(p in CREDENTIAL_WORDS for p in parts) or _FUSED.search(whole)
-    if cred and any(p in SETTING_WORDS or p == "tokens" for p in parts):
+    at = max((k for k, p in enumerate(parts) if p in CREDENTIAL_WORDS or p in PLURALS), default=-1)
+    if at < 0:
+        if any(p in CHECKSUM_WORDS for p in parts):
+            return "sum"
+        return "cred" if parts and _FUSED.search("".join(parts)) else "none"
+    word, before, after = parts[at], parts[:at], parts[at + 1 :]
+    if any(p in SETTING_WORDS for p in after) or "public" in before:
+        return "setting"
+    if any(p in CHECKSUM_WORDS for p in after):
+        return "sum"
+    # "cache" says what a key is for and "max" what a number of tokens is; before other words they only say whose it is
+    if before and (word in ("key", "keys") and before[-1] in SETTING_WORDS or word in ("token", "tokens") and before[-1] in AMOUNTS):
         return "setting"
-    if any(p in CHECKSUM_WORDS for p in parts):
+    if before and word in ("key", "keys") and before[-1] in CHECKSUM_WORDS:
         return "sum"
-    return "cred" if cred else "none"
+    if word in PLURALS:
+        return "many"
+    return "pw" if word in PASSWORD_WORDS else "cred"
 
 
-@lru_cache(maxsize=20_000)
 def shape(text: str) -> str:
     """The class of a literal, by its form alone."""
+    if len(text) > LONG:
+        return next((label for label, p in _LONG_SHAPES if p.fullmatch(text)), "long")
+    return _shape(text)
+
+
+@lru_cache(maxsize=20_000)
+def _shape(text: str) -> str:
     if _PLACEHOLDER.match(text):
         return "placeholder"
     if _REFERENCE.match(text):
@@ -160,7 +208,11 @@ def _refine(text: str, start: int, first: bool, flag: str, out: list) -> None:
     if glued:  # an option with its value, without a blank
         out += [Token("-p", start, start + 2, "name"), Token(glued.group(1), start + 2, start + tail, "pw")]
         body = ""
-    elif body.endswith("=") and body[:-1].replace(".", "").replace("-", "").isidentifier():
+    elif (
+        body.endswith("=")
+        and body[:-1].replace(".", "").replace("-", "").isidentifier()
+        and (name_class(body[:-1]) != "none" or shape(body[:-1]) not in ("base64", "random", "hex", "known", "leet"))
+    ):
         out += [Token(body[:-1], start, start + tail - 1, "name"), Token("=", start + tail - 1, start + tail, "op")]
         body = ""
     if body:
@@ -181,7 +233,7 @@ def lex(line: str, offset: int = 0) -> list[Token]:
             continue
         kind = m.lastgroup
         if kind == "at":
-            for g, k in (("scheme", "scheme"), ("user", "name"), ("colon", "op"), ("pw", "pw"), ("at", "op")):
+            for g, k in (("scheme", "scheme"), ("user", "user"), ("colon", "op"), ("pw", "pw"), ("at", "op")):
                 if m.group(g):
                     out.append(Token(m.group(g), m.start(g), m.end(g), k))
         elif kind == "q":
@@ -199,8 +251,14 @@ def lex(line: str, offset: int = 0) -> list[Token]:
                 pos, first, flag = close + len(quote), False, ""
                 continue
         elif kind == "chunk":
-            _refine(m.group(), m.start(), first, flag, out)
-            flag = m.group()
+            chunk = m.group()
+            url = _USER_INFO.search(line, pos) if "://" in chunk else None
+            if url and pos < url.start() < m.end():  # a URL right behind an operator
+                _refine(line[pos : url.start()], pos, first, flag, out)
+                pos, first, flag = url.start(), False, ""
+                continue
+            _refine(chunk, pos, first, flag, out)
+            flag = chunk
         elif kind in ("esc", "d"):
             out.append(Token(m.group(), m.start(), m.end(), "punct"))
         if kind != "space":
@@ -214,29 +272,36 @@ def lex(line: str, offset: int = 0) -> list[Token]:
 
 
 _CANDIDATE = {"word", "pw", "pem"}
+_NAMES = {"pw", "cred", "many", "setting", "sum"}
+_OPTIONS = {"bearer", "basic", "-p", "-u", "--password", "--token", "--secret", "--user"}
+_READS = re.compile(r"(?i)(?:\w+\.)*(?:get|read|load|fetch|lookup)")
+
+
+def names_of(tokens: list[Token]) -> list[str]:
+    return [name_class(t.text) if t.kind in ("word", "name") and len(t.text) <= 60 else "none" for t in tokens]
 
 
 def features(tokens: list[Token]) -> list[list[str]]:
     """Shape and context features of each token."""
     out = []
-    names = [name_class(t.text) if t.kind in ("word", "name") and len(t.text) <= 60 else "" for t in tokens]
+    names = names_of(tokens)
+    named = any(x != "none" for x in names)
     for i, t in enumerate(tokens):
-        if t.kind not in _CANDIDATE or len(t.text) < 4:
+        if t.kind not in _CANDIDATE:
             out.append([f"kind={t.kind}"])
             continue
-        if len(t.text) > LONGEST and t.kind != "pem" and not t.text.startswith("eyJ"):
-            out.append(["kind=punct"])  # an encoded file
-            continue
-        form = "pem:" + ("private" if "PRIVATE KEY" in t.text[:60] else "other") if t.kind == "pem" else shape(t.text)
+        if t.kind == "pem":
+            form = "pem:" + ("private" if "PRIVATE KEY" in t.text[:60] else "other")
+        else:
+            form = shape(t.text)
         prev = [tokens[j].text.lower() if j >= 0 else "^" for j in (i - 1, i - 2, i - 3)]
-        after = tokens[i + 1].text.lower()[:12] if i + 1 < len(tokens) else "$"
         key, distance, call, crossed = "none", 0, "", ""
         j, steps = i - 1, 0
-        while j >= 0 and steps < 9:
+        while named and j >= 0 and steps < 9:
             text = tokens[j].text
-            if names[j] and names[j] != "none":
+            if names[j] != "none":
                 key, distance = names[j], steps
-                if j + 1 < len(tokens) and tokens[j + 1].text == "(" and re.match(r"(?i)(?:\w+\.)*(?:get|read|load|fetch|lookup)", text):
+                if j + 1 < len(tokens) and tokens[j + 1].text == "(" and _READS.match(text):
                     call = "get"
                 break
             if text in (",", ";", "}", "|") and steps > 0:
@@ -246,10 +311,14 @@ def features(tokens: list[Token]) -> list[list[str]]:
             else:
                 steps += 1
             j -= 1
-        if call == "" and prev[0] in ("(", '"', "'") and any(re.match(r"(?i)(?:\w+\.)*(?:get|read|load|fetch)", p) for p in prev[1:]):
+        if key == "none" and t.kind == "word" and form not in _SELF_TELLING and prev[0] not in _OPTIONS:
+            out.append([f"bare={form}"])
+            continue
+        after = tokens[i + 1].text.lower()[:12] if i + 1 < len(tokens) else "$"
+        if call == "" and prev[0] in ("(", '"', "'") and any(_READS.match(p) for p in prev[1:]):
             call = "get"
         link = "".join(x.text if len(x.text) < 3 else "w" for x in tokens[max(j + 1, 0) : i])[:10] if key != "none" else ""
-        own = names[i] if names[i] else "none"
+        own = names[i]
         f = [
             f"kind={t.kind}",
             f"form={form}",
@@ -261,15 +330,19 @@ def features(tokens: list[Token]) -> list[list[str]]:
             f"prev={prev[0][:10]}|key={key}",
             f"next={after}",
             f"link={link}",
+            f"link={link}|key={key}|form={form}",
             f"own={own}",
             f"own={own}|form={form}",
             f"quoted={t.quoted}|form={form}",
             f"len={min(len(t.text) // 6, 6)}",
+            f"len={min(len(t.text), 6)}|key={key}",
             f"crossed={crossed[:2]}|key={key}",
         ]
+        if len(t.text) > LONG:
+            f.append(f"long|key={key}|form={form}")
         if call:
             f.append("call=get")
-        if prev[0] in ("bearer", "basic", "-p", "-u", "--password", "--token", "--secret", "is", "was"):
+        if prev[0] in _OPTIONS or prev[0] in ("is", "was"):
             f.append(f"cue={prev[0]}|form={form}")
         out.append(f)
     return out
@@ -297,12 +370,15 @@ class Field:
 
     def __init__(self, weights: dict[str, float], trans: tuple):
         self.weights, self.trans = weights, trans
+        start1, t00, t01, t10, t11 = trans
+        # with all scores below this no path through a secret beats the plain one
+        self.floor = -max(max(start1, t01 - t00) + max(t10 - t00, 0.0), t11 - t00) - 1e-9
 
     def secrets_of_line(self, tokens: list[Token]) -> list[tuple[int, int]]:
-        if not any(t.kind in _CANDIDATE and len(t.text) >= 4 for t in tokens):
-            return []
         get = self.weights.get
         scores = [sum([get(f, 0.0) for f in fs]) for fs in features(tokens)]
+        if not scores or max(scores) < self.floor:
+            return []
         labels = viterbi(scores, self.trans)
         spans: list[list[int]] = []
         for t, y in zip(tokens, labels):
@@ -314,32 +390,58 @@ class Field:
                 spans.append([t.start, t.end])
         return [tuple(s) for s in spans]
 
-    def find(self, text: str | None) -> list[tuple[int, int]]:
-        """Places of the secrets in a text."""
-        if not text or not _GATE.search(text):
+    def find(self, text: str | None, every_line: bool = False) -> list[tuple[int, int]]:
+        """Places of the secrets in a text; with ``every_line`` also lines without cues are lexed."""
+        if not text or not (every_line or may_hold(text.lower())):
             return []
+        out: list[tuple[int, int]] = []
         blocks = list(_PEM.finditer(text)) if "-----BEGIN" in text else []
-        out, pos = [], 0
-        pending: list[Token] = []
+        pos, held = 0, []  # tokens of a line that holds a key block
+        opener: list[Token] = []
         for block in [*blocks, None]:
-            stop = block.start() if block else len(text)
             at = pos
-            for line in text[pos:stop].split("\n"):
-                if at > pos or not pending:
-                    if pending:
-                        out += self.secrets_of_line(pending)
-                    pending = []
-                if _GATE.search(line) or block is not None and at + len(line) == stop or pending:
-                    pending = pending + lex(line, at)
+            lines = text[pos : block.start() if block else len(text)].split("\n")
+            for k, line in enumerate(lines):
+                if k and held:
+                    out += self.secrets_of_line(held)
+                    held = []
+                if held or block and k == len(lines) - 1:
+                    held, opener = held + lex(line, at), []
+                elif opener and _LONE.fullmatch(line):
+                    out += [s for s in self.secrets_of_line(opener + lex(line, at)) if s[0] >= at]
+                    bare = line.strip().lstrip("+ ")
+                    if not (bare.startswith("- ") or bare.endswith(",")):
+                        opener = []
+                elif every_line or may_hold(line.lower()):
+                    tokens = lex(line, at)
+                    out += self.secrets_of_line(tokens)
+                    opener = opening(tokens)
+                else:
+                    opener = []
                 at += len(line) + 1
             if block:
-                pending.append(Token(block.group(), block.start(), block.end(), "pem"))
+                held.append(Token(block.group(), block.start(), block.end(), "pem"))
                 pos = block.end()
-        if pending:
-            out += self.secrets_of_line(pending)
+        if held:
+            out += self.secrets_of_line(held)
         return out
 
 
+def may_hold(low: str) -> bool:
+    """Whether a lower-case text has a cue, or a URL that may hold user information."""
+    for cue in CUES:
+        if cue in low:
+            return True
+    return "://" in low and "@" in low or low.startswith(("-p", "-u"))
+
+
+def opening(tokens: list[Token]) -> list[Token]:
+    """The end of a line, if it names a credential and leaves the value to the next line."""
+    if tokens and tokens[-1].text in _OPENS and any(x in ("pw", "cred", "many") for x in names_of(tokens[-4:])):
+        return tokens[-5:]
+    return []
+
+
 def redact(text: str | None, spans: list[tuple[int, int]]) -> str | None:
     """The text with the given places replaced and all other characters unchanged."""
     for a, b in sorted(spans, reverse=True):
@@ -363,10 +465,6 @@ def redact_credentials(rows: DataFrame, row_id: str, fields: tuple[str, ...]) ->
     """
     shared = rows.sparkSession.sparkContext.broadcast(trained())
     slim = rows.select(F.col(row_id).alias("id"), *[F.col(f) for f in fields])
-    hit = F.lit(False)
-    for f in fields:
-        hit = hit | F.coalesce(F.col(f).rlike(GATE), F.lit(False))
-    secrets_type = "array<struct<field:string,start:int,end:int,secret:string>>"
     outs = [f"{f}_redacted" for f in fields]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -381,16 +479,26 @@ def redact_credentials(rows: DataFrame, row_id: str, fields: tuple[str, ...]) ->
                         values[k] = redact(text, spans)
             yield pd.DataFrame({"id": pdf["id"], **dict(zip(outs, columns.values())), "secrets": found})
 
-    id_type = dict(slim.dtypes)["id"]
-    schema = f"id {id_type}, {', '.join(f'{o} string' for o in outs)}, secrets {secrets_type}"
-    looked = slim.filter(hit).mapInPandas(run, schema)
-    rest = slim.filter(~hit).select(
-        "id", *[F.col(f).alias(o) for f, o in zip(fields, outs)], F.expr(f"cast(array() as {secrets_type})").alias("secrets")
-    )
-    return looked.unionByName(rest)
+    schema = f"id {dict(slim.dtypes)['id']}, {', '.join(f'{o} string' for o in outs)}, secrets array<struct<field:string,start:int,end:int,secret:string>>"
+    return slim.mapInPandas(run, schema)
 
 
 def found_secrets(rows: DataFrame, row_id: str, fields: tuple[str, ...]) -> DataFrame:
     """``id, field, secret``: each distinct secret of each row."""
-    found = redact_credentials(rows, row_id, fields).filter(F.size("secrets") > 0)
-    return found.select("id", F.explode("secrets").alias("s")).select("id", "s.field", "s.secret").distinct()
+    shared = rows.sparkSession.sparkContext.broadcast(trained())
+    slim = rows.select(F.col(row_id).alias("id"), *[F.col(f) for f in fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = shared.value.find
+        for batch in batches:
+            row, field, secret = [], [], []
+            for f in fields:
+                for k, text in enumerate(batch.column(f).to_pylist()):
+                    for a, b in find(text):
+                        row.append(k)
+                        field.append(f)
+                        secret.append(text[a:b])
+            ids = batch.column("id").take(pa.array(row, pa.int64()))
+            yield pa.record_batch([ids, pa.array(field, pa.string()), pa.array(secret, pa.string())], names=["id", "field", "secret"])
+
+    return slim.mapInArrow(run, f"id {dict(slim.dtypes)['id']}, field string, secret string").distinct()

@@ -7,14 +7,15 @@ conditional likelihood by forward-backward and Adam.  Everything is seeded.
 
 from __future__ import annotations
 
+import base64
 import random
 
 import numpy as np
 
-from cairnflow.llm.credentials import Token, features, lex
+from cairnflow.llm.credentials import LONG, Token, features, lex, name_class, shape
 
 #: Generated lines and passes over them.
-LINES, PASSES = 5_000, 60
+LINES, PASSES = 8_000, 60
 
 _WORDS = (
     "maple river copper cloud north engine parser falcon meadow silver amber tiger ocean forest pilot rocket garden "
@@ -34,6 +35,14 @@ _SETTINGS = (
     "partition_key idempotency_key object_key"
 ).split()
 _CHECKSUMS = "sha256 commit checksum etag digest request_id trace_id build_hash md5 fingerprint cert_serial".split()
+#: Whose a credential is; some of these words elsewhere make a name a setting.
+_OWNERS = "cache store index header group field queue agent batch source label object worker row".split()
+_PLURALS = "API_KEYS tokens passwords api_keys secrets access_tokens signingKeys credentials".split()
+_PLAIN_PASSWORDS = (
+    "sunshine dragon monkey hunter letmein qwerty welcome princess football shadow master trustno starwars freedom whatever abc iloveyou "
+    "summer winter flower cheese banana secretword opensesame"
+).split()
+_STATES = "required optional enabled disabled hidden prompt ask unset missing invalid expired yes no on off string str bytes always never".split()
 _OTHERS = "image host queue region path level target cache branch name user topic bucket zone title".split()
 
 
@@ -53,14 +62,17 @@ class Maker:
 
     def name(self, base):
         r = self.r
-        n = r.choice([base, base, base, f"{self.word()}_{base}", f"{self.word()}.{base}"])
+        owner = r.choice(_OWNERS) if r.random() < 0.4 and base not in ("key", "token") else self.word()
+        n = r.choice([base, base, base, f"{owner}_{base}", f"{owner}.{base}"])
         return r.choice([n, n, n.upper().replace(".", "_")])
 
     def secret(self):
         r = self.r
         alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
         sign = r.choice("-_.~+=&%!?^$*#")
-        kind = r.randrange(14)
+        kind = r.randrange(15)
+        if kind == 14:
+            return self.chars(alnum, 30, 60) if r.random() < 0.5 else base64.b64encode(f"{self.word()}:{self.word().title()}_{r.randrange(999)}{self.word()}".encode()).decode()
         if kind == 0:
             return f"{self.word().title()}{sign}{r.randrange(100, 9999)}{self.word()}"
         if kind == 1:
@@ -102,30 +114,97 @@ class Maker:
                 "${" + up + "}", "$" + up, "{{ vault." + self.word() + ".x }}", "x" * r.randint(8, 24), "*" * r.randint(3, 12),
                 "changeme", "REPLACE_ME", "<redacted>", "", "null", f"example-{self.word()}-token", f"<your-{self.word()}-here>",
                 f"env:{up}", f"vault:{self.ident()}", f"file:///etc/{self.word()}/secret", f"/run/secrets/{self.ident()}",
-                "your-token-here", "none", "dummy", "placeholder",
+                "your-token-here", "none", "dummy", "placeholder", r.choice(_STATES), r.choice(_STATES),
             ]
         )
 
     def quoted(self, v):
-        q = self.r.choice(['"', '"', "'"])
+        q = self.r.choice(['"', '"', "'", "'", "`"])
         return f"{q}{v}{q}"
 
     def assign(self, name, value, bare=True):
         r = self.r
         v = value if bare and r.random() < 0.35 else self.quoted(value)
-        lead = r.choice(["", "", "  ", "    ", "\t", "+", "+  ", "- ", "export ", "const ", "self."])
+        lead = r.choice(["", "", "  ", "    ", "\t", "+", "+  ", "- ", "export ", "const ", "var ", "self."])
         form = r.choice(["{n}={v}", "{n} = {v}", "{n}: {v}", '"{n}": {q}', "{n}: {v},", "{n} := {v}", '{l}["{n}"] = {q}', "{n}={v}  # rotate me"])
         return lead + form.format(n=name, v=v, q=self.quoted(value), l=self.word())
 
+    def plain_password(self):
+        """A value that only its name tells to be a password."""
+        r, w = self.r, self.r.choice(_PLAIN_PASSWORDS)
+        w = r.choice([w, w, w + str(r.randrange(1000)), w.title() + str(r.randrange(100)), w[:3], str(r.randrange(1000, 10**6))])
+        name = self.name(r.choice([n for n in _CREDENTIALS if name_class(n) == "pw"]))
+        v = w if r.random() < 0.6 else self.quoted(w)
+        if r.random() < 0.1:
+            w = f"{w}{r.randrange(10)}"
+            return f"mysql -u {self.word()} -p{w} {self.word()}", w
+        return r.choice(["", "  ", "export ", "+"]) + r.choice([f"{name}: {v}", f"{name}={v}", f"{name} = {self.quoted(w)}", f'"{name}": "{w}"', f"{name}: {v}  # old"]), w
+
+    @staticmethod
+    def tells(s):
+        return shape(s) in ("known", "vendor", "jwt")
+
+    def self_telling(self):
+        """A literal that needs no name."""
+        r, s = self.r, ""
+        while not self.tells(s):
+            s = self.secret()
+        return r.choice(
+            [
+                f"{self.word().upper()}={s}", s, f'{self.word()} = "{s}"', f"{self.word()}: {s}", f"use {s} for {self.ident()}",
+                f'connect("{self.ident()}", "{s}")', f"{self.ident()} {s}", f"  '{s}',", f"echo {s} | {self.word()}", f'{{"{self.word()}": "{s}"}}',
+            ]
+        ), s
+
+    def several_lines(self):
+        """(tokens, labels) of a literal alone on its line, behind the line that opens it."""
+        r, s = self.r, self.secret()
+        good = r.random() < 0.6
+        name = self.name(r.choice(_PLURALS + _CREDENTIALS if good or r.random() < 0.5 else _SETTINGS + _OTHERS))
+        value = s if good else r.choice([self.decoy() or "none", self.ident(), self.ident(), self.chars("0123456789abcdef", 40, 64)])
+        head = lex(r.choice([f"{name} = [", f"{name}:", f"  {name}: [", f"{name} = \\", f'"{name}": [', f"{name} = (", f"{name}: |", f"{name}: >"]))
+        n = max((t.end for t in head), default=0) + 1
+        tail = lex(r.choice([f"  {self.quoted(value)},", f"    {value}", f"  - {value}", f"  {self.quoted(value)}", f"- {self.quoted(value)}"]), n)
+        if name_class(name) not in ("pw", "cred", "many"):
+            head = []  # the reader does not join such lines
+        live = value == s and (name_class(name) in ("pw", "cred", "many") or self.tells(s))
+        tokens = head[-5:] + tail
+        return tokens, [int(live and t.text == s and t.start >= n) for t in tokens]
+
+    def unnamed(self):
+        """Literals of every form that no name makes a credential."""
+        r = self.r
+        alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+        v = r.choice(
+            [
+                self.chars("0123456789abcdef", 7, 64), self.chars(alnum + "+/", 20, 76), self.chars(alnum + r.choice(["+/", "-_"]), 500, 900), self.ident() + str(r.randrange(99)),
+                f"{self.word().title()}_{r.randrange(999)}{self.word()}", f"{self.word()}.{self.word()}{r.randrange(10, 99)}", self.chars(alnum, 8, 16),
+                f"2026-0{r.randrange(1, 9)}-11T0{r.randrange(9)}:20:39", f"{r.randrange(99)}.{r.randrange(99)}", f"{self.word()}@{self.word()}.test", self.word() + "!",
+                f"r{r.randrange(9)}ck{self.word()[:3]}-{self.chars(alnum, 5, 5)}", "é" + self.word(), "ok", "-x", self.chars("0123456789", 1, 12), f"src/{self.word()}/{self.ident()}.py",
+            ]
+        )
+        return r.choice([f"git show {v}", v, f"{self.word()} = {self.quoted(v)}", f"{self.word()}: {v}", f"see {v} for {self.ident()}", f'{{"{self.word()}": "{v}"}}', f"{self.word().upper()}={v}"])
+
+    def long_value(self):
+        """A literal above the limit for looking at its parts, with a credential's name or another."""
+        r, good = self.r, self.r.random() < 0.5
+        alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+        s = self.chars(r.choice([alnum, alnum + "+/", alnum + "-_", "0123456789abcdef"]), LONG + 1, 2 * LONG)
+        name = self.name(r.choice([n for n in _CREDENTIALS if name_class(n) != "setting"] if good else _OTHERS + _SETTINGS + _CHECKSUMS + ["data", "payload", "public_key"]))
+        return f"{name}{r.choice([' = ', ': ', '='])}{self.quoted(s)}", s if good else None
+
     def positive(self):
         r, s = self.r, self.secret()
         cred, host = self.name(r.choice(_CREDENTIALS)), f"{self.ident()}.{r.choice(['test', 'example', 'internal', 'corp.example'])}"
-        k = r.randrange(22)
-        if k < 8:
+        k = r.randrange(25)
+        if k < 9:
             return self.assign(cred, s), s
         line = [
             lambda: f"curl -s -H {self.quoted(r.choice(['Authorization: Bearer ', 'X-Api-Key: ', 'X-Auth-Token: ', 'Authorization: Basic ']) + s)} https://{host}/v1/{self.word()}",
-            lambda: f'"headers": {{"Authorization": "Bearer {s}"}}',
+            lambda: f'"headers": {{"Authorization": "{r.choice(["Bearer", "Basic", "token"])} {s}"}}',
+            lambda: f'h["Authorization"] = "{r.choice(["Bearer", "Basic", "token"])} {s}"',
+            lambda: f"Authorization: {r.choice(['Bearer', 'Basic', 'token'])} {s}",
+            lambda: f"{r.choice(_PLURALS)} = [{self.quoted(s)}]",
             lambda: f'req.Header.Set("{r.choice(["X-Auth-Token", "X-Api-Key", "Authorization"])}", "{s}")',
             lambda: f'opts = append(opts, With("{cred}", "{s}"))',
             lambda: f"kw.setdefault('{cred}', {self.quoted(s)})",
@@ -144,15 +223,16 @@ class Maker:
             lambda: f'{{"repo": "{self.ident()}", "cmd": "deploy --token {s} --dry-run"}}',
             lambda: f'run({cred}="{s}")',
             lambda: f"mysql -h {host} -u {self.word()} -p{s} {self.word()}",
+            lambda: f"{r.choice(['mysql', 'mysqldump', 'mariadb'])} -u {self.word()} -p{s} {self.word()}",
             lambda: f"{r.choice(['login', 'password', 'key'])} for {self.ident()} {r.choice(['stays', 'is now', 'remains'])} {s} for now",
             lambda: f"sshpass -p {self.quoted(s)} ssh ops@{host}",
             lambda: f"curl -u {self.word()}:{s} https://{host}",
         ]
-        if k < 19:
+        if k < 22:
             return r.choice(line)(), s
         s = s.replace("/", "x").replace("@", "x")
         url = f"{r.choice(['postgresql', 'redis', 'amqp', 'mysql', 'https'])}://{self.ident()}:{s}@{host}{r.choice(['', ':5432'])}/{self.word()}"
-        return r.choice([f"dsn: {url}", f'conn = connect("{url}")', f"{self.word().upper()}_URL={url}", f"git clone {url}.git", f'"remote": "{url}.git"']), s
+        return r.choice([f"dsn: {url}", f"export {self.word().upper()}_URL={url}", f"{self.word()}_url={url}", f'conn = connect("{url}")', f"{self.word().upper()}_URL={url}", f"git clone {url}.git", f'"remote": "{url}.git"']), s
 
     def negative(self):
         r, cred = self.r, self.name(self.r.choice(_CREDENTIALS))
@@ -182,6 +262,11 @@ class Maker:
                     f"login to {self.ident()} with your own key, see docs/{self.word()}/{self.ident()}.md",
                     f"{self.ident()} reads the password file in src/{self.word()}/{self.ident()}.yaml after {r.randrange(999)} tries",
                     f"git checkout -b {self.ident()}-auth-token",
+                    f"The tokens of {self.ident()} and the keys of {self.ident()} passed {r.randrange(999)} checks before the authors signed {self.ident()}{r.randrange(99)}.",
+                    f"func (a *{self.word().title()}) {self.word()}Key(ctx context.Context, {self.word()}Pass int) error {{",
+                    f"for key, {self.word()} in {self.ident()}.items():",
+                    f"if token == {self.word()}.{self.word()}{r.randrange(99)} && {self.word()} != nil {{",
+                    f"{self.word()}({self.ident()}.password, {self.word()}.{self.word()})",
                     f"make {self.ident()} KEY={self.ident()}",
                     f"mysql -h {self.ident()}.test -u {self.word()} -p {self.word()}",
                     f"mkdir -p {self.word()}/{self.ident()} && cp -p {self.ident()} {self.word()}",
@@ -222,12 +307,24 @@ class Maker:
         k = self.r.random()
         if k < 0.06:
             return self.key_block()
-        if k < 0.5:
-            line, secret = self.positive()
+        if k < 0.11:
+            return self.several_lines()
+        if k < 0.13:
+            line, secret = self.long_value()
+            tokens = lex(line)
+            return tokens, [int(t.text == secret) for t in tokens]
+        if k < 0.18:
+            return self.plain(self.unnamed())
+        if k < 0.55:
+            line, secret = self.positive() if k < 0.47 else self.plain_password() if k < 0.51 else self.self_telling()
             tokens = lex(line)
             labels = [int(t.text == secret) for t in tokens]
             return tokens, labels
-        tokens = lex(self.negative())
+        return self.plain(self.negative())
+
+    @staticmethod
+    def plain(line):
+        tokens = lex(line)
         return tokens, [0] * len(tokens)
 
 
@@ -262,6 +359,7 @@ def train(n: int = LINES, passes: int = PASSES, seed: int = 11) -> tuple[dict[st
     params = [w, trans]
     m1, m2 = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     last = mask.sum(axis=1) - 1
+    bare = np.array([i for f, i in vocab.items() if f.startswith("bare=")])
     for step in range(1, passes + 1):
         e = np.bincount(place, w[ids], n * width).reshape(n, width)
         e = np.stack([np.zeros_like(e), e], axis=2)
@@ -293,4 +391,5 @@ def train(n: int = LINES, passes: int = PASSES, seed: int = 11) -> tuple[dict[st
             b *= 0.99
             b += 0.01 * g * g
             p -= 0.25 * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-9)
+        w[bare] = np.minimum(w[bare], -1.0)  # a bare form never tells by itself
     return {f: float(w[i]) for f, i in vocab.items() if abs(w[i]) > 1e-3}, tuple(float(x) for x in trans)
