@@ -278,7 +278,12 @@ _READS = re.compile(r"(?i)(?:\w+\.)*(?:get|read|load|fetch|lookup)")
 
 
 def names_of(tokens: list[Token]) -> list[str]:
-    return [name_class(t.text) if t.kind in ("word", "name") and len(t.text) <= 60 else "none" for t in tokens]
+    """What each token says as a name; a word for a checksum does so only before an operator or a quote."""
+    out = [name_class(t.text) if t.kind in ("word", "name") and len(t.text) <= 60 else "none" for t in tokens]
+    for i, x in enumerate(out):
+        if x == "sum" and (i + 1 == len(tokens) or tokens[i + 1].kind not in ("op", "quote")):
+            out[i] = "none"
+    return out
 
 
 def features(tokens: list[Token]) -> list[list[str]]:

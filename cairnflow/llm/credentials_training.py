@@ -72,6 +72,8 @@ class Maker:
         sign = r.choice("-_.~+=&%!?^$*#")
         kind = r.randrange(15)
         if kind == 14:
+            if r.random() < 0.3:
+                return self.chars(alnum[:52], 16, 30)
             return self.chars(alnum, 30, 60) if r.random() < 0.5 else base64.b64encode(f"{self.word()}:{self.word().title()}_{r.randrange(999)}{self.word()}".encode()).decode()
         if kind == 0:
             return f"{self.word().title()}{sign}{r.randrange(100, 9999)}{self.word()}"
