@@ -2,10 +2,12 @@
 
 Beside basic counts, a text is held against language prose profiles by the Jensen-Shannon
 divergence (base 2, so between 0 and 1) of three distributions: letters, classes of
-characters, and function words.  Its lines are sorted into four kinds of matter (running
-text, entries of an enumeration, rows of cells, noise), weighted half by lines and half by
-characters, and the text gets the structural profile (prose, list, table, junk) whose
-distribution over these kinds is nearest in the same divergence.
+characters, and function words (in bands of frequency, all other words being one class).
+The same divergences tell, for every block of lines of one form, whether it is language or
+noise.  A text is then described by three distributions: the forms of its matter (running
+text, entries of an enumeration, rows of cells, noise; half by lines and half by characters),
+its classes of characters and its function words.  It gets the structural profile (prose,
+list, table, junk) with the least weighted sum of the divergences of the three.
 
 A map over the documents: no shuffle, no model beyond the fixed profiles below.
 """
@@ -30,40 +32,64 @@ LETTERS = {
     "fr": [82, 9, 36, 37, 172, 11, 9, 7, 78, 6, 1, 55, 30, 71, 58, 25, 14, 67, 79, 73, 64, 18, 1, 4, 3, 3],
     "es": [120, 14, 43, 50, 141, 7, 10, 7, 67, 5, 1, 50, 32, 70, 96, 25, 9, 69, 80, 46, 39, 11, 1, 2, 10, 5],
 }
-#: Frequent function words of each language.
+#: Function words of each language, the most frequent first.
 FUNCTION_WORDS = {
-    "en": "the of and to in is it that a an for on with as by be was not but are this from or at than when so we i "
-    "all our they you he she his her has have had will can if no only don t s there their which who what its were "
-    "been would could more into over after before while then them these those because although though once until "
-    "both between through against during without within also just any some each every much many most other another "
-    "same still became never nothing someone nobody otherwise yet since enough",
-    "de": "der die das und ist nicht ein eine mit von zu auf für ich wir bei als wenn dem den des sich erst sofern "
-    "ab bis zwar doch aus im am es sie er war wird hat auch noch nur so nach vor über um an in zum zur dass weil "
-    "oder aber bevor obwohl wäre sonst statt gilt unter seit",
-    "fr": "le la les l des et est un une de du d que qui en dans pour pas nous au aux ne n se s avant après ce cette "
-    "il elle on plus par sur mais ou où sans si tant quand alors était serait avec son sa ses parce jamais c",
-    "es": "el la los las y una un no se por con del de que en es si desde pero sin hasta cuando al lo su sus para "
-    "como más este esta era sería yo mientras porque nunca a o ni vez",
+    "en": "the of and to a in is that it for was on with as be by at not this are but from or have an we had i his they which "
+    "he she you her were all has been will would their if so when no there can who what more its then than into them these "
+    "could our only some any over after before while those because don t s although though once until both between through "
+    "against during without within also just each every much many most other another same still became never nothing someone "
+    "nobody otherwise yet since enough",
+    "de": "der die und in das den von zu mit ist nicht ein eine sich auf für dem des als auch es an wird war aus er hat wir nur "
+    "so bei im zum am noch nach sie oder aber wenn ich zur dass über um vor bis weil doch zwar zwischen erst sofern ab bevor "
+    "obwohl wäre sonst statt gilt unter seit",
+    "fr": "de la le et les des en un une du est que pour dans qui au par sur il a plus ne pas ce se l d n s c on avec ou son sa "
+    "ses elle mais nous aux cette si sans tout où quand alors avant après était serait tant parce jamais",
+    "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus ni yo si sin este esta era "
+    "cuando hasta desde sería mientras porque nunca vez",
 }
-_WORDS_OF = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
+#: Share of function words in prose, and the first rank of each band; a word's frequency falls as 1 / (rank + 2).
+PROSE_SHARE, BANDS = 0.40, (0, 4, 16)
+#: Words of the profile itself that are added to a text before it is held against it, and letters that count as a word.
+PRIOR_WORDS, LETTERS_A_WORD = 6, 6
+
+
+def _ranks(words: str) -> dict[str, int]:
+    return {w: sum(k >= b for b in BANDS) - 1 for k, w in enumerate(dict.fromkeys(words.split()))}
+
+
+_BAND_OF = {k: _ranks(v) for k, v in FUNCTION_WORDS.items()}
+_WORDS_OF = {k: frozenset(v) for k, v in _BAND_OF.items()}
 _ANY_FUNCTION_WORD = frozenset().union(*_WORDS_OF.values())
+
+
+def _band_shares(bands: dict[str, int]) -> list[float]:
+    mass = [0.0] * len(BANDS)
+    for rank, band in enumerate(bands.values()):
+        mass[band] += 1 / (rank + 2)
+    return [x / sum(mass) for x in mass]
+
+
+_BAND_SHARES = {k: _band_shares(v) for k, v in _BAND_OF.items()}
 #: Shares of small and capital letters, digits, blanks, ordinary punctuation, joining and other signs.
 CHARACTERS = {"prose": [0.76, 0.03, 0.025, 0.145, 0.025, 0.013, 0.002]}
-#: Share of running text, entries, cells and noise in each structural profile.
+#: The structural profiles: shares of running text, entries, cells and noise; of the classes of characters; of
+#: function words among all words.
 PROFILES = {
-    "prose": [0.85, 0.05, 0.05, 0.05],
-    "list": [0.05, 0.85, 0.05, 0.05],
-    "table": [0.05, 0.05, 0.85, 0.05],
-    "junk": [0.05, 0.05, 0.05, 0.85],
+    "prose": ([0.85, 0.05, 0.05, 0.05], CHARACTERS["prose"], 0.40),
+    "list": ([0.05, 0.85, 0.05, 0.05], [0.71, 0.04, 0.04, 0.14, 0.02, 0.04, 0.01], 0.15),
+    "table": ([0.05, 0.05, 0.85, 0.05], [0.50, 0.04, 0.16, 0.15, 0.05, 0.05, 0.05], 0.05),
+    "junk": ([0.05, 0.05, 0.05, 0.85], [0.40, 0.22, 0.17, 0.08, 0.04, 0.04, 0.05], 0.02),
 }
+#: Weights of the divergences of matter, characters and function words.
+WEIGHTS = (0.7, 0.15, 0.15)
 #: A piece of text with a letter divergence above this is noise; short pieces are granted more.
 LETTER_LIMIT, LETTER_GRACE = 0.17, 9.0
-#: The same for running pieces of at least so many letters with next to no function words of any language.
-WORDLESS_LIMIT, WORDLESS_GRACE, WORDLESS_LETTERS, WORDLESS_SHARE = 0.11, 4.5, 60, 0.05
+#: The same for pieces whose function words diverge by more than this from those of the nearest language's prose.
+WORDLESS_LIMIT, WORDLESS_GRACE, WORD_LIMIT = 0.11, 4.5, 0.11
+#: Pairs of letters in which vowel and consonant alternate in languages, and the limit for pieces without function words.
+ALTERNATION, ORDER_LIMIT, ORDER_GRACE = [0.72, 0.28], 0.016, 1.5
 #: The same for the classes of characters of a piece that has no row or entry form.
 CLASS_LIMIT, CLASS_CHARS = 0.20, 40
-#: Share of function words in prose.
-PROSE_SHARE = 0.35
 #: A text that shrinks below this share of its size is endless repetition.
 REPETITION, REPETITION_CHARS = 0.13, 200
 
@@ -99,7 +125,6 @@ def _normal(v: list[float]) -> list[float]:
 
 _LETTERS = {k: _normal(v) for k, v in LETTERS.items()}
 _CHARACTERS = _normal(CHARACTERS["prose"])
-_PROFILES = {k: _normal(v) for k, v in PROFILES.items()}
 _LANGUAGES = list(_LETTERS)
 _LETTER_ROWS = np.array([_LETTERS[k] for k in _LANGUAGES])
 _LETTER_ENTROPY = -(_LETTER_ROWS * np.log2(_LETTER_ROWS)).sum(axis=1)
@@ -121,9 +146,21 @@ _ASCII_CLASSES = np.zeros((7, 128), np.int64)
 _ASCII_CLASSES[[_class_of(chr(c)) for c in range(128)], np.arange(128)] = 1
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _vowel_or_consonant(c: str) -> int:
+    base = unicodedata.normalize("NFD", c.lower())[:1]
+    return 0 if not ("a" <= base <= "z") else 1 if base in "aeiouy" else 2
+
+
+_VOWELS = np.array([_vowel_or_consonant(chr(c)) for c in range(0x250)] + [0], np.int64)
+
+
 def count_characters(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(characters of each class, letters a to z with accents folded)."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = _codes(text)
     plain = codes < 128
     ascii_ = np.bincount(codes[plain], minlength=128)
     classes, letters = _ASCII_CLASSES @ ascii_, ascii_[97:123] + ascii_[65:91]
@@ -172,11 +209,24 @@ def is_noise(text: str) -> bool:
 
 
 def is_wordless(text: str, far: float, n: int) -> bool:
-    """Whether a piece of ``n`` letters at this letter divergence has no function words to tell of a language."""
-    if n < WORDLESS_LETTERS or far <= WORDLESS_LIMIT + WORDLESS_GRACE / n:
+    """Whether a piece of ``n`` letters has letters, or an order of letters, far from language and no function words either."""
+    if not n or far <= WORDLESS_LIMIT + WORDLESS_GRACE / n and order_divergence(text) <= ORDER_LIMIT + ORDER_GRACE / n:
         return False
-    words = _WORD.findall(text.lower())
-    return sum(len(w) > 2 and w in _ANY_FUNCTION_WORD for w in words) < WORDLESS_SHARE * len(words)
+    count = Counter(_WORD.findall(text.lower()))
+    total = max(sum(count.values()), n // LETTERS_A_WORD)
+    return all(word_divergence(count, k, total) > WORD_LIMIT for k in _LANGUAGES)
+
+
+def order_divergence(text: str) -> float:
+    """Divergence of the pairs of letters inside words, told by whether vowel and consonant alternate, from those of language."""
+    kinds = _VOWELS[np.minimum(_codes(text), len(_VOWELS) - 1)]
+    a, b = kinds[:-1], kinds[1:]
+    pairs = np.bincount(a * 3 + b, minlength=9).tolist()
+    change, same = pairs[5] + pairs[7], pairs[4] + pairs[8]
+    if not change + same:
+        return 0.0
+    share = change / (change + same)
+    return divergence([share, 1 - share], ALTERNATION) if share < ALTERNATION[0] else 0.0
 
 
 def _broken(text: str, one_in: int) -> bool:
@@ -184,10 +234,10 @@ def _broken(text: str, one_in: int) -> bool:
     return not text.isascii() and len(_LATIN1_DEBRIS.findall(text)) * one_in > len(text)
 
 
-def is_symbols(classes: np.ndarray, text: str) -> bool:
-    """Whether hardly any letter or digit stands among the signs, and no ruled table explains it."""
-    small, capital, digits, blanks, *_ = class_shares(classes)
-    return small + capital + digits < 0.25 * (1 - blanks) and not _RULED.search(text)
+def is_symbols(text: str) -> bool:
+    """Whether hardly any letter or digit stands among the signs."""
+    small, capital, digits, blanks, *_ = class_shares(count_characters(text)[0])
+    return small + capital + digits < 0.25 * (1 - blanks)
 
 
 def _separators(line: str) -> dict[str, int]:
@@ -245,7 +295,7 @@ def matter(text: str) -> dict[str, tuple[int, int]]:
     for kind, mine in by_kind.items():
         noisy: set[str] = set()
         if kind in ("prose", "entry", "cell"):
-            short = "\n".join(x for x in mine if len(x) < 200)
+            short = "\n".join(x for x in mine if len(x) < 200 and not _RULE.fullmatch(x))
             noisy = {x for x in mine if len(x) >= 200 and (_cells_are_noise(x) if kind == "cell" else is_noise(x))}
             if short and (is_noise(short) if kind == "prose" else _cells_are_noise(short)):
                 noisy |= {x for x in mine if len(x) < 200}
@@ -286,7 +336,7 @@ def _grid(lines: list[str]) -> set[int]:
 
 def _cells_are_noise(text: str) -> bool:
     far, _, n = letter_divergence(count_characters(text)[1])
-    return _broken(text, 8) or n >= 40 and far > 0.3 + LETTER_GRACE / n
+    return _broken(text, 8) or is_symbols(text) or n >= 40 and far > 0.3 + LETTER_GRACE / n
 
 
 def _function_words(line: str) -> bool:
@@ -300,19 +350,29 @@ def _prose_like(line: str) -> bool:
     return len(w) >= 6 and sum(x in _ANY_FUNCTION_WORD for x in w) >= 0.12 * len(w)
 
 
-def word_divergence(known: dict[str, int], language: str, n: int) -> float:
-    """Divergence of a text's function words, all other words being one class, from prose that
-    uses the words of its language evenly in a share of ``PROSE_SHARE``."""
-    listed = _WORDS_OF[language]
-    q, seen, mass = PROSE_SHARE / len(listed), 0, 0.0
-    p_side, q_side = [], []
-    for w in known.keys() & listed:
-        p_side.append(known[w] / n)
-        q_side.append(q)
-        seen += known[w]
-        mass += q
-    # words that do not occur give their whole share: they count as one class of their own
-    return divergence([*p_side, 1 - seen / n if n else 1.0, 0.0], [*q_side, 1 - PROSE_SHARE, PROSE_SHARE - mass])
+def word_shares(count: dict[str, int], language: str, n: int) -> list[float]:
+    """Shares of the bands of function words and of all other words among ``n`` words, with ``PRIOR_WORDS`` of prose added."""
+    shares = [PRIOR_WORDS * PROSE_SHARE * q for q in _BAND_SHARES[language]]
+    bands = _BAND_OF[language]
+    for w in count.keys() & _WORDS_OF[language]:
+        shares[bands[w]] += count[w]
+    total = n + PRIOR_WORDS
+    return [*(x / total for x in shares), 1 - sum(shares) / total]
+
+
+def word_profile(language: str, share: float) -> list[float]:
+    return [*(share * q for q in _BAND_SHARES[language]), 1 - share]
+
+
+def word_divergence(count: dict[str, int], language: str, n: int) -> float:
+    """Divergence of the function words of a text of ``n`` words from those of the language's prose."""
+    return divergence(word_shares(count, language, n), _PROSE_WORDS[language])
+
+
+_PROSE_WORDS = {k: word_profile(k, PROSE_SHARE) for k in FUNCTION_WORDS}
+_STRUCTURES = {
+    k: {lang: (_normal(m), _normal(c), word_profile(lang, share)) for lang in FUNCTION_WORDS} for k, (m, c, share) in PROFILES.items()
+}
 
 
 COLUMNS = (
@@ -348,26 +408,38 @@ def measure(text: str | None) -> tuple:
         far if n_letters else None,
         spread,
         word_divergence(known, best, n),
-        structure(text, count, n, classes),
+        nearest_structure(matter_shares(text, count, n), class_shares(classes), word_shares(known, best, n), best),
     )
 
 
-def structure(text: str, count: Counter, n: int, classes: np.ndarray) -> str:
-    """The nearest structural profile of a text that is not blank."""
-    if is_symbols(classes, text):
-        return "junk"
-    if len(text) >= REPETITION_CHARS and (n < 8 or len(count) < 0.25 * n):
-        data = text.encode("utf-8", "surrogatepass")
-        if len(zlib.compress(data, 6)) < REPETITION * len(data):
-            return "junk"
+def matter_shares(text: str, count: Counter, n: int) -> list[float]:
+    """Shares of running text, entries, cells and noise of a text that is not blank."""
+    if is_repetition(text, count, n):
+        return [0.0, 0.0, 0.0, 1.0]
     m = matter(text)
     heading = m.pop("heading")
     m["prose"] = tuple(a + b for a, b in zip(m["prose"], m.pop("code")))
     n_lines, n_chars = (sum(v[i] for v in m.values()) for i in (0, 1))
     if not n_lines:
         m["prose"], n_lines, n_chars = heading, *heading
-    d = [m[k][0] / n_lines / 2 + m[k][1] / max(1, n_chars) / 2 for k in ("prose", "entry", "cell", "noise")]
-    return min(_PROFILES, key=lambda k: divergence(d, _PROFILES[k]))
+    return [m[k][0] / n_lines / 2 + m[k][1] / max(1, n_chars) / 2 for k in ("prose", "entry", "cell", "noise")]
+
+
+def is_repetition(text: str, count: Counter, n: int) -> bool:
+    """Whether a text goes on saying the same: it has few different words and shrinks to next to nothing."""
+    if len(text) < REPETITION_CHARS or n >= 8 and len(count) >= 0.25 * n:
+        return False
+    data = text.encode("utf-8", "surrogatepass")
+    return len(zlib.compress(data, 6)) < REPETITION * len(data)
+
+
+def nearest_structure(forms: list[float], classes: list[float], words: list[float], language: str) -> str:
+    """The profile with the least weighted sum of divergences of the three distributions."""
+
+    def distance(kind: str) -> float:
+        return sum(w * divergence(p, q) for w, p, q in zip(WEIGHTS, (forms, classes, words), _STRUCTURES[kind][language]))
+
+    return min(_STRUCTURES, key=distance)
 
 
 def text_quality(docs: DataFrame, doc_id: str, text: str) -> DataFrame:

@@ -105,3 +105,27 @@ def test_noise_lines_beside_long_prose_are_junk():
     m = quality.matter(noise + "\n" + prose)
     assert m["noise"][0] == 14 and m["prose"][0] == 2
     assert quality.measure(noise + "\n" + prose)[-1] == "junk"
+
+
+def test_random_letters_at_natural_frequency_are_junk():
+    rng = random.Random(5)
+    for weights in quality.LETTERS.values():
+        letters = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", weights, k=n))  # noqa: B023, E731
+        for text in ("\n".join(letters(90) for _ in range(30)), " ".join(letters(rng.randint(2, 9)) for _ in range(200)), letters(1500)):
+            assert quality.measure(text)[-1] == "junk"
+
+
+def test_word_divergence_tells_prose():
+    far = {kind: [quality.measure((t + "\n") * 9)[-2] for t in texts] for kind, texts in CASES.items()}
+    assert max(far["prose"][:2]) < 0.08 < min(far["table"])
+    assert quality.word_divergence({}, "en", 500) > 0.15 > quality.word_divergence({}, "en", 5)
+
+
+def test_structure_is_the_nearest_profile():
+    for kind, (forms, classes, share) in quality.PROFILES.items():
+        assert quality.nearest_structure(forms, quality._normal(classes), quality.word_profile("en", share), "en") == kind
+    # between two forms in equal parts the characters and function words decide
+    half = [0.5, 0.0, 0.5, 0.0]
+    for kind in ("prose", "table"):
+        _, classes, share = quality.PROFILES[kind]
+        assert quality.nearest_structure(half, quality._normal(classes), quality.word_profile("de", share), "de") == kind
