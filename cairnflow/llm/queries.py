@@ -78,10 +78,13 @@ def p8_ids(spark, sf_dir):
     return tokenizing.encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def _leaks(spark, sf_dir, **kind):
+    index = leakage.positional_index(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return leakage.leaked_items(index, table(spark, sf_dir, "eval_items"), "item_id", "text", **kind)
+
+
 def p9_leaks(spark, sf_dir):
-    return leakage.leaked_items(
-        table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text"
-    )
+    return _leaks(spark, sf_dir)
 
 
 def p9_found(spark, sf_dir):
@@ -90,10 +93,7 @@ def p9_found(spark, sf_dir):
 
 def p9_near(spark, sf_dir):
     """Proximity matches: 11 of 13 words, each within one word of its place."""
-    return leakage.leaked_items(
-        table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text",
-        min_terms=11, slop=1,
-    ).select("doc_id", "item_id", "n_hits")
+    return _leaks(spark, sf_dir, min_terms=11, slop=1).select("doc_id", "item_id", "n_hits")
 
 
 def p10_quality(spark, sf_dir):
@@ -170,6 +170,19 @@ iw AS (SELECT DISTINCT item_id, array_to_string(w[k : k + 12], ' ') AS gram
 SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (gram)
 """
 
+_P9_NEAR = """
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+dw AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS q FROM d),
+iw AS (SELECT item_id, len(w) AS n, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM i WHERE len(w) >= 13),
+hit AS (SELECT DISTINCT doc_id, item_id, n, q - i + s AS diagonal, i FROM dw JOIN iw USING (t), (VALUES (-1), (0), (1)) v(s)),
+kept AS (SELECT * FROM hit QUALIFY count(*) OVER (PARTITION BY doc_id, item_id, diagonal) >= 11),
+start AS (SELECT DISTINCT doc_id, item_id, n, diagonal, i - b AS j FROM kept, (VALUES (0), (1), (2)) v(b) WHERE i - b BETWEEN 1 AND n - 12),
+full_ AS (SELECT doc_id, item_id, diagonal, j FROM start JOIN kept USING (doc_id, item_id, n, diagonal)
+          WHERE i BETWEEN j AND j + 12 GROUP BY ALL HAVING count(*) >= 11)
+SELECT doc_id, item_id, count(*) AS n_hits FROM full_ GROUP BY ALL
+"""
+
 _P3 = """
 WITH v AS (SELECT id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM memories WHERE len(embedding) = 128
   AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
@@ -195,4 +208,5 @@ SQL = {
     "p7_found": _P7 + "SELECT item_a AS concept_a, item_b AS concept_b FROM done",
     "p7_associations": _P7 + "SELECT * FROM done",
     "p9_found": _P9,
+    "p9_near": _P9_NEAR,
 }
