@@ -29,6 +29,11 @@ def p3_nearest(spark, sf_dir):
     return vectors.nearest(table(spark, sf_dir, "memories"), "id", "embedding", dim=128, k=5, least=0.8)
 
 
+def p3_k_nearest(spark, sf_dir):
+    """The five most similar memories of every memory, however similar."""
+    return vectors.nearest(table(spark, sf_dir, "memories"), "id", "embedding", dim=128, k=5)
+
+
 def p3_found(spark, sf_dir):
     return (
         p3_nearest(spark, sf_dir)
@@ -111,6 +116,7 @@ QUERIES = {
     "p2_redacted": p2_redacted,
     "p3_found": p3_found,
     "p3_nearest": p3_nearest,
+    "p3_k_nearest": p3_k_nearest,
     "p5_found": p5_found,
     "p5_documents": p5_documents,
     "p6_found": p6_found,

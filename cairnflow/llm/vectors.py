@@ -9,8 +9,13 @@ reaches the k-th best lower bound, are reranked with the full vectors.
 Which pairs are estimated at all is decided by lists: centres are fitted on a bounded sample,
 every vector stands in its ``m`` nearest lists, and the vectors of a list are compared with
 each other.  The number of lists grows with the collection, so the work for one vector hardly
-does.  Codes, not vectors, are shuffled to the lists.  Equal vectors are folded into one before
-anything is compared, and a list above ``LIST_ROWS`` is compared in blocks.
+does; above ``CELLS`` lists there are two levels, cells fitted on one sample and lists fitted inside
+each cell on a sample of its own.  Equal vectors are folded into one before anything is compared,
+and a list above ``LIST_ROWS`` is compared in blocks.
+
+With a least similarity few pairs are left, so codes go to the lists and vectors only to the
+pairs.  Without one every vector keeps candidates, so vectors go to the lists with the codes and
+are reranked there; each list gives the ``k`` best of its vectors.
 """
 
 from __future__ import annotations
@@ -25,12 +30,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cairnflow.sources.tables import materialize
 
-#: Vectors a list is planned for, rows of a list compared in one block, most lists.
-PER_LIST, LIST_ROWS, MAX_LISTS = 400, 16_384, 16_384
-#: Vectors on which the centres are fitted, at most.
+#: Vectors a list is planned for, rows of a list compared in one block.
+PER_LIST, LIST_ROWS = 400, 16_384
+#: Most lists of one level, and vectors of a cell that are put into its lists by one task.
+CELLS, CELL_ROWS = 4_096, 65_536
+#: Vectors on which the centres of a level, or of one cell, are fitted, at most.
 SAMPLE = 32_768
-#: Width of the error bounds in standard deviations of the worst case.
-WIDTH = 2.5
+#: Width of the error bounds in standard deviations of the worst case: with a least similarity and without.
+WIDTH, WIDTH_K = 2.5, 1.5
 _SEED = 20_240_601
 
 
@@ -76,7 +83,7 @@ def encode(u: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return np.packbits(o > 0, axis=1), fit, level[:, ::2] << 4 | level[:, 1::2], low, step
 
 
-def estimate(dim: int, bits, fit, levels, low, step) -> tuple[np.ndarray, np.ndarray]:
+def estimate(dim: int, bits, fit, levels, low, step, width: float = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """(estimated inner products, error bounds) of queries (rows) and coded vectors (columns)."""
     signs = np.unpackbits(bits, axis=1, count=dim).astype(np.float32)
     signs *= 2
@@ -85,8 +92,8 @@ def estimate(dim: int, bits, fit, levels, low, step) -> tuple[np.ndarray, np.nda
     level[:, ::2], level[:, 1::2] = levels >> 4, levels & 15
     q = level[:, :dim] * step[:, None] + low[:, None]
     est = (q @ signs.T) / (math.sqrt(dim) * fit)
-    code_error = WIDTH * np.sqrt(np.maximum(1 - fit**2, 0)) / fit / math.sqrt(max(dim - 1, 1))
-    return est, code_error[None, :] + WIDTH * step[:, None] / math.sqrt(12)
+    code_error = width * np.sqrt(np.maximum(1 - fit**2, 0)) / fit / math.sqrt(max(dim - 1, 1))
+    return est, code_error[None, :] + width * step[:, None] / math.sqrt(12)
 
 
 def to_rerank(est, bound, same, k: int, least: float | None) -> tuple[np.ndarray, np.ndarray]:
@@ -145,8 +152,11 @@ def nearest(
     if n == 0:
         kind = dict(slim.dtypes)["id"]
         return spark.createDataFrame([], f"id {kind}, neighbour {kind}, similarity double, rank int")
-    lists = max(1, min(MAX_LISTS, n // PER_LIST))
-    memberships = min(lists, 2 + math.ceil(math.log2(lists) / 2)) if lists > 1 else 1
+    wanted = max(1, n // PER_LIST)
+    lists = min(CELLS, wanted)
+    memberships = min(lists, 2 + math.ceil(math.log2(wanted) / 2)) if lists > 1 else 1
+    if wanted > CELLS:  # two lists in each cell
+        memberships = min(lists, memberships // 2 + 1)
     share = max(1, n // SAMPLE)
     sample = (
         classes.filter(F.pmod(F.xxhash64("vid", F.lit(3)), F.lit(share)) == 0).select("v").limit(SAMPLE).toPandas()["v"]
@@ -156,6 +166,8 @@ def nearest(
     lists = min(lists, len(fitted))
     memberships = min(memberships, lists)
     shared = spark.sparkContext.broadcast((centres(fitted, lists), rotation(dim)))
+    slim_v = classes.select("vid", "v")
+    with_vectors = least is None
 
     def chunks(batches, names):
         middle, turn = shared.value
@@ -163,60 +175,57 @@ def nearest(
         for b in batches:
             flat = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
             for lo in range(0, len(flat), size):
-                u = unit(flat[lo : lo + size])
-                near = u @ middle.T
-                top = np.argpartition(-near, memberships - 1, axis=1)[:, :memberships] if len(middle) > 1 else np.zeros((len(u), 1), int)
-                yield from names(b.slice(lo, len(u)), u, top, turn)
-
-    def list_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(part, u, top, turn):
-            at, count = np.unique(top, return_counts=True)
-            yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(count.astype(np.int64))], names=["list", "n"])
-
-        yield from chunks(batches, out)
-
-    slim_v = classes.select("vid", "v")
-    sizes = {
-        r.list: r.n
-        for r in slim_v.mapInArrow(list_only, "list int, n long").groupBy("list").agg(F.sum("n").alias("n")).collect()
-    }
-    blocks = {at: -(-size // LIST_ROWS) for at, size in sizes.items() if size > LIST_ROWS}
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(part, u, top, turn):
-            bits, fit, levels, low, step = encode(u, turn)
-            vid = part.column("vid").to_numpy()
-            at, row = top.reshape(-1).astype(np.int32), np.repeat(np.arange(len(u)), memberships)
-            own = np.zeros(len(at), np.int32)
-            for hot, k_ in blocks.items():  # few: lists far above their planned size
-                mine = at == hot
-                own[mine] = (vid[row[mine]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(k_)
-            count = np.array([blocks.get(int(a), 1) for a in at])
-            # role 0: query and vector, 1: query only, 2: vector only
-            cols = [(at, own, own, np.zeros(len(at), np.int8), row)]
-            for d in range(1, int(count.max(initial=1))):
-                more = count > d
-                other = (own[more] + d) % count[more]
-                cols.append((at[more], own[more], other, np.ones(more.sum(), np.int8), row[more]))
-                cols.append((at[more], other, own[more], np.full(more.sum(), 2, np.int8), row[more]))
-            at, q, d, role, row = (np.concatenate(c) for c in zip(*cols))
-            yield pa.record_batch(
-                [
-                    pa.array(at),
-                    pa.array(q.astype(np.int32)),
-                    pa.array(d.astype(np.int32)),
-                    pa.array(role),
-                    pa.array(vid[row]),
-                    pa.array([x.tobytes() for x in bits]).take(pa.array(row)),
-                    pa.array(fit[row].astype(np.float32)),
-                    pa.array([x.tobytes() for x in levels]).take(pa.array(row)),
-                    pa.array(low[row].astype(np.float32)),
-                    pa.array(step[row].astype(np.float32)),
-                ],
-                names=["list", "q", "d", "role", "vid", "bits", "fit", "levels", "low", "step"],
-            )
-
-        yield from chunks(batches, out)
+                raw = flat[lo : lo + size]
+                u = unit(raw)
+                yield names(b.column("vid")[lo : lo + size].to_numpy(), raw, u, _nearest_centres(u, middle, memberships), turn)
+
+    if wanted <= CELLS:
+
+        def placed(names, schema: str) -> DataFrame:
+            return slim_v.mapInArrow(lambda batches: chunks(batches, names), schema)
+
+    else:
+        placed = _two_levels(slim_v, chunks, dim, wanted, lists)
+
+    def list_only(vid, raw, u, top, turn):
+        at, count = np.unique(top, return_counts=True)
+        return pa.record_batch([pa.array(at.astype(np.int64)), pa.array(count.astype(np.int64))], names=["list", "n"])
+
+    sizes = placed(list_only, "list long, n long").groupBy("list").agg(F.sum("n").alias("n")).filter(F.col("n") > LIST_ROWS)
+    blocks = {r.list: -(-r.n // LIST_ROWS) for r in sizes.collect()}
+
+    def assign(vid, raw, u, top, turn):
+        bits, fit, levels, low, step = encode(u, turn)
+        at, row = top.reshape(-1).astype(np.int64), np.repeat(np.arange(len(u)), top.shape[1])
+        own = np.zeros(len(at), np.int32)
+        for hot, k_ in blocks.items():  # few: lists far above their planned size
+            mine = at == hot
+            own[mine] = (vid[row[mine]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(k_)
+        count = np.array([blocks.get(int(a), 1) for a in at]) if blocks else np.ones(len(at), np.int64)
+        # role 0: query and vector, 1: query only, 2: vector only
+        cols = [(at, own, own, np.zeros(len(at), np.int8), row)]
+        for d in range(1, int(count.max(initial=1))):
+            more = count > d
+            other = (own[more] + d) % count[more]
+            cols.append((at[more], own[more], other, np.ones(more.sum(), np.int8), row[more]))
+            cols.append((at[more], other, own[more], np.full(more.sum(), 2, np.int8), row[more]))
+        at, q, d, role, row = (np.concatenate(c) for c in zip(*cols))
+        take = pa.array(row)
+        columns = {
+            "list": pa.array(at),
+            "q": pa.array(q.astype(np.int32)),
+            "d": pa.array(d.astype(np.int32)),
+            "role": pa.array(role),
+            "vid": pa.array(vid[row]),
+            "bits": pa.array([x.tobytes() for x in bits]).take(take),
+            "fit": pa.array(fit[row].astype(np.float32)),
+            "levels": pa.array([x.tobytes() for x in levels]).take(take),
+            "low": pa.array(low[row].astype(np.float32)),
+            "step": pa.array(step[row].astype(np.float32)),
+        }
+        if with_vectors:
+            columns["raw"] = pa.array([x.tobytes() for x in raw.astype(np.float64 if raw.dtype == np.float64 else np.float32)]).take(take)
+        return pa.record_batch(list(columns.values()), names=list(columns))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         role = pdf["role"].to_numpy()
@@ -225,21 +234,45 @@ def nearest(
         bits = np.frombuffer(b"".join(pdf["bits"]), np.uint8).reshape(len(pdf), -1)
         levels = np.frombuffer(b"".join(pdf["levels"]), np.uint8).reshape(len(pdf), -1)
         fit, low, step = (pdf[c].to_numpy() for c in ("fit", "low", "step"))
+        nothing = pd.DataFrame({"vid": np.empty(0, np.int64), "nv": np.empty(0, np.int64), "s": np.empty(0)})
+        if with_vectors:
+            joined = b"".join(pdf["raw"])
+            full = np.frombuffer(joined, np.float64 if len(joined) == 8 * dim * len(pdf) else np.float32).reshape(-1, dim).astype(np.float64)
+            full /= np.abs(full).max(axis=1, keepdims=True)
+            full /= np.sqrt((full * full).sum(axis=1))[:, None]
         found = []
         size = max(1, 4_000_000 // max(1, len(ds)))
         for lo in range(0, len(qs), size):
             part = qs[lo : lo + size]
-            est, bound = estimate(dim, bits[ds], fit[ds], levels[part], low[part], step[part])
+            est, bound = estimate(dim, bits[ds], fit[ds], levels[part], low[part], step[part], WIDTH_K if with_vectors else WIDTH)
             r, c = to_rerank(est, bound, vid[part][:, None] == vid[ds][None, :], k, least)
-            found.append((vid[part][r], vid[ds][c]))
+            if with_vectors:
+                found.append(best_of(vid[part], vid[ds], full[part], full[ds], r, c))
+            else:
+                found.append((vid[part][r], vid[ds][c]))
+        if with_vectors:
+            return pd.concat([f for f in found], ignore_index=True) if found else nothing
         a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 2
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    schema = "list int, q int, d int, role byte, vid long, bits binary, fit float, levels binary, low float, step float"
-    pairs = (
-        slim_v.mapInArrow(assign, schema).groupBy("list", "q", "d").applyInPandas(compare, "a long, b long").distinct()
-    )
+    def best_of(q_ids, d_ids, q_full, d_full, r, c) -> pd.DataFrame:
+        """The ``k`` best of the candidates of each query, ties included."""
+        s = np.concatenate([np.einsum("ij,ij->i", q_full[r[x : x + 65_536]], d_full[c[x : x + 65_536]]) for x in range(0, len(r), 65_536)] or [np.empty(0)])
+        s = np.round(s, 12)
+        order = np.lexsort((-s, r))
+        r, c, s = r[order], c[order], s[order]
+        first = np.searchsorted(r, r)
+        last = np.searchsorted(r, r, side="right") - 1
+        keep = s >= s[np.minimum(first + k - 1, last)]
+        return pd.DataFrame({"vid": q_ids[r[keep]], "nv": d_ids[c[keep]], "s": s[keep]})
+
+    schema = "list long, q int, d int, role byte, vid long, bits binary, fit float, levels binary, low float, step float"
+    grouped = placed(assign, schema + (", raw binary" if with_vectors else "")).groupBy("list", "q", "d")
+    if with_vectors:
+        other = materialize(grouped.applyInPandas(compare, "vid long, nv long, s double").groupBy("vid", "nv").agg(F.max("s").alias("s")), "reranked")
+        return _neighbours(other, classes, keyed, k)
+    pairs = grouped.applyInPandas(compare, "a long, b long").distinct()
     full = classes.select("vid", "v", "norm")
     a = full.select(F.col("vid").alias("a"), F.col("v").alias("va"), F.col("norm").alias("na"))
     b = full.select(F.col("vid").alias("b"), F.col("v").alias("vb"), F.col("norm").alias("nb"))
@@ -247,11 +280,74 @@ def nearest(
         F.zip_with("va", "vb", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x
     )
     near = pairs.join(a, "a").join(b, "b").select("a", "b", F.round(dot / (F.col("na") * F.col("nb")), 12).alias("s"))
-    if least is not None:
-        near = near.filter(F.col("s") >= least)
-    near = materialize(near, "reranked")
+    near = materialize(near.filter(F.col("s") >= least), "reranked")
+    both = F.array(
+        F.struct(F.col("a").alias("vid"), F.col("b").alias("nv"), "s"), F.struct(F.col("b").alias("vid"), F.col("a").alias("nv"), "s")
+    )
+    return _neighbours(near.select(F.explode(both).alias("x")).select("x.*"), classes, keyed, k)
+
+
+def _nearest_centres(u: np.ndarray, middle: np.ndarray, m: int) -> np.ndarray:
+    """The ``m`` nearest centres of each row."""
+    if len(middle) <= m:
+        return np.tile(np.arange(len(middle)), (len(u), 1))
+    return np.argpartition(-(u @ middle.T), m - 1, axis=1)[:, :m]
+
+
+def _two_levels(slim_v: DataFrame, chunks, dim: int, wanted: int, cells: int):
+    """Lists inside cells: ``f(names, schema)`` puts each vector into the two nearest lists of each of its cells.
+
+    A cell has as many lists as its vectors ask for, fitted on at most ``SAMPLE`` of them.  A cell
+    above ``CELL_ROWS`` vectors is taken in parts, each with all its centres.
+    """
+    kind = np.float64 if dict(slim_v.dtypes)["v"] == "array<double>" else np.float32
+
+    def to_cells(vid, raw, u, top, turn):
+        row = np.repeat(np.arange(len(u)), top.shape[1])
+        vectors = pa.array([x.tobytes() for x in raw.astype(kind)]).take(pa.array(row))
+        return pa.record_batch([pa.array(top.reshape(-1).astype(np.int64)), pa.array(vid[row]), vectors], names=["cell", "vid", "raw"])
+
+    in_cells = slim_v.mapInArrow(lambda batches: chunks(batches, to_cells), "cell long, vid long, raw binary")
+    in_cells = materialize(in_cells, "vectors-in-cells")
+    size = in_cells.groupBy("cell").agg(F.count(F.lit(1)).alias("size"))
+    by_hash = Window.partitionBy("cell").orderBy(F.xxhash64("vid", F.lit(5)), "vid")
+    sample = in_cells.withColumn("n", F.row_number().over(by_hash)).filter(F.col("n") <= SAMPLE).join(size, "cell")
+
+    planned = PER_LIST
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        u = unit(np.frombuffer(b"".join(pdf["raw"]), kind).reshape(-1, dim))
+        n = max(1, min(-(-int(pdf["size"].iloc[0]) // planned), -(-len(u) // 4)))
+        return pd.DataFrame({"cell": pdf["cell"].iloc[:1], "size": pdf["size"].iloc[:1], "centres": [centres(u, n).tobytes()]})
+
+    fitted = materialize(sample.groupBy("cell").applyInPandas(fit, "cell long, size long, centres binary"), "cell-centres")
+    parts = F.ceil(F.col("size") / CELL_ROWS).cast("int")
+    salted = fitted.select("cell", "centres", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    rows = in_cells.join(fitted.select("cell", parts.alias("parts")), "cell").select(
+        "cell", F.pmod(F.xxhash64("vid"), F.col("parts")).cast("int").alias("part"), "vid", "raw"
+    )
+    turn = rotation(dim)
+
+    def placed(names, schema: str) -> DataFrame:
+        def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+            if not left.num_rows or not right.num_rows:
+                return pa.Table.from_batches([], schema=names(*empty).schema)
+            raw = np.frombuffer(b"".join(left.column("raw").to_pylist()), kind).reshape(-1, dim)
+            u = unit(raw)
+            middle = np.frombuffer(right.column("centres")[0].as_py(), np.float32).reshape(-1, dim)
+            at = key[0].as_py() * (1 << 24) + np.concatenate([_nearest_centres(x, middle, 2) for x in np.array_split(u, len(u) // 2048 + 1)])
+            return pa.Table.from_batches([names(left.column("vid").to_numpy(), raw, u, at, turn)])
+
+        empty = np.empty(0, np.int64), np.ones((0, dim), kind), np.ones((0, dim), np.float32), np.empty((0, 1), np.int64), turn
+        by = "cell", "part"
+        return rows.groupBy(*by).cogroup(salted.groupBy(*by)).applyInArrow(run, schema)
+
+    return placed
+
+
+def _neighbours(other: DataFrame, classes: DataFrame, keyed: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best neighbours of every id, from the similarities ``vid, nv, s`` of different vectors and the classes of equal ones."""
     names = classes.select("vid", "c1", "c2", "ids")
-    other = near.select(F.explode(F.array(F.struct(F.col("a").alias("vid"), F.col("b").alias("nv"), "s"), F.struct(F.col("b").alias("vid"), F.col("a").alias("nv"), "s"))).alias("x")).select("x.*")
     offers = (
         other.join(names.select(F.col("vid").alias("nv"), "ids"), "nv")
         .select("vid", "s", F.explode("ids").alias("neighbour"))

@@ -30,10 +30,12 @@ def rows(n):
     return out + [(f"bad{k}", v) for k, v in enumerate(bad)] + [(None, out[0][1]), out[0]]
 
 
-@pytest.mark.parametrize("least,list_rows", [(0.8, 16_384), (0.8, 30), (None, 16_384)])
-def test_against_brute_force(spark, monkeypatch, least, list_rows):
-    monkeypatch.setattr(V, "PER_LIST", 60)
+@pytest.mark.parametrize("least,list_rows,cells", [(0.8, 16_384, 4096), (0.8, 30, 4096), (None, 16_384, 4096), (None, 30, 4096), (0.8, 40, 5), (None, 40, 5)])
+def test_against_brute_force(spark, monkeypatch, least, list_rows, cells):
+    monkeypatch.setattr(V, "PER_LIST", 60 if cells > 5 else 30)
     monkeypatch.setattr(V, "LIST_ROWS", list_rows)
+    monkeypatch.setattr(V, "CELLS", cells)
+    monkeypatch.setattr(V, "CELL_ROWS", 90)
     data = rows(400)
     df = spark.createDataFrame([(i, v, 1) for i, v in data], "id string, e array<float>, rank int").repartition(3)
     got = V.nearest(df, "id", "e", 32, 5, least).collect()
