@@ -83,6 +83,60 @@ def leader_fold(df: DataFrame, keys: list[str], columns: list[str], absorbs: Abs
     return found.join(large, ["_key", "leader"], "left_semi").select(*keys, "id", "leader")
 
 
+def first_match(rows: DataFrame, heads: DataFrame, columns: list[str], absorbs: Absorbs) -> DataFrame:
+    """``id, match``: for each row the oldest of ``heads`` that absorbs it by ``columns``.
+
+    The heads are a stated set, taken in blocks by (``created_at``, ``id``); a matched row leaves."""
+    state = rows.select("id", *columns, F.lit("").alias("_key"), F.monotonically_increasing_id().alias("_row"))
+    state, parts = materialize(state, "unmatched"), []
+    schema = ", ".join(f"`{c}` {kind}" for c, kind in [*state.dtypes, ("leader", dict(heads.dtypes)["id"])])
+    numbered = heads.select("id", *columns, F.lit("").alias("_key"), F.row_number().over(Window.orderBy("created_at", "id")).alias("_n"))
+    n = heads.count()
+    for b in range(-(-n // BLOCK)):
+        block = numbered.filter((F.col("_n") > b * BLOCK) & (F.col("_n") <= (b + 1) * BLOCK)).orderBy("_n").toPandas()
+        marked = materialize(_marked(state, columns, rows.sparkSession.sparkContext.broadcast(({}, block)), absorbs, schema), "matched")
+        parts.append(marked.filter("leader IS NOT NULL").select("id", F.col("leader").alias("match")))
+        state = marked.filter("leader IS NULL").drop("leader")
+    out = rows.sparkSession.createDataFrame([], f"id {dict(rows.dtypes)['id']}, match {dict(heads.dtypes)['id']}")
+    for p in parts:
+        out = out.unionByName(p)
+    return out
+
+
+def cosine_pairs(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(pairs ``a, b`` of representatives with a cosine of at least ``threshold``, membership ``id, representative``).
+
+    Rows (``id, v``) with equal vectors have the smallest id for representative, so copies give no pairs.  The
+    representatives are taken in blocks, each block as one matrix against all rows; only pairs above the threshold leave a task."""
+    usable = rows.select("id", F.col("v").cast("array<double>").alias("v")).filter(X.usable_vector(F.col("v")))
+    classes = materialize(usable.groupBy("v").agg(F.min("id").alias("representative")), "vector-representatives")
+    members = usable.join(classes, "v").select("id", "representative")
+    n, kind = classes.count(), dict(rows.dtypes)["id"]
+    blocks, out = max(1, -(-n // BLOCK)), None
+    for b in range(blocks):
+        part = classes if blocks == 1 else classes.filter(F.pmod(F.xxhash64("representative"), F.lit(blocks)) == b)
+        found = _near_pairs(classes, part.toPandas(), threshold, kind)
+        out = found if out is None else out.unionByName(found)
+    return out, members
+
+
+def _near_pairs(classes: DataFrame, block: pd.DataFrame, threshold: float, kind: str) -> DataFrame:
+    shared = classes.sparkSession.sparkContext.broadcast(block)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        heads = shared.value
+        for pdf in batches:
+            for at in range(0, len(pdf), _ROWS):
+                some = pdf.iloc[at : at + _ROWS]
+                cos = _cosines(heads["v"], some["v"]) if len(heads) else np.zeros((len(some), 0))
+                row, col = np.nonzero(cos >= threshold)
+                a, b = some["representative"].to_numpy()[row], heads["representative"].to_numpy()[col]
+                keep = a > b
+                yield pd.DataFrame({"a": b[keep], "b": a[keep]})
+
+    return classes.mapInPandas(run, f"a {kind}, b {kind}")
+
+
 def _marked(state: DataFrame, columns: list[str], shared, absorbs: Absorbs, schema: str) -> DataFrame:
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decided, first = shared.value
@@ -153,6 +207,11 @@ def by_concepts(df: DataFrame, keys: list[str], least: int = 3) -> DataFrame:
     return leader_fold(df, keys, ["concepts", "v"], absorbs, least)
 
 
+def by_shared(df: DataFrame, keys: list[str], shared: int = 2, least: int = 2) -> DataFrame:
+    """Clusters by so many shared ``concepts`` with the leader; ``created_at`` is the order, descending."""
+    return leader_fold(df, keys, ["concepts"], lambda a, b: _shared(a["concepts"], b["concepts"]) >= shared, least)
+
+
 def by_time(df: DataFrame, keys: list[str], least: int = 3) -> DataFrame:
     """Clusters of rows within two hours of the last member and six of the leader that share a concept.
 

@@ -199,3 +199,54 @@ def strongest_per_pair(edges: DataFrame) -> DataFrame:
     pair = edges.withColumns({"a": F.least("source_id", "target_id"), "b": F.greatest("source_id", "target_id")})
     w = Window.partitionBy("a", "b").orderBy("is_auto", F.desc("strength"), "kind")
     return pair.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select("a", "b", "kind", "strength", "is_auto")
+
+
+def explicit_edges(items: DataFrame, item_id: str, metadata: str) -> DataFrame:
+    """Edges that the metadata of new memories name: ``source_id, target_id, strength, relation_type, activation_count``.
+
+    ``associations`` is a list of objects with ``memory_id`` and ``relation``; entries without either, broken JSON and
+    null metadata give none.  Repeated entries count once.
+    """
+    entries = F.from_json(F.get_json_object(metadata, "$.associations"), "array<struct<memory_id:string,relation:string>>")
+    e = items.select(F.col(item_id).alias("source_id"), F.explode(entries).alias("e"))
+    named = (F.coalesce("e.memory_id", F.lit("")) != "") & (F.coalesce("e.relation", F.lit("")) != "")
+    return e.filter(named).select(
+        "source_id", F.col("e.memory_id").alias("target_id"), F.lit(0.9).alias("strength"), F.col("e.relation").alias("relation_type"), F.lit(1).alias("activation_count")
+    ).distinct()
+
+
+def set_strength(edges: DataFrame, changes: DataFrame) -> DataFrame:
+    """Edges with the ``strength`` of the change for their pair (``a, b``), whichever way either is written; the greatest of several."""
+    pair = [F.least("a", "b").alias("_a"), F.greatest("a", "b").alias("_b")]
+    new = changes.select(*pair, F.col("strength").alias("_s")).groupBy("_a", "_b").agg(F.max("_s").alias("_s"))
+    e = edges.withColumns({"_a": F.least("source_id", "target_id"), "_b": F.greatest("source_id", "target_id")})
+    return e.join(new, ["_a", "_b"], "left").withColumn("strength", F.coalesce("_s", "strength")).select(edges.columns)
+
+
+def activate(edges: DataFrame, traversed: DataFrame, as_of: str) -> DataFrame:
+    """Edges with one more activation for each traversal (``source_id, target_id``), stamped with the moment."""
+    n = traversed.groupBy("source_id", "target_id").agg(F.count(F.lit(1)).alias("_n"))
+    e = edges.join(n, ["source_id", "target_id"], "left")
+    now = F.when(F.col("_n").isNotNull(), F.lit(as_of).cast("timestamp_ntz")).otherwise(F.col("last_activated"))
+    return e.withColumns({"activation_count": F.coalesce("activation_count", F.lit(0)) + F.coalesce("_n", F.lit(0)), "last_activated": now}).select(edges.columns)
+
+
+def adjust(memories: DataFrame, edges: DataFrame, good: DataFrame, bad: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Reinforcing and weakening by feedback: (memories, edges).
+
+    Each mention of a memory in ``good`` (``id``) adds 0.02 salience, up to 1, and multiplies the strength of its edges by
+    1.05, up to 1; then each in ``bad`` takes 0.01 and multiplies by 0.95, both not below 0.05.
+    """
+    n = (
+        good.select("id", F.lit(1).alias("g"), F.lit(0).alias("b")).unionByName(bad.select("id", F.lit(0).alias("g"), F.lit(1).alias("b")))
+        .groupBy("id").agg(F.sum("g").alias("_g"), F.sum("b").alias("_b"))
+    )
+    up = F.least(F.lit(1.0), F.col("salience") + 0.02 * F.coalesce("_g", F.lit(0)))
+    down = F.when(F.coalesce("_b", F.lit(0)) > 0, F.greatest(F.lit(0.05), up - 0.01 * F.col("_b"))).otherwise(up)
+    m = memories.join(n, "id", "left").withColumn("salience", down).select(memories.columns)
+    ends = [n.select(F.col("id").alias(c), F.col("_g").alias(f"_g{k}"), F.col("_b").alias(f"_b{k}")) for k, c in enumerate(("source_id", "target_id"))]
+    e = edges.join(ends[0], "source_id", "left").join(ends[1], "target_id", "left")
+    g, b = (sum((F.coalesce(f"{x}{k}", F.lit(0)) for k in (0, 1)), F.lit(0)) for x in ("_g", "_b"))
+    up = F.when(g > 0, F.least(F.lit(1.0), F.col("strength") * F.pow(F.lit(1.05), g))).otherwise(F.col("strength"))
+    down = F.when(b > 0, F.greatest(F.lit(0.05), up * F.pow(F.lit(0.95), b))).otherwise(up)
+    return m, e.withColumn("strength", down).select(edges.columns)

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cairnflow.operators import graph
+from cairnflow.operators import clusters, graph, patterns as P
 from cairnflow.sources.tables import materialize
 
 
@@ -92,13 +92,7 @@ def evidence_ratio(patterns: DataFrame, memories: DataFrame) -> DataFrame:
 
 def decay_patterns(patterns: DataFrame, memories: DataFrame) -> DataFrame:
     """Strength and state of patterns by the share of their evidence that is left."""
-    p = patterns.join(evidence_ratio(patterns, memories), "id")
-    factor = (
-        F.when(F.col("ratio") >= 0.5, 0.995).when(F.col("ratio") >= 0.2, 0.93).otherwise(0.85)
-    )
-    strength = F.col("strength") * factor
-    state = F.when((F.col("state") == "active") & (strength < 0.1), "fading").when((F.col("state") == "fading") & (strength < 0.05), "archived").otherwise(F.col("state"))
-    return p.withColumn("state", state).withColumn("strength", strength)
+    return weaken(patterns.join(evidence_ratio(patterns, memories), "id"))
 
 
 def strengthen_pattern(strength: Column, new: Column, cluster: Column, total: Column) -> Column:
@@ -130,7 +124,8 @@ def zombies(abstractions: DataFrame) -> DataFrame:
 
 
 def cycle(memories: DataFrame, edges: DataFrame, as_of: str, s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
-    """One maintenance cycle in its fixed order; each step takes the result of the one before.
+    """The part of a maintenance cycle that touches memories and edges only (see ``full_cycle``); each step takes the
+    result of the one before.
 
     Decay, transition, pruning of weak and orphaned edges, expiry, archiving of what was never
     recalled.  The snapshot is written at the end, so many cycles do not pile up one plan.
@@ -144,3 +139,76 @@ def cycle(memories: DataFrame, edges: DataFrame, as_of: str, s: Settings = Setti
     m = materialize(m.withColumn("state", F.when(idle, "archived").otherwise(F.col("state"))), "cycle")
     e = graph.induced(graph.prune(edges, s.prune_below), m.filter(F.col("state").isin("active", "fading")))
     return m, e
+
+
+def full_cycle(
+    memories: DataFrame, edges: DataFrame, patterns: DataFrame, evidence: DataFrame, abstractions: DataFrame, feedback: DataFrame, as_of: str, s: Settings = Settings()
+) -> dict[str, DataFrame]:
+    """The whole maintenance cycle, thirteen steps in their order; each takes the result of the one before.
+
+    Decay; transition; pruning of edges; merging of clusters into gists; extraction of patterns; expiry; archiving of what
+    was never recalled; duplicates among abstractions (``id, title, v, level, confidence, state, created_at``); abstractions
+    of no confidence; decay of patterns (``id, title, v, concepts, project, strength, state``, evidence ``pattern_id,
+    memory_id``); duplicates among patterns; pruning of old feedback; the record.  Returns the tables and ``record``,
+    ``step, n`` of what each step changed.  Tables are written after the steps that later ones read twice.
+    """
+    counts: list[tuple[str, DataFrame]] = []
+
+    def changed(step: str, df: DataFrame) -> None:
+        counts.append((step, df))
+
+    before = memories.select("id", F.col("state").alias("_state"), F.col("salience").alias("_salience"))
+    m = decay(memories, as_of, s)
+    changed("decayed", m.join(before, "id").filter("salience <> _salience"))
+    m = materialize(transition(m, s), "cycle-transition")
+    changed("transitioned", m.join(before, "id").filter("state <> _state"))
+    alive = m.filter(F.col("state").isin("active", "fading"))
+    e = materialize(graph.induced(graph.prune(edges, s.prune_below), alive), "cycle-edges")
+    changed("edges_pruned", edges.join(e, ["source_id", "target_id"], "left_anti"))
+    slim = m.filter("state = 'active'").select("id", F.coalesce("project", F.lit("")).alias("project"), F.col("embedding").alias("v"), "created_at")
+    members = clusters.by_vector(slim, ["project"]).select(F.col("leader").alias("cluster"), "id")
+    m, e, mapping = P.merge(m, e, members, as_of)
+    m, e = materialize(m, "cycle-merged"), materialize(e, "cycle-edges")
+    changed("merged", m.filter("state = 'merged'").join(before.filter("_state = 'merged'"), "id", "left_anti"))
+    new, found = P.extract(m)
+    new = materialize(new.join(patterns.select("id"), "id", "left_anti").withColumn("state", F.lit("active")), "cycle-patterns")
+    p = patterns.select("id", "title", "v", "concepts", "project", "strength", "state").unionByName(new.select("id", "title", "v", "concepts", "project", "strength", "state"))
+    ev = materialize(evidence.unionByName(found).distinct(), "cycle-evidence")
+    changed("patterns_extracted", new)
+    kept = expire(m, as_of, s)
+    changed("expired", m.join(kept.select("id"), "id", "left_anti"))
+    idle = never_recalled(kept, as_of, s).select("id", F.lit("archived").alias("_s"))
+    changed("never_recalled", idle)
+    m = materialize(kept.join(idle, "id", "left").withColumn("state", F.coalesce("_s", "state")).drop("_s"), "cycle-memories")
+    # the oldest abstraction of a level stands for its duplicates
+    live = abstractions.filter("state = 'active'")
+    found = P.duplicates(live, ["level"], -F.unix_micros(F.col("created_at").cast("timestamp")), 0.6, 0.75).filter("id <> leader")
+    a = abstractions.join(found.select("id", F.lit("archived").alias("_s")), "id", "left").withColumn("state", F.coalesce("_s", "state")).drop("_s")
+    changed("abstractions_deduplicated", found)
+    a = materialize(zombies(a), "cycle-abstractions")
+    share = m.select(F.col("id").alias("memory_id"), F.col("state").isin("active", "fading").cast("double").alias("x"))
+    ratio = ev.join(share, "memory_id", "left").groupBy(F.col("pattern_id").alias("id")).agg(F.avg(F.coalesce("x", F.lit(0.0))).alias("ratio"))
+    p = materialize(weaken(p.join(ratio, "id", "left").fillna({"ratio": 0.0})).drop("ratio"), "cycle-patterns")
+    found = P.duplicates(p.filter("state = 'active'").withColumn("scope", F.lit("all")), ["scope"], F.col("strength"), 0.5, 0.75)
+    changed("patterns_deduplicated", found.filter("id <> leader"))
+    p, ev = P.fold_duplicates(p, ev, found)
+    f = feedback.filter(~F.coalesce(F.col("created_at") < at(as_of, 30), F.lit(False)))
+    changed("feedback_pruned", feedback.filter(F.col("created_at") < at(as_of, 30)))
+    record = None
+    for step, df in counts:
+        row = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(step).alias("step"), "n")
+        record = row if record is None else record.unionByName(row)
+    return {"memories": m, "edges": e, "patterns": p, "evidence": ev, "abstractions": a, "feedback": f, "record": record}
+
+
+def weaken(patterns: DataFrame) -> DataFrame:
+    """Strength and state of patterns by the ``ratio`` of their evidence that is left."""
+    factor = F.when(F.col("ratio") >= 0.5, 0.995).when(F.col("ratio") >= 0.2, 0.93).otherwise(0.85)
+    strength = F.col("strength") * factor
+    state = F.when((F.col("state") == "active") & (strength < 0.1), "fading").when((F.col("state") == "fading") & (strength < 0.05), "archived").otherwise(F.col("state"))
+    return patterns.withColumn("state", state).withColumn("strength", strength)
+
+
+def age(memories: DataFrame, cycles: int, factor: float = 0.92) -> DataFrame:
+    """``salience`` after so many cycles of plain aging."""
+    return memories.withColumn("salience", F.col("salience") * F.pow(F.lit(factor), F.lit(cycles)))

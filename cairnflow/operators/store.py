@@ -80,6 +80,18 @@ def claim(raw: DataFrame, n: int) -> DataFrame:
     return raw.filter(~F.coalesce("processed", F.lit(False))).orderBy(*order).limit(n)
 
 
+def mark(raw: DataFrame, batch: DataFrame) -> DataFrame:
+    """The observations of ``batch`` processed, if they were not yet: compare and set."""
+    hit = batch.select("id", F.lit(True).alias("_m")).distinct()
+    return raw.join(hit, "id", "left").withColumn("processed", F.coalesce("processed", F.lit(False)) | F.coalesce("_m", F.lit(False))).select(raw.columns)
+
+
+def unclaim(raw: DataFrame, batch: DataFrame) -> DataFrame:
+    """The observations of ``batch`` given back to the queue."""
+    hit = batch.select("id", F.lit(True).alias("_m")).distinct()
+    return raw.join(hit, "id", "left").withColumn("processed", F.when(F.col("_m"), False).otherwise(F.col("processed"))).select(raw.columns)
+
+
 def seen_before(raw: DataFrame, hours: int = 24) -> DataFrame:
     """``id, timestamp, seen_before``: whether the same content hash occurred within the hours before."""
     w = Window.partitionBy("content_hash").orderBy("timestamp", "id")
