@@ -97,3 +97,34 @@ GENERATED_MARKERS = [
     "generated by", "do not edit", "auto-generated", "automatically generated", "this file is generated",
     "code generated", "machine generated",
 ]
+
+# fixed values: fields of study and keywords (patterns) of papers
+NEURO_FIELDS = ["neuroscience", "psychology", "cognitive science", "philosophy"]
+CS_FIELDS = ["computer science"]
+NEURO_KEYWORDS = [
+    r"memory\s+consolidation", r"memory\s+encoding", r"memory\s+retrieval", r"spread(?:ing)?\s+activation", r"episodic\s+memory",
+    r"semantic\s+memory", r"working\s+memory", r"associative\s+memory", r"metacognition", r"levels?\s+of\s+processing", r"salience",
+    r"hippocampus", r"hippocampal", r"long[\s-]term\s+potentiation", r"cognitive\s+load", r"pattern\s+recognition", r"schema\s+theory",
+    r"memory\s+decay", r"memory\s+reactivation", r"memory\s+replay", r"sleep\s+(?:and\s+)?memory",
+    r"attention(?:al)?\s+(?:mechanism|control|network)", r"neural\s+plasticity", r"synaptic\s+plasticity", r"prefrontal\s+cortex",
+    r"inhibitory\s+control", r"cognitive\s+neuroscience", r"recollection", r"familiarity\s+(?:and\s+)?recollection",
+    r"memory\s+(?:re)?consolidation", r"interference\s+(?:theory|in\s+memory)", r"forgetting\s+curve", r"spaced\s+repetition",
+    r"desirable\s+difficult", r"testing\s+effect", r"retrieval\s+practice", r"consciousness", r"neural\s+correlates?\s+of\s+consciousness",
+    r"global\s+workspace\s+theory", r"integrated\s+information\s+theory", r"phenomenal\s+consciousness", r"access\s+consciousness", r"qualia",
+    r"self[\s-]awareness", r"introspection", r"binding\s+problem", r"higher[\s-]order\s+thought", r"predictive\s+processing",
+    r"predictive\s+coding", r"free\s+energy\s+principle", r"default\s+mode\s+network", r"mind\s+wandering",
+    r"altered\s+states?\s+of\s+consciousness", r"unconscious\s+processing", r"subliminal\s+perception",
+]
+CS_KEYWORDS = [
+    r"information\s+retrieval", r"knowledge\s+graph", r"semantic\s+search", r"neural\s+network", r"natural\s+language\s+processing",
+    r"text\s+classification", r"named\s+entit", r"concept\s+extraction", r"vector\s+search", r"embedding(?:s)?", r"transformer(?:s)?",
+    r"language\s+model", r"attention\s+mechanism", r"graph\s+neural", r"retrieval[\s-]augmented", r"question\s+answering",
+    r"text\s+summarization", r"sentiment\s+analysis", r"topic\s+model", r"word2vec|glove|fasttext", r"bert|gpt|t5\b",
+]
+
+# fixed values: tags of wanted questions
+POST_TAGS = (
+    "go golang python python-3.x javascript typescript node.js sql sqlite machine-learning deep-learning neural-network nlp "
+    "natural-language-processing information-retrieval search elasticsearch full-text-search algorithm data-structures json rest api "
+    "linux bash shell"
+).split()

@@ -97,10 +97,12 @@ def code_filter(docs: DataFrame, text: str = "text") -> DataFrame:
 def token_budget(docs: DataFrame, source: str, order: Sequence[str], tokens: str, budget: int) -> DataFrame:
     """Documents of each source in order until the budget is reached; the crossing one is kept.
 
-    The running sum is taken within a source; sources are the unit of the budget."""
-    w = Window.partitionBy(source).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(tokens).over(w), F.lit(0))
-    return docs.withColumn("before", before).filter(F.col("before") < budget)
+    The running sums are those of ``offsets`` over (source, order) less the source's first one, so a source
+    that holds most documents is summed in many tasks."""
+    o = offsets(docs, [source, *order], tokens)
+    first = o.groupBy(F.col(source).alias("_source")).agg(F.min("offset").alias("_first"))
+    placed = o.join(first, F.col(source).eqNullSafe(F.col("_source")))
+    return placed.withColumn("before", F.col("offset") - F.col("_first")).filter(F.col("before") < budget).drop("offset", "_source", "_first")
 
 
 def offsets(docs: DataFrame, order: Sequence[str], tokens: str) -> DataFrame:

@@ -58,3 +58,41 @@ def composite(m: DataFrame) -> DataFrame:
         "composite",
         F.round(0.3 * F.col("ndcg") + 0.2 * F.col("precision") + 0.2 * F.col("mrr") + 0.15 * F.col("noise_suppression") + 0.15 * F.col("signal_retention"), 6),
     )
+
+
+def pipeline_metrics(labels: DataFrame, memories: DataFrame, edges: DataFrame) -> DataFrame:
+    """``signal_survival, noise_suppression, edges_per_signal`` of observations (``raw_id, label`` signal or noise).
+
+    An observation that was never encoded is suppressed noise or lost signal.  An edge counts at either end."""
+    m = memories.filter(F.col("raw_id").isNotNull()).select("raw_id", "id", "state")
+    j = labels.join(m, "raw_id", "left")
+    signal, noise = F.col("label") == "signal", F.col("label") == "noise"
+    alive = F.coalesce(F.col("state").isin("active", "fading"), F.lit(False)).cast("double")
+    gone = F.coalesce(F.col("state").isin("fading", "archived", "merged"), F.lit(True)).cast("double")
+    ends = edges.select(F.explode(F.array_distinct(F.array("source_id", "target_id"))).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    return j.join(ends, "id", "left").agg(
+        F.avg(F.when(signal, alive)).alias("signal_survival"), F.avg(F.when(noise, gone)).alias("noise_suppression"),
+        F.avg(F.when(signal & F.col("id").isNotNull(), F.coalesce("n", F.lit(0)))).alias("edges_per_signal"),
+    )
+
+
+def concept_scores(ranked: DataFrame, memories: DataFrame, expected: DataFrame, k: int = 5) -> DataFrame:
+    """``query_id, precision, recall, mrr, ndcg``: a returned memory is a hit if it holds one of the query's concepts (``query_id,
+    concept``, without letter case).
+
+    Precision divides by what was returned, recall by the expected concepts (and so may exceed 1); the ideal gain is that of
+    the hits put first.  Queries that returned nothing give no row."""
+    top = ranked.filter(F.col("rank") <= k).select("query_id", "id", "rank")
+    held = top.join(memories.select("id", F.explode_outer("concepts").alias("c")), "id").select("query_id", "rank", F.lower("c").alias("concept"))
+    want = expected.select("query_id", F.lower("concept").alias("concept")).distinct()
+    hit = held.join(want, ["query_id", "concept"], "left_semi").select("query_id", "rank").distinct().withColumn("hit", F.lit(1))
+    n = expected.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_expected"))
+    per = top.join(hit, ["query_id", "rank"], "left").groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("hit"), F.lit(0)).alias("hits"), F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first"),
+        F.sum(F.when(F.col("hit") == 1, 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias("dcg"),
+    )
+    ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(F.col("hits"), F.lit(1)).cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1))
+    return per.join(n, "query_id", "left").select(
+        "query_id", (F.col("hits") / F.col("n")).alias("precision"), (F.col("hits") / F.coalesce("n_expected", F.lit(1))).alias("recall"),
+        F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("mrr"), F.when(F.col("hits") > 0, F.col("dcg") / ideal).otherwise(0.0).alias("ndcg"),
+    )

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cairnflow.functions import exprs as X
 from cairnflow.operators import evaluation as V, retrieval, search
 from cairnflow.plans.registry import AS_OF, Registry
 from cairnflow.plans.retrieval_queries import _ALL, _BM25, _VEC
+from cairnflow.sources.tables import materialize
 
 _R = Registry()
 query, QUERIES, SQL = _R.query, _R.QUERIES, _R.SQL
@@ -83,14 +85,60 @@ def grade_summary(t):
     return V.grade(means.crossJoin(V.system_metrics(t("memories"), _labels(t))))
 
 
+#: What a sweep varies, one parameter at a time against the defaults.
+SWEEP = {"hops": (0, 1), "alpha": (0.4, 0.8), "both_bonus": (0.0,), "decay": (0.5,), "threshold": (0.05,)}
+
+
 @query()
 def parameter_sweep(t):
-    """One parameter at a time: hops of the spreading activation, each with its composite score."""
+    """One parameter at a time: each value's metrics less those of the defaults, and their composite.
+
+    The index of the memories is built once and read by every run."""
     system = V.system_metrics(t("memories"), _labels(t))
+    known = retrieval.index(t("memories"))
+
+    def means(s):
+        r = retrieval.retrieve(known, t("associations"), t("retrieval_feedback"), _queries(t), AS_OF, s)
+        return V.query_scores(r, _expected(t)).agg(*[F.avg(c).alias(c) for c in ("ndcg", "precision", "mrr")]).crossJoin(system)
+
+    base = materialize(means(retrieval.Settings()), "sweep")
+    old = base.select(*[F.col(c).alias(f"_{c}") for c in base.columns])
     out = None
-    for hops in (0, 1, 3):
-        r = retrieval.retrieve(t("memories"), t("associations"), t("retrieval_feedback"), _queries(t), AS_OF, retrieval.Settings(hops=hops))
-        means = V.query_scores(r, _expected(t)).agg(*[F.avg(c).alias(c) for c in ("ndcg", "precision", "mrr")])
-        row = V.composite(means.crossJoin(system)).select(F.lit(hops).alias("hops"), "composite")
-        out = row if out is None else out.unionByName(row)
+    for name, values in SWEEP.items():
+        for value in values:
+            new = means(retrieval.Settings(**{name: value})).crossJoin(F.broadcast(old))  # one row each
+            delta = new.select(*[(F.col(c) - F.col(f"_{c}")).alias(c) for c in base.columns])
+            row = V.composite(delta).select(F.lit(name).alias("parameter"), F.lit(float(value)).alias("value"), *[F.round(c, 6).alias(c) for c in base.columns], F.round("composite", 6).alias("composite"))
+            out = row if out is None else out.unionByName(row)
     return out
+
+
+@query(
+    """WITH l AS (SELECT DISTINCT id AS raw_id, CASE WHEN lower(trim(source)) = 'mcp' THEN 'signal' ELSE 'noise' END AS label FROM raw_memories WHERE lower(trim(source)) IN ('mcp', 'clipboard')),
+    n AS (SELECT id, count(*) AS n FROM (SELECT source_id AS id FROM associations UNION ALL SELECT target_id FROM associations WHERE target_id <> source_id) GROUP BY id), j AS (SELECT l.*, m.id, m.state, n.n FROM l LEFT JOIN memories m USING (raw_id) LEFT JOIN n ON n.id = m.id)
+    SELECT round(avg(coalesce(state IN ('active', 'fading'), false)::INT) FILTER (label = 'signal'), 6) AS signal_survival, round(avg(coalesce(state IN ('fading', 'archived', 'merged'), true)::INT) FILTER (label = 'noise'), 6) AS noise_suppression,
+      round(avg(coalesce(n, 0)) FILTER (label = 'signal' AND id IS NOT NULL), 6) AS edges_per_signal FROM j"""
+)
+def pipeline_metrics(t):
+    """What became of labelled observations (the agent's as signal, the clipboard's as noise)."""
+    s = F.lower(F.trim("source"))
+    labels = t("raw_memories").filter(s.isin("mcp", "clipboard")).select(F.col("id").alias("raw_id"), F.when(s == "mcp", "signal").otherwise("noise").alias("label")).distinct()
+    m = V.pipeline_metrics(labels, t("memories"), t("associations"))
+    return m.select(*[F.round(c, 6).alias(c) for c in m.columns])
+
+
+@query(
+    """WITH r AS (SELECT query_id, id, rank FROM (SELECT query_id, unnest(retrieved_memory_ids) AS id, generate_subscripts(retrieved_memory_ids, 1) AS rank FROM retrieval_feedback) WHERE rank <= 5 AND id IN (SELECT id FROM memories)),
+    e AS (SELECT query_id, unnest(list_filter(string_split_regex(lower(query_text), '[^a-z0-9]+'), lambda w: length(w) >= 5)) AS concept FROM retrieval_feedback), n AS (SELECT query_id, count(*) AS n FROM e GROUP BY 1),
+    h AS (SELECT DISTINCT r.query_id, r.rank FROM r JOIN (SELECT id, lower(unnest(concepts)) AS concept FROM memories) c USING (id) JOIN e ON e.query_id = r.query_id AND e.concept = c.concept),
+    p AS (SELECT r.query_id, count(*) AS k, count(h.rank) AS hits, min(h.rank) AS first, sum(CASE WHEN h.rank IS NOT NULL THEN 1 / log2(r.rank + 1) ELSE 0 END) AS dcg FROM r LEFT JOIN h USING (query_id, rank) GROUP BY 1)
+    SELECT query_id, round(hits / k::DOUBLE, 6) AS precision, round(hits / coalesce(n, 1)::DOUBLE, 6) AS recall, round(coalesce(1.0::DOUBLE / first, 0), 6) AS mrr,
+      round(CASE WHEN hits > 0 THEN dcg / list_sum(list_transform(generate_series(1, hits), lambda i: 1 / log2(i + 1))) ELSE 0 END, 6) AS ndcg FROM p LEFT JOIN n USING (query_id)"""
+)
+def concept_scores(t):
+    """Returned memories held against the concepts that their query names."""
+    f = t("retrieval_feedback")
+    ranked = f.select("query_id", F.posexplode("retrieved_memory_ids").alias("p", "id")).select("query_id", "id", (F.col("p") + 1).alias("rank")).join(t("memories").select("id"), "id", "left_semi")
+    want = f.select("query_id", F.explode(F.filter(X.tokens(F.col("query_text")), lambda w: F.length(w) >= 5)).alias("concept"))
+    out = V.concept_scores(ranked, t("memories"), want)
+    return out.select("query_id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "mrr", "ndcg")])

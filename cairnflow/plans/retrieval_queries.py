@@ -221,9 +221,30 @@ def retrieval_filtered(t):
 @query()
 def mmr_diversity(t):
     """Diversity re-ranking of the fused lists, with the memories' own vectors."""
-    m = t("memories")
-    out = retrieval.retrieve(m, t("associations"), t("retrieval_feedback"), _queries(t), AS_OF)
-    return retrieval.diversify(out.join(m.select("id", F.col("embedding").alias("v")), "id"), ["query_id"])
+    return retrieval.retrieve(t("memories"), t("associations"), t("retrieval_feedback"), _queries(t), AS_OF, diverse=True)
+
+
+_RANGED = """rg AS (SELECT query_id, created_at - INTERVAL 3 DAY AS since, created_at AS until FROM retrieval_feedback),
+  inr AS (SELECT query_id, id, 0.3 + 0.2 * coalesce(salience, 0) AS activation, row_number() OVER (PARTITION BY query_id ORDER BY timestamp DESC, id) AS rank FROM rg JOIN memories ON timestamp BETWEEN since AND until QUALIFY rank <= 7)"""
+
+
+def _ranges(t):
+    """The three days before each query."""
+    return t("retrieval_feedback").select("query_id", F.expr("created_at - INTERVAL 3 DAYS").alias("since"), F.col("created_at").alias("until"))
+
+
+@query(f"WITH {_RANGED} SELECT query_id, id, round(activation, 9) AS activation, rank FROM inr")
+def time_range_entries(t):
+    return retrieval.in_range(t("memories"), _ranges(t)).withColumn("activation", F.round("activation", 9))
+
+
+@query(
+    f"""WITH {_RANGED}, e AS (SELECT query_id, id, 1.0 / (1 + min(pos)) AS activation FROM (SELECT query_id, unnest(retrieved_memory_ids) AS id, generate_subscripts(retrieved_memory_ids, 1) - 1 AS pos FROM retrieval_feedback) GROUP BY ALL)
+    SELECT query_id, id, round(activation, 9) AS activation FROM e UNION ALL SELECT query_id, id, round(activation, 9) FROM inr ANTI JOIN e USING (query_id, id)"""
+)
+def time_injection(t):
+    """Entry points joined by the newest memories of the query's time range."""
+    return retrieval.inject(_entries(t), retrieval.in_range(t("memories"), _ranges(t))).withColumn("activation", F.round("activation", 9))
 
 
 @query(
