@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cairnflow.functions import exprs as X
+from cairnflow.operators import chunks
 
 
 def state_counts(memories: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -65,9 +66,5 @@ def mean_vector(df: DataFrame, keys: Sequence[str], vector: str) -> DataFrame:
 
 
 def nth_percentile(df: DataFrame, keys: Sequence[str], value: str, share: float) -> DataFrame:
-    """The element at place ``int(share * n)`` of the sorted values (not an interpolation)."""
-    w = Window.partitionBy(*keys)
-    ranked = df.filter(F.col(value).isNotNull()).withColumns(
-        {"_n": F.count(F.lit(1)).over(w), "_k": F.row_number().over(w.orderBy(value))}
-    )
-    return ranked.filter(F.col("_k") == F.floor(F.col("_n") * share) + 1).select(*keys, F.col(value).alias("value"))
+    """The element at place ``int(share * n)`` of the sorted values (not an interpolation), from counts per value."""
+    return chunks.nth(df, keys, value, share).withColumnRenamed(value, "value")

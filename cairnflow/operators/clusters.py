@@ -263,3 +263,39 @@ def mean_vector_match(clusters: DataFrame, patterns: DataFrame, least: float = 0
 
     best = vector_top_k(patterns, "id", "v", clusters, "cluster", "v", 1, least=least)
     return best.select(F.col("query_id").alias("cluster"), "id", "score")
+
+
+def three_tiers(raw: DataFrame, memories: DataFrame, hours: int = 24, overlap: float = 0.8, cosine: float = 0.95) -> DataFrame:
+    """``id, outcome`` of each memory held against what came before it: hash, concepts, vector or new, the first that applies.
+
+    hash: its observation's content occurred within the ``hours`` before; concepts: an older memory shares the ``overlap`` of
+    the longer list, both of at least three; vector: an older memory of the same type and project has at least that cosine.
+    Older means made before, ties by id.  Equal vectors meet through their representative's groups of type and project."""
+    from cairnflow.operators import chunks, graph
+
+    r = raw.filter(F.col("timestamp").isNotNull()).select(F.col("id").alias("raw_id"), X.content_hash(F.col("content")).alias("_h"), "timestamp")
+    seen = chunks.lagged(chunks.chunked(r, ["_h"], ["timestamp", "raw_id"]), ["_h"], ["timestamp", "raw_id"], "timestamp", "_b")
+    first = seen.filter(F.col("timestamp") - F.col("_b.x") <= F.expr(f"INTERVAL {hours} HOURS")).select("raw_id", F.lit(True).alias("_hash"))
+    m = memories.select("id", "raw_id", "type", F.coalesce("project", F.lit("")).alias("project"), "created_at", "concepts", F.col("embedding").alias("v"))
+    made = m.select("id", F.struct("created_at", "id").alias("_at"))
+    pairs = graph.shared_concept_pairs(m.filter(F.size(X.folded_set(F.col("concepts"))) >= 3), 1, overlap)
+
+    def later(p: DataFrame, name: str) -> DataFrame:
+        """The younger one of each pair."""
+        a, b = (made.select(F.col("id").alias(x), F.col("_at").alias(f"_{x}")) for x in "ab")
+        return p.join(a, "a").join(b, "b").select(F.greatest("_a", "_b")["id"].alias("id")).distinct().withColumn(name, F.lit(True))
+
+    near, members = cosine_pairs(m.select("id", "v"), cosine)
+    links = near.unionByName(members.select(F.col("representative").alias("a"), F.col("representative").alias("b")).distinct())
+    both = links.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    kinds = ["type", "project"]
+    groups = members.join(m.filter(F.col("type").isNotNull()).select("id", *kinds), "id").join(made, "id").groupBy("representative", *kinds).agg(F.min("_at").alias("_first"))
+    # the oldest of each group of equal vectors decides, so copies are never paired
+    oldest = (
+        both.join(groups.withColumnRenamed("representative", "b"), "b").groupBy(F.col("a").alias("representative"), *kinds).agg(F.min("_first").alias("_first"))
+    )
+    by_vector = (
+        members.join(m.select("id", *kinds), "id").join(made, "id").join(oldest, ["representative", *kinds]).filter(F.col("_first") < F.col("_at")).select("id", F.lit(True).alias("_vector"))
+    )
+    out = m.select("id", "raw_id").join(first, "raw_id", "left").join(later(pairs, "_concepts"), "id", "left").join(by_vector, "id", "left")
+    return out.select("id", F.when(F.col("_hash"), "hash").when(F.col("_concepts"), "concepts").when(F.col("_vector"), "vector").otherwise("new").alias("outcome"))

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cairnflow.functions import exprs as X, word_lists as W
+from cairnflow.operators import chunks
 
 _STRIP = r"(?U)^\s+|\s+$"
 
@@ -167,14 +168,18 @@ def split_eval(docs: DataFrame, key: str, share: float = 0.1) -> DataFrame:
 
 
 def length_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """min, max, mean, median and the element at place int(0.95 n), per key."""
-    w = Window.partitionBy(*keys)
-    r = df.filter(F.col(value).isNotNull()).withColumns({"_n": F.count(F.lit(1)).over(w), "_k": F.row_number().over(w.orderBy(value))})
-    at = lambda share: F.max(F.when(F.col("_k") == F.floor(F.col("_n") * share) + 1, F.col(value)))
-    return r.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), F.round(F.avg(value), 6).alias("mean"),
-        at(0.5).alias("median"), at(0.95).alias("p95"),
+    """min, max, mean, median and the element at place int(0.95 n), per key; the places from counts per value."""
+    d = df.filter(F.col(value).isNotNull()).select(*keys, value)
+    out = d.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), F.round(F.avg(value), 6).alias("mean")
     )
+    for name, share in (("median", 0.5), ("p95", 0.95)):
+        at = chunks.nth(d, keys, value, share).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(value).alias(name))
+        test = F.lit(True)
+        for k in keys:
+            test = test & F.col(k).eqNullSafe(F.col(f"_{k}"))
+        out = out.join(at, test).drop(*[f"_{k}" for k in keys])
+    return out
 
 
 _FIELDS = "gist summary content narrative concepts structured_concepts significance emotional_tone outcome salience".split()

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from cairnflow.functions import exprs as X, word_lists as W
 from cairnflow.functions.streams import micros
+from cairnflow.operators import chunks
 
 
 def source_score(source: Column, kind: Column, path: Column, content: Column) -> tuple[Column, Column]:
@@ -55,52 +57,82 @@ def heuristic_filter(events: DataFrame, min_length: int = 10, max_length: int =
 
 def ttl_duplicates(events: DataFrame, keys: Sequence[str], ts: str, event_id: str, seconds: float) -> DataFrame:
     """Adds ``duplicate``: whether the event before with the same keys is at most ``seconds`` older."""
-    us = micros(events, ts)
-    w = Window.partitionBy(*keys).orderBy(ts, event_id)
-    e = events.withColumn("_us", us)
-    gap = F.col("_us") - F.lag("_us").over(w)
-    return e.withColumn("duplicate", F.coalesce(gap <= int(seconds * 1e6), F.lit(False))).drop("_us")
-
-
-def _stretches(e: DataFrame, keys: Sequence[str], size: int):
-    """Rows (keys, _us, _id) grouped by key and unbroken stretch: no silence above ``size`` inside."""
-    w = Window.partitionBy(*keys).orderBy("_us", "_id")
-    cut = F.coalesce((F.col("_us") - F.lag("_us").over(w) > size).cast("int"), F.lit(0))
-    marked = e.withColumn("_cut", cut)
-    return marked.withColumn("_stretch", F.sum("_cut").over(w)).groupBy(*keys, "_stretch")
+    e = chunks.chunked(events.withColumn("_us", micros(events, ts)), keys, ["_us", event_id])
+    before = chunks.lagged(e, keys, ["_us", event_id], "_us", "_before")
+    gap = F.col("_us") - F.col("_before.x")
+    return before.withColumn("duplicate", F.coalesce(gap <= int(seconds * 1e6), F.lit(False))).drop("_us", "_before", "_p")
+
+
+def _fold_stretches(events: DataFrame, keys: Sequence[str], ts: str, event_id: str, size: int, schema: str, fold: Callable) -> DataFrame:
+    """``fold`` over the events of each key, cut where a key is silent for more than ``size``.
+
+    The stretches are hashed to tasks and sorted there; ``fold`` takes the rows (keys, ``us``, ``id``) of a stretch one by one
+    (``fold(None, row)`` opens one, ``fold(state, None)`` ends it) and returns (state, rows of the result), so a stretch of
+    any length streams through a task and is never held."""
+    e = events.filter(F.col(ts).isNotNull()).select(*keys, micros(events, ts).alias("_us"), F.col(event_id).alias("_id"))
+    order = ["_us", "_id"]
+    parts = chunks.chunked(e, keys, order)
+    cut = chunks.lagged(parts, keys, order, "_us", "_before")
+    starts = cut.withColumn("_s", F.when(F.coalesce(F.col("_us") - F.col("_before.x") > size, F.lit(True)), F.col("_us")))
+    placed = chunks.carried(starts, keys, order, "_s", "_stretch").select(*keys, "_stretch", *order)
+    by = [*keys, "_stretch"]
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, at, kinds = None, None, None
+
+        def batch(out):
+            return pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*out) if out else [[]] * len(names), kinds)], names=names)
+
+        for b in batches:
+            own = {"long": pa.int64(), "string": pa.string()}
+            kinds = [*(b.schema.field(k).type for k in keys), *(own[f.split()[1]] if f.split()[0] != event_id else b.schema.field("_id").type for f in schema.split(", ")[len(keys) :])]
+            out = []
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if at is None or row[: len(by)] != at:
+                    if at is not None:
+                        out += [(*at[:-1], *r) for r in fold(state, None)[1]]
+                    state, at = None, row[: len(by)]
+                state, rows = fold(state, row[len(by) :])
+                out += [(*at[:-1], *r) for r in rows]
+            yield batch(out)
+        if at is not None:
+            yield batch([(*at[:-1], *r) for r in fold(state, None)[1]])
+
+    return placed.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, schema)
 
 
 def accepted_events(events: DataFrame, keys: Sequence[str], ts: str, event_id: str, limit: int, minutes: float) -> DataFrame:
     """Events that pass a limiter: at most ``limit`` accepted ones per key within the last ``minutes``.
 
-    Rejected events are not recorded, so acceptance is a recursion over each key's own events; it
-    is a fold over sorted times as an array expression.  A silence of the window's length resets
-    the limiter, so a key is cut there and only its unbroken stretches are folded; the fold
-    keeps only the last ``limit`` accepted times."""
-    us = micros(events, ts)
-    window = int(minutes * 60_000_000)
-    e = events.select(*keys, F.col(event_id).alias("_id"), us.alias("_us"))
-    grouped = _stretches(e, keys, window).agg(F.array_sort(F.collect_list(F.struct("_us", "_id"))).alias("es"))
-    id_type = dict(e.dtypes)["_id"]
-    zero = F.struct(F.array().cast("array<bigint>").alias("recent"), F.array().cast(f"array<{id_type}>").alias("kept"))
-
-    def step(acc, x):
-        recent = F.filter(acc["recent"], lambda t: t > x["_us"] - window)
-        ok = F.size(recent) < limit
-        return F.struct(
-            F.when(ok, F.array_append(recent, x["_us"])).otherwise(recent).alias("recent"),
-            F.when(ok, F.array_append(acc["kept"], x["_id"])).otherwise(acc["kept"]).alias("kept"),
-        )
-
-    kept = grouped.select(*keys, F.aggregate("es", zero, step, lambda a: a["kept"]).alias("kept"))
-    return kept.select(*keys, F.explode("kept").alias(event_id))
+    Rejected events are not recorded, so acceptance is a recursion over each key's own events, a
+    fold in the order of time.  A silence of the window's length resets the limiter, so a key is
+    cut there; the fold keeps the last ``limit`` accepted times only."""
+    window, kinds = int(minutes * 60_000_000), dict(events.dtypes)
+
+    def fold(recent, row):
+        if row is None:
+            return None, []
+        us, own = row
+        recent = [t for t in recent or [] if t > us - window]
+        if len(recent) < limit:
+            return [*recent, us], [(own,)]
+        return recent, []
+
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"{event_id} {kinds[event_id]}"])
+    return _fold_stretches(events, keys, ts, event_id, window, schema, fold)
 
 
 def recent_count(events: DataFrame, keys: Sequence[str], ts: str, seconds: int) -> DataFrame:
-    """Adds ``recent``: events of the key in the last ``seconds``, this one included (all, also rejected ones)."""
-    us = micros(events, ts)
-    w = Window.partitionBy(*keys).orderBy("_us").rangeBetween(-(seconds * 1_000_000 - 1), 0)
-    return events.withColumn("_us", us).withColumn("recent", F.count(F.lit(1)).over(w)).drop("_us")
+    """Adds ``recent``: events of the key in the last ``seconds``, this one included (all, also rejected ones).
+
+    Time is cut into buckets of that length and a row also goes to the bucket after its own, so a
+    window sees one key and bucket, never a whole key."""
+    size = seconds * 1_000_000
+    e = events.withColumn("_us", micros(events, ts)).withColumn("_own", F.expr(f"_us div {size}"))
+    e = e.withColumn("_b", F.explode(F.array("_own", F.col("_own") + 1)))
+    w = Window.partitionBy(*keys, "_b").orderBy("_us").rangeBetween(-(size - 1), 0)
+    return e.withColumn("recent", F.count(F.lit(1)).over(w)).filter(F.col("_b").eqNullSafe(F.col("_own"))).drop("_us", "_own", "_b")
 
 
 def suppressed_by(events: DataFrame, sentinels: DataFrame, keys: Sequence[str], ts: str, seconds: int) -> DataFrame:
@@ -122,44 +154,39 @@ def suppressed_by(events: DataFrame, sentinels: DataFrame, keys: Sequence[str],
 def as_of_join(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str, value: str) -> DataFrame:
     """Adds ``value``: the latest of ``right`` (keys, ts, value) not after each row of ``left``.
 
-    Both sides are stacked and the last value is carried forward in one window: one shuffle, no
-    pairs.  A row of ``right`` at the same moment counts."""
+    Both sides are stacked and the last value is carried forward in range chunks: one shuffle, no
+    pairs, no task with a whole key.  A row of ``right`` at the same moment counts."""
     lc = left.columns
     a = left.withColumns({"_v": F.lit(None).cast(dict(right.dtypes)[value]), "_side": F.lit(1)})
     b = right.select(*keys, ts, F.col(value).alias("_v")).withColumn("_side", F.lit(0))
     for c in lc:
         if c not in b.columns:
             b = b.withColumn(c, F.lit(None).cast(left.schema[c].dataType))
-    w = Window.partitionBy(*keys).orderBy(ts, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b.select(a.columns)).withColumn(value, F.last("_v", ignorenulls=True).over(w))
-    return both.filter("_side = 1").select(*lc, value)
+    both = chunks.chunked(a.unionByName(b.select(a.columns)), keys, [ts, "_side"])
+    return chunks.carried(both, keys, [ts, "_side"], "_v", value).filter("_side = 1").select(*lc, value)
 
 
 def anchored_windows(events: DataFrame, keys: Sequence[str], ts: str, event_id: str, minutes: float) -> DataFrame:
     """keys, ``episode, start_us, end_us, n_events, first_id``: windows anchored at their first event.
 
     The first event opens a window, later ones join while they are at most ``minutes`` after its
-    start, the next one opens another.  Neither session (gap) nor tumbling (aligned): the fold
-    over sorted times is an array expression, so it stays in the JVM.  A silence longer than the
-    window always opens a new one, so a key is cut there and folded stretch by stretch."""
-    us = micros(events, ts)
-    size = int(minutes * 60_000_000)
-    e = events.filter(F.col(ts).isNotNull()).select(*keys, us.alias("_us"), F.col(event_id).cast("string").alias("_id"))
-    grouped = _stretches(e, keys, size).agg(F.array_sort(F.collect_list(F.struct("_us", "_id"))).alias("es"))
-    done = "array<struct<start_us:bigint,end_us:bigint,n_events:bigint,first_id:string>>"
-
-    def step(acc, x):
-        last = F.try_element_at(acc, F.lit(-1))
-        fits = F.coalesce(x["_us"] - last["start_us"] <= size, F.lit(False))
-        joined = F.struct(last["start_us"].alias("start_us"), x["_us"].alias("end_us"), (last["n_events"] + 1).alias("n_events"), last["first_id"].alias("first_id"))
-        opened = F.struct(x["_us"].alias("start_us"), x["_us"].alias("end_us"), F.lit(1).cast("bigint").alias("n_events"), x["_id"].alias("first_id"))
-        n = F.size(acc)
-        return F.when(fits, F.array_append(F.slice(acc, 1, F.greatest(n - 1, F.lit(0))), joined)).otherwise(F.array_append(acc, opened))
-
-    folded = grouped.select(*keys, F.aggregate("es", F.array().cast(done), step).alias("w"))
-    each = folded.select(*keys, F.explode("w").alias("x")).select(*keys, "x.*")
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy("start_us")) - 1
-    return each.select(*keys, number.alias("episode"), "start_us", "end_us", "n_events", "first_id")
+    start, the next one opens another.  Neither session (gap) nor tumbling (aligned).  A silence
+    longer than the window always opens a new one, so a key is cut there and folded stretch by
+    stretch."""
+    size, kinds = int(minutes * 60_000_000), dict(events.dtypes)
+
+    def fold(open_, row):
+        if row is None:
+            return None, [open_]
+        us, own = row
+        if open_ is not None and us - open_[0] <= size:
+            return (open_[0], us, open_[2] + 1, open_[3]), []
+        return (us, us, 1, own), [open_] if open_ is not None else []
+
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "start_us long", "end_us long", "n_events long", "first_id string"])
+    each = _fold_stretches(events.withColumn(event_id, F.col(event_id).cast("string")), keys, ts, event_id, size, schema, fold)
+    parts = chunks.numbered(chunks.chunked(each, keys, ["start_us"]), keys, ["start_us"], "_n")
+    return parts.select(*keys, (F.col("_n") - 1).cast("int").alias("episode"), "start_us", "end_us", "n_events", "first_id")
 
 
 def rule_firings(events: DataFrame, keys: Sequence[str], ts: str, event_id: str, cooldown_seconds: float) -> DataFrame:

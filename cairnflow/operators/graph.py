@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cairnflow.functions import exprs as X, word_lists as W
-from cairnflow.sources.tables import materialize
+from cairnflow.sources.tables import discard, materialize
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -65,8 +65,12 @@ def spread_activation(
         *keys, "id", F.col("activation").cast("double").alias("activation"),
         F.lit(0).cast("long").alias("activation_count"), F.lit(None).cast("int").alias("hop"), F.lit(True).alias("fresh"),
     )
+    state_read = None  # the table that ``state`` is computed from
     for h in range(hops):
-        state = materialize(state, f"activation-{h}")
+        state, last = materialize(state, f"activation-{h}"), state_read
+        if last is not None:
+            discard(last)
+        state_read = state
         offer = F.round(F.col("activation") * F.col("strength") * (decay ** (h + 1)) * F.col("weight"), 12)
         offers = (
             state.filter("fresh")
@@ -130,6 +134,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", rounds: i
             jumped.select("id", "old", F.coalesce("root", "component").alias("component")), "component-labels"
         )
         changed = step.filter(F.col("old") != F.col("component")).limit(1).count()
+        discard(labels)
         labels = step.select("id", "component")
         if not changed:
             return labels
@@ -163,12 +168,13 @@ def strengthen(edges: DataFrame, replayed: DataFrame, boost: float = 1.05) -> Da
     )
 
 
-def shared_concept_pairs(memories: DataFrame, least: int) -> DataFrame:
-    """``a, b, shared`` (a < b) of memories with at least ``least`` equal concepts (without letter case).
+def shared_concept_pairs(memories: DataFrame, least: int, share: float = 0.0) -> DataFrame:
+    """``a, b, shared`` (a < b) of memories with at least ``least`` equal concepts (without letter case), and at least the
+    ``share`` of the longer list.
 
     Candidates come from an inverted index with a prefix filter: in order of rarity, two
-    memories that share ``least`` concepts share one of all but the ``least - 1`` most frequent of
-    each, so these never enter the index.  A concept's list is cut into blocks and pairs of
+    memories that share ``r`` concepts (``least``, or the share of either list) share one of all but
+    the ``r - 1`` most frequent of each, so these never enter the index.  A concept's list is cut into blocks and pairs of
     blocks are joined, so a concept that a large share of memories holds is spread over many
     tasks.  The candidates are then counted on the whole lists.
     """
@@ -178,7 +184,8 @@ def shared_concept_pairs(memories: DataFrame, least: int) -> DataFrame:
     rarest = Window.partitionBy("id").orderBy("m", "c")
     n = F.count(F.lit(1)).over(Window.partitionBy("id"))
     ranked = held.join(sizes, "c").withColumns({"_k": F.row_number().over(rarest), "_n": n})
-    used = ranked.filter((F.col("_k") <= F.col("_n") - (least - 1)) & (F.col("m") > 1))
+    needed = F.greatest(F.lit(least), F.ceil(F.col("_n") * share - 1e-9))
+    used = ranked.filter((F.col("_k") <= F.col("_n") - (needed - 1)) & (F.col("m") > 1))
     placed = used.withColumns(
         {"blocks": F.expr("cast(ceil(m / 200) as int)"), "own": F.expr("cast(pmod(xxhash64(id), ceil(m / 200)) as int)")}
     )
@@ -189,8 +196,9 @@ def shared_concept_pairs(memories: DataFrame, least: int) -> DataFrame:
     return (
         pairs.join(full.select(F.col("id").alias("a"), F.col("cs").alias("ca")), "a")
         .join(full.select(F.col("id").alias("b"), F.col("cs").alias("cb")), "b")
-        .select("a", "b", F.size(F.array_intersect("ca", "cb")).cast("long").alias("shared"))
-        .filter(F.col("shared") >= least)
+        .select("a", "b", F.size(F.array_intersect("ca", "cb")).cast("long").alias("shared"), F.greatest(F.size("ca"), F.size("cb")).alias("_longer"))
+        .filter((F.col("shared") >= least) & (F.col("shared") >= share * F.col("_longer") - 1e-9))
+        .drop("_longer")
     )
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cairnflow.functions import exprs as X
+from cairnflow.operators import chunks
 
 
 def insert_ignore(snapshot: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -94,11 +95,10 @@ def unclaim(raw: DataFrame, batch: DataFrame) -> DataFrame:
 
 def seen_before(raw: DataFrame, hours: int = 24) -> DataFrame:
     """``id, timestamp, seen_before``: whether the same content hash occurred within the hours before."""
-    w = Window.partitionBy("content_hash").orderBy("timestamp", "id")
-    gap = F.expr(f"timestamp - lag(timestamp) OVER (PARTITION BY content_hash ORDER BY timestamp, id) <= INTERVAL {hours} HOURS")
-    known = F.col("content_hash").isNotNull()
-    del w
-    return raw.select("id", "timestamp", F.when(known, F.coalesce(gap, F.lit(False))).otherwise(F.lit(False)).alias("seen_before"))
+    order = ["timestamp", "id"]
+    parts = chunks.lagged(chunks.chunked(raw.select("id", "timestamp", "content_hash"), ["content_hash"], order), ["content_hash"], order, "timestamp", "_b")
+    again = F.coalesce(F.col("timestamp") - F.col("_b.x") <= F.expr(f"INTERVAL {hours} HOURS"), F.lit(False))
+    return parts.select("id", "timestamp", (F.col("content_hash").isNotNull() & again).alias("seen_before"))
 
 
 def latest_delivery(raw: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairnflow.functions import exprs as X
-from cairnflow.operators import clusters, graph
+from cairnflow.operators import clusters, graph, store
 from cairnflow.plans.registry import Registry
 
 _R = Registry()
@@ -79,7 +79,19 @@ def exact_hash_dedup(t):
 )
 def tier2_concept_dedup(t):
     """Pairs of memories whose concepts overlap by at least half of the longer list."""
-    m = t("memories")
-    n = m.select("id", F.size(X.folded_set(F.col("concepts"))).alias("k")).filter("k >= 3")
-    p = graph.shared_concept_pairs(m, 1).join(n.select(F.col("id").alias("a"), F.col("k").alias("ka")), "a").join(n.select(F.col("id").alias("b"), F.col("k").alias("kb")), "b")
-    return p.filter(F.col("shared") >= 0.5 * F.greatest("ka", "kb")).select("a", "b", "shared")
+    m = t("memories").filter(F.size(X.folded_set(F.col("concepts"))) >= 3)
+    return graph.shared_concept_pairs(m, 1, 0.5)
+
+
+@query(
+    """WITH obs AS (SELECT id, type, content, project, timestamp FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY created_at DESC NULLS LAST) AS n FROM raw_memories) WHERE n = 1),
+    h AS (SELECT id, left(sha256(coalesce(content, '')), 32) AS h, timestamp FROM obs), one AS (SELECT id, coalesce(timestamp - lag(timestamp) OVER (PARTITION BY h ORDER BY timestamp, id) <= INTERVAL 24 HOUR, false) AS hash_dup FROM h),
+    m AS (SELECT r.raw_id, r.id, list_distinct(list_filter(list_transform(r.concepts, lambda q: lower(q)), lambda q: q IS NOT NULL)) AS c, r.type, coalesce(r.project, '') AS project, r.created_at,
+      CASE WHEN r.embedding IS NOT NULL AND len(r.embedding) = 128 AND len(list_filter(r.embedding, lambda q: q IS NULL OR isnan(q) OR isinf(q))) = 0 AND len(list_filter(r.embedding, lambda q: q <> 0)) > 0 THEN list_transform(r.embedding, lambda q: q::DOUBLE) END AS v FROM memories r),
+    n AS (SELECT a.*, (SELECT min(b.id) FROM m b WHERE len(a.c) >= 3 AND len(b.c) >= 3 AND (b.created_at, b.id) < (a.created_at, a.id) AND len(list_intersect(a.c, b.c)) >= 0.8 * greatest(len(a.c), len(b.c))) AS by_concepts FROM m a),
+    k AS (SELECT n.*, (SELECT min(b.id) FROM m b WHERE (b.created_at, b.id) < (n.created_at, n.id) AND b.type = n.type AND b.project = n.project AND round(list_cosine_similarity(n.v, b.v), 9) >= 0.95) AS by_vector FROM n)
+    SELECT k.id, CASE WHEN coalesce(hash_dup, false) THEN 'hash' WHEN by_concepts IS NOT NULL THEN 'concepts' WHEN by_vector IS NOT NULL THEN 'vector' ELSE 'new' END AS outcome FROM k LEFT JOIN one ON one.id = k.raw_id"""
+)
+def three_tier_dedup(t):
+    """What each memory would be on arrival: a repeated observation, a repeat by concepts or by vector of an older memory, or new."""
+    return clusters.three_tiers(store.latest_delivery(t("raw_memories")), t("memories"))

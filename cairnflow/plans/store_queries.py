@@ -258,18 +258,23 @@ def cross_pollinate(t):
 
 
 @query(
-    f"""WITH {_PAIRS}, v AS (SELECT id, project, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM memories WHERE len(embedding) = 128
-      AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)
-    SELECT p.a, p.b, p.shared, round(0.5 * list_cosine_similarity(x.v, y.v), 6) AS strength FROM pairs p JOIN v x ON x.id = p.a JOIN v y ON y.id = p.b
-    WHERE coalesce(x.project, '') <> coalesce(y.project, '') AND list_cosine_similarity(x.v, y.v) >= 0.2"""
+    f"""WITH v AS (SELECT id, coalesce(project, '') AS p, list_distinct(list_filter(list_transform(concepts, lambda q: lower(q)), lambda q: q IS NOT NULL)) AS c, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM memories WHERE state IN ('active', 'fading') AND len(embedding) = 128
+      AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    n AS (SELECT x.id AS source_id, y.id AS target_id, x.p AS px, y.p AS py, x.c AS cx, y.c AS cy, round(list_cosine_similarity(x.v, y.v), 9) AS s FROM v x JOIN v y ON x.id <> y.id QUALIFY row_number() OVER (PARTITION BY x.id ORDER BY s DESC, y.id) <= 10)
+    SELECT source_id, target_id, len(list_intersect(cx, cy)) AS shared, round(0.5 * s, 6) AS strength FROM n WHERE px <> py AND s >= 0.2 AND len(list_intersect(cx, cy)) > 0"""
 )
 def cross_project_link(t):
+    """Links to those of the ten nearest memories that are of another project and share a concept (cosine here at least 0.2)."""
     m = t("memories").filter("state IN ('active', 'fading')")
-    v = m.filter(X.usable_vector(F.col("embedding")) & (F.size("embedding") == 128)).select("id", F.coalesce("project", F.lit("")).alias("p"), F.col("embedding").alias("v"))
-    pairs = graph.shared_concept_pairs(m, 1)
-    a, b = v.select(F.col("id").alias("a"), F.col("p").alias("pa"), F.col("v").alias("va")), v.select(F.col("id").alias("b"), F.col("p").alias("pb"), F.col("v").alias("vb"))
-    near = pairs.join(a, "a").join(b, "b").filter("pa <> pb").withColumn("s", X.cosine(F.col("va"), F.col("vb"))).filter("s >= 0.2")
-    return near.select("a", "b", "shared", F.round(0.5 * F.col("s"), 6).alias("strength"))
+    v = m.filter(X.usable_vector(F.col("embedding")) & (F.size("embedding") == 128)).select(
+        "id", F.coalesce("project", F.lit("")).alias("p"), F.col("embedding").alias("v"), X.folded_set(F.col("concepts")).alias("c")
+    )
+    near = search.vector_top_k(v, "id", "v", v, "id", "v", 10, exclude_self=True).filter("score >= 0.2")
+    a, b = (v.select(F.col("id").alias(i), F.col("p").alias(f"p{i}"), F.col("c").alias(f"c{i}")) for i in ("source_id", "target_id"))
+    j = near.select(F.col("query_id").alias("source_id"), F.col("id").alias("target_id"), "score").join(a, "source_id").join(b, "target_id")
+    shared = F.size(F.array_intersect("csource_id", "ctarget_id"))
+    j = j.filter((F.col("psource_id") != F.col("ptarget_id")) & (shared > 0))
+    return j.select("source_id", "target_id", shared.alias("shared"), F.round(0.5 * F.col("score"), 6).alias("strength"))
 
 
 @query(
