@@ -80,9 +80,9 @@ def keywords(c: Column, n: int = 10) -> Column:
 
 
 def folded_set(c: Column) -> Column:
-    """Distinct lower-cased elements; null arrays count as empty."""
+    """Distinct lower-cased elements without nulls; null arrays count as empty."""
     none = F.array().cast("array<string>")
-    return F.array_distinct(F.transform(F.coalesce(c, none), lambda x: F.lower(x)))
+    return F.array_distinct(F.transform(F.filter(F.coalesce(c, none), lambda x: x.isNotNull()), lambda x: F.lower(x)))
 
 
 def dedup_keep_first(c: Column) -> Column:

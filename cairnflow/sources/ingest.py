@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cairnflow.functions import exprs as X, word_lists as W
 
-#: Characters that paragraphs are packed to, words below which a chunk is dropped, largest text kept of a file.
-CHUNK_TARGET, MIN_WORDS, MAX_CHARS = 2000, 50, 100_000
+#: Characters that paragraphs are packed to, words below which a chunk is dropped.
+CHUNK_TARGET, MIN_WORDS = 2000, 50
 
 
 def read_files(spark: SparkSession, path: str, known: DataFrame | None = None, exclude: tuple[str, ...] = tuple(W.IGNORED_PATHS)) -> DataFrame:
@@ -154,10 +154,11 @@ def plain(data: bytes) -> list[tuple[int, str]]:
 EXTRACTORS = {"docx": docx, "pptx": pptx, "odt": odt, "rtf": rtf, "pdf": pdf}
 
 
-def extract(files: DataFrame) -> DataFrame:
-    """``path, chunk, page, text, error``: the chunks of every file, numbered from 1.
+def extract(files: DataFrame, most: int | None = None) -> DataFrame:
+    """``path, chunk, page, text, error, cut``: the chunks of every file, numbered from 1.
 
-    A file that cannot be read gives one row with its error and no text; the others go on."""
+    A file that cannot be read gives one row with its error and no text; the others go on.  With ``most`` a chunk keeps so
+    many characters and ``cut`` says how many it lost; without, every text is whole."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf_ in batches:
@@ -165,19 +166,19 @@ def extract(files: DataFrame) -> DataFrame:
             for path, data in zip(pdf_["path"], pdf_["content"]):
                 f = EXTRACTORS.get(path.rsplit(".", 1)[-1].lower(), plain)
                 try:
-                    rows += [(path, k, page, text[:MAX_CHARS], None) for k, (page, text) in enumerate(f(bytes(data)), 1)]
+                    rows += [(path, k, page, text[:most], None, max(0, len(text) - len(text[:most]))) for k, (page, text) in enumerate(f(bytes(data)), 1)]
                 except Exception as e:  # noqa: BLE001 - any broken file
-                    rows.append((path, 0, 0, None, f"{type(e).__name__}: {e}"[:200]))
-            yield pd.DataFrame(rows, columns=["path", "chunk", "page", "text", "error"])
+                    rows.append((path, 0, 0, None, f"{type(e).__name__}: {e}"[:200], 0))
+            yield pd.DataFrame(rows, columns=["path", "chunk", "page", "text", "error", "cut"])
 
-    return files.select("path", "content").mapInPandas(run, "path string, chunk int, page int, text string, error string")
+    return files.select("path", "content").mapInPandas(run, "path string, chunk int, page int, text string, error string, cut int")
 
 
-def observation_rows(chunks: DataFrame) -> DataFrame:
-    """``path, chunk, page, content``: chunk 0 with the start of the whole text, then the chunks of enough words."""
+def observation_rows(chunks: DataFrame, most: int | None = None) -> DataFrame:
+    """``path, chunk, page, content``: chunk 0 with the whole text (its first ``most`` characters), then the chunks of enough words."""
     good = chunks.filter("text IS NOT NULL")
     parts = F.transform(F.array_sort(F.collect_list(F.struct("chunk", "text"))), lambda x: x["text"])
-    whole = good.groupBy("path").agg(F.left(F.array_join(parts, "\n"), F.lit(MAX_CHARS)).alias("content"), F.count(F.lit(1)).alias("n"))
+    whole = good.groupBy("path").agg((F.array_join(parts, "\n") if most is None else F.left(F.array_join(parts, "\n"), F.lit(most))).alias("content"), F.count(F.lit(1)).alias("n"))
     head = whole.select("path", F.lit(0).alias("chunk"), F.lit(0).alias("page"), "content")
     many = whole.filter("n > 1").select("path")
     rest = good.join(many, "path", "left_semi").filter(X.word_count(F.col("text")) >= MIN_WORDS)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cairnflow.operators import events as E
+from cairnflow.sources.ingest import history_line
 
 
 def file_stream(spark: SparkSession, path: str, schema, per_trigger: int = 16) -> DataFrame:
@@ -16,6 +17,24 @@ def file_stream(spark: SparkSession, path: str, schema, per_trigger: int = 16) -
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
+def terminal_tail(spark: SparkSession, path: str, per_trigger: int = 16) -> DataFrame:
+    """Shell history files of a folder as they arrive, a command a row, without time prefixes and blank lines."""
+    lines = spark.readStream.option("maxFilesPerTrigger", per_trigger).text(path)
+    return lines.select(history_line(F.col("value")).alias("command")).filter(F.trim("command") != "")
+
+
+def changed_snapshots(stream: DataFrame, keys: list[str], content: str, ttl: str, ts: str, delay: str = "10 minutes") -> DataFrame:
+    """Polled snapshots (a clipboard, a repository's head) by the MD5 of their content: each content once within the time to live."""
+    digest = F.md5(F.coalesce(F.col(content), F.lit("")))
+    return first_in_ttl(stream.withColumn("digest", digest), [*keys, "digest"], ts, ttl, delay)
+
+
+def subscribed(stream: DataFrame, kinds: list[str]) -> DataFrame:
+    """The events of a bus that a consumer subscribes to; every consumer is a query of its own with its own checkpoint, so a slow one
+    loses nothing and holds nobody up."""
+    return stream.filter(F.col("event_type").isin(kinds))
+
+
 def fan_in(*streams: DataFrame) -> DataFrame:
     """Several watchers as one stream."""
     out = streams[0]
