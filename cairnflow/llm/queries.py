@@ -205,14 +205,22 @@ c AS (SELECT x.id AS id_a, y.id AS id_b, count(*) AS c FROM s x JOIN s y ON x.g
 SELECT id_a, id_b FROM c JOIN n a ON a.id = id_a JOIN n b ON b.id = id_b WHERE c / (a.n + b.n - c)::DOUBLE >= 0.6
 """
 
+_P9_LEAKS = _P9[: _P9.index("dw AS")] + """dw AS (SELECT doc_id, array_to_string(w[k : k + 12], ' ') AS gram FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) AS k FROM d)),
+iw AS (SELECT item_id, array_to_string(w[k : k + 12], ' ') AS gram FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - 12)) AS k FROM i))
+SELECT doc_id, item_id, true AS exact, count(*) AS n_hits FROM dw JOIN iw USING (gram) GROUP BY ALL
+"""
+_P3_NEAREST = _P3[: _P3.rindex("SELECT DISTINCT")] + "SELECT id, neighbour, s AS similarity, k AS rank FROM t WHERE k <= 5"
+
 SQL = {
     "p1_found": _P1 + "SELECT first_id, last_id FROM done",
     "p1_runs": _P1 + "SELECT * FROM done",
     "p3_found": _P3,
+    "p3_nearest": _P3_NEAREST,
     "p5_found": _P5,
     "p6_found": "SELECT DISTINCT id FROM raw_memories WHERE length(content) > 4000",
     "p7_found": _P7 + "SELECT item_a AS concept_a, item_b AS concept_b FROM done",
     "p7_associations": _P7 + "SELECT * FROM done",
     "p9_found": _P9,
     "p9_near": _P9_NEAR,
+    "p9_leaks": _P9_LEAKS,
 }
