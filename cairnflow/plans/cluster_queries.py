@@ -12,17 +12,36 @@ _R = Registry()
 query, QUERIES, SQL = _R.query, _R.QUERIES, _R.SQL
 
 
+def fold_sql(rows: str, absorbs: str, least: int, key: str = "key") -> str:
+    """CTEs of the leader fold over ``rows`` (key, id, o: the order, descending): ``led`` (key, id, leader).  ``absorbs`` is a
+    condition on the leader ``x`` and a later row ``y``."""
+    return f"""rows_ AS ({rows}), num AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY o DESC, id) AS k FROM rows_),
+    adj AS (SELECT x.key, x.k, x.id, list(y.k ORDER BY y.k) FILTER (y.k IS NOT NULL) AS js FROM num x LEFT JOIN num y ON x.key = y.key AND y.k > x.k AND ({absorbs}) GROUP BY ALL),
+    fold AS (SELECT key, k, id, coalesce(js, [])::BIGINT[] || [k] AS used, coalesce(js, [])::BIGINT[] || [k] AS got FROM adj WHERE k = 1
+      UNION ALL SELECT a.key, a.k, a.id, CASE WHEN list_contains(f.used, a.k) THEN f.used ELSE f.used || list_filter(coalesce(a.js, [])::BIGINT[] || [a.k], lambda j: NOT list_contains(f.used, j)) END,
+        CASE WHEN list_contains(f.used, a.k) THEN NULL ELSE list_filter(coalesce(a.js, [])::BIGINT[] || [a.k], lambda j: NOT list_contains(f.used, j)) END FROM fold f JOIN adj a ON a.key = f.key AND a.k = f.k + 1),
+    led AS (SELECT m.key, m.id, g.id AS leader FROM (SELECT key, id, unnest(got) AS k FROM fold WHERE len(got) >= {least}) g JOIN num m ON m.key = g.key AND m.k = g.k)"""
+
+
+_OKV = "{e} IS NOT NULL AND len({e}) > 0 AND len(list_filter({e}, lambda q: q IS NULL OR isnan(q) OR isinf(q))) = 0 AND len(list_filter({e}, lambda q: q <> 0)) > 0"
+_VEC = f"CASE WHEN {_OKV.format(e='embedding')} THEN list_transform(embedding, lambda q: q::DOUBLE) END AS v"
+_LOWC = "list_filter(list_transform(coalesce(concepts, []), lambda q: lower(q)), lambda q: q IS NOT NULL) AS c"
+_COS = "coalesce(CASE WHEN x.v IS NOT NULL AND y.v IS NOT NULL AND len(x.v) = len(y.v) THEN list_cosine_similarity(x.v, y.v) END, 0)"
+_SHARED = "len(list_filter(y.c, lambda q: list_contains(x.c, q)))"
+_ROWS = f"SELECT coalesce(project, '') AS key, id, created_at AS o, {_VEC}, {_LOWC} FROM memories WHERE state = 'active'"
+
+
 def _active(t):
     m = t("memories").filter("state = 'active'")
     return m.select("id", F.coalesce("project", F.lit("")).alias("project"), "concepts", F.col("embedding").alias("v"), "created_at")
 
 
-@query()
+@query(f"WITH RECURSIVE {fold_sql(_ROWS, f'{_COS} >= 0.85', 3)} SELECT key AS project, id, leader FROM led")
 def leader_clusters(t):
     return clusters.by_vector(_active(t), ["project"])
 
 
-@query()
+@query(f"WITH RECURSIVE {fold_sql(_ROWS, f'{_SHARED} >= 2 OR ({_SHARED} = 1 AND {_COS} >= 0.6)', 3)} SELECT key AS project, id, leader FROM led")
 def concept_clusters(t):
     return clusters.by_concepts(_active(t), ["project"])
 
@@ -32,7 +51,10 @@ def temporal_clusters(t):
     return clusters.by_time(_active(t), ["project"])
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {fold_sql(_ROWS.replace("coalesce(project, '') AS key", "1 AS key, coalesce(project, '') AS project"), f'{_SHARED} >= 2 OR ({_SHARED} = 1 AND {_COS} >= 0.6)', 3)}
+    SELECT leader, count(DISTINCT project) AS n_projects, count(*) AS n FROM led JOIN rows_ USING (id) GROUP BY leader HAVING count(DISTINCT project) >= 2"""
+)
 def cross_project_clusters(t):
     """Concept clusters over all projects that span at least two of them."""
     m = _active(t).withColumn("scope", F.lit("all"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cairnflow.functions import exprs as X
 from cairnflow.operators import clusters as K, graph, lifecycle as L, patterns as P, search
+from cairnflow.plans.cluster_queries import _COS, _LOWC, _ROWS, _SHARED, _VEC, fold_sql
 from cairnflow.plans.registry import AS_OF, Registry
 
 _R = Registry()
@@ -66,7 +67,14 @@ def gist_build(t):
     return g.select("cluster", "n_sources", "salience", "project", "raw_id", "summary", F.array_join("concepts", "|").alias("concepts"), F.coalesce(F.size("v"), F.lit(0)).alias("dims"), length.alias("length"))
 
 
-@query()
+_LEADERS = fold_sql(_ROWS, f"{_COS} >= 0.85", 3)
+
+
+@query(
+    f"""WITH RECURSIVE {_LEADERS}, m AS (SELECT id, 'gist-' || leader AS gist_id FROM led), r AS (SELECT coalesce(a.gist_id, source_id) AS source_id, coalesce(b.gist_id, target_id) AS target_id, a.gist_id IS NOT NULL OR b.gist_id IS NOT NULL AS moved, created_at, strength, relation_type
+      FROM associations LEFT JOIN m a ON a.id = source_id LEFT JOIN m b ON b.id = target_id)
+    SELECT source_id, target_id, strength, relation_type FROM (SELECT *, row_number() OVER (PARTITION BY source_id, target_id ORDER BY moved, created_at, strength DESC, relation_type) AS n FROM r WHERE source_id <> target_id) WHERE n = 1"""
+)
 def merge_driver(t):
     """Clusters of active memories merged into gists: the redirected edges of the whole graph."""
     m = t("memories").filter("state = 'active'").select("id", F.coalesce("project", F.lit("")).alias("project"), F.col("embedding").alias("v"), "created_at")
@@ -99,7 +107,25 @@ def pattern_reset(t):
     return p.select("id", "n", F.round(P.reset_strength(F.col("n")), 9).alias("strength"))
 
 
-@query()
+_NW = "len(list_filter(string_split_regex(coalesce(summary, ''), '[ \\t\\n\\r\\f\\x0B]+'), lambda w: w <> '')) AS nw"
+_JAC = "CASE WHEN len(list_distinct(x.w || y.w)) = 0 THEN 1.0 ELSE len(list_intersect(x.w, y.w)) / len(list_distinct(x.w || y.w))::DOUBLE END"
+
+
+def _near_sql(jaccard: float, cosine: float) -> str:
+    words, near = f"{_JAC} >= {jaccard}", f"{_COS} >= {cosine}"
+    return f"CASE WHEN x.nw <= 4 OR y.nw <= 4 THEN {words} AND {near} ELSE {words} OR {near} END"
+
+
+_TW = "list_distinct(list_filter(string_split_regex(lower(coalesce({x}, '')), '[ \\t\\n\\r\\f\\x0B]+'), lambda w: w <> ''))"
+_V128 = _VEC.replace("len(embedding) > 0", "len(embedding) = 128")
+
+
+@query(
+    f"""WITH RECURSIVE {fold_sql(f"SELECT 1 AS key, id, salience AS o, {_V128}, {_TW.format(x='summary')} AS w, {_NW} FROM memories WHERE state = 'active' AND len(gist_of) > 0", _near_sql(0.5, 0.75), 1)},
+    p AS (SELECT m.id, m.state, m.salience, coalesce(l.leader, m.id) AS leader FROM memories m LEFT JOIN led l USING (id) WHERE len(m.gist_of) > 0), b AS (SELECT leader, max(salience) AS best FROM p GROUP BY 1),
+    e AS (SELECT p.leader AS id, count(DISTINCT g) AS n FROM (SELECT id, unnest(gist_of) AS g FROM memories) x JOIN p USING (id) GROUP BY 1)
+    SELECT p.id, CASE WHEN p.leader <> p.id THEN 'archived' ELSE state END AS state, round(CASE WHEN p.leader = p.id THEN best ELSE salience END, 9) AS strength, coalesce(n, 0) AS n_evidence FROM p LEFT JOIN b ON b.leader = p.id LEFT JOIN e ON e.id = p.id"""
+)
 def dedup_patterns(t):
     """Patterns after the fold of near-duplicates: the strongest stands, with all evidence."""
     found = P.duplicates(_patterns(t).filter("state = 'active'").withColumn("scope", F.lit("all")), ["scope"], F.col("strength"), 0.5, 0.75)
@@ -108,18 +134,18 @@ def dedup_patterns(t):
     return p.join(n, "id", "left").select("id", "state", F.round("strength", 9).alias("strength"), F.coalesce("n_evidence", F.lit(0)).alias("n_evidence"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {fold_sql(f"SELECT CASE WHEN type = 'decision' THEN 2 ELSE 3 END AS key, id, -epoch_us(created_at) AS o, {_V128}, {_TW.format(x='summary')} AS w, {_NW} FROM memories WHERE state = 'active' AND type IN ('decision', 'insight')", _near_sql(0.6, 0.75), 1)}
+    SELECT key AS level, id, leader FROM led WHERE id <> leader"""
+)
 def dedup_abstractions(t):
     """Abstractions of a level that repeat an older one."""
     live = _abstractions(t).filter("state = 'active'")
     return P.duplicates(live, ["level"], -F.unix_micros(F.col("created_at").cast("timestamp")), 0.6, 0.75).filter("id <> leader")
 
 
-_T = "list_distinct(list_filter(string_split_regex(lower(coalesce({x}, '')), '[ \\t\\n\\r\\f\\x0B]+'), lambda w: w <> ''))"
-
-
 @query(
-    f"""WITH x AS (SELECT id, type, created_at, {_T.format(x='summary')} AS w, CASE WHEN {_OK.format(x='embedding')} THEN list_transform(embedding, lambda q: q::DOUBLE) END AS v FROM memories),
+    f"""WITH x AS (SELECT id, type, created_at, {_TW.format(x='summary')} AS w, CASE WHEN {_OK.format(x='embedding')} THEN list_transform(embedding, lambda q: q::DOUBLE) END AS v FROM memories),
     h AS (SELECT * FROM x WHERE type IN ('decision', 'insight')), r AS (SELECT * FROM x WHERE type = 'learning')
     SELECT r.id, arg_min(h.id, (h.created_at, h.id)) AS match FROM r, h WHERE CASE WHEN len(list_distinct(r.w || h.w)) = 0 THEN 1.0 ELSE len(list_intersect(r.w, h.w)) / len(list_distinct(r.w || h.w))::DOUBLE END >= 0.4
       OR coalesce(CASE WHEN r.v IS NOT NULL AND h.v IS NOT NULL THEN list_cosine_similarity(r.v, h.v) END, 0) >= 0.75 GROUP BY r.id"""
@@ -132,18 +158,18 @@ def similar_abstraction(t):
     return P.first_similar(rows, _abstractions(t), 0.4, 0.75)
 
 
-@query()
+@query(f"""WITH RECURSIVE {fold_sql(f"SELECT 'all' AS key, id, created_at AS o, {_V128} FROM memories WHERE len(gist_of) > 0", f'{_COS} >= 0.8', 2)} SELECT key AS scope, id, leader FROM led""")
 def pattern_clusters(t):
     """Leader clusters of patterns by vector."""
     return K.by_vector(_patterns(t).withColumn("scope", F.lit("all")), ["scope"], 0.8, 2)
 
 
-@query()
+@query(f"""WITH RECURSIVE {fold_sql(f"SELECT 'all' AS key, id, created_at AS o, {_V128} FROM memories WHERE type = 'decision'", f'{_COS} >= 0.85', 2)} SELECT key AS scope, id, leader FROM led""")
 def principle_clusters(t):
     return K.by_vector(_abstractions(t).filter("level = 2").withColumn("scope", F.lit("all")), ["scope"], 0.85, 2)
 
 
-@query()
+@query(f"""WITH RECURSIVE {fold_sql(f"SELECT coalesce(project, '') AS key, id, access_count AS o, {_LOWC} FROM memories WHERE state = 'active'", f'{_SHARED} >= 2', 2)} SELECT key AS project, id, leader FROM led""")
 def insight_clusters(t):
     """Leader clusters of memories that share two concepts, in the order of their accesses."""
     m = t("memories").filter("state = 'active'").select("id", F.coalesce("project", F.lit("")).alias("project"), "concepts", F.col("access_count").alias("created_at"))
