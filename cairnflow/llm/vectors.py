@@ -37,7 +37,7 @@ CELLS, CELL_ROWS = 4_096, 65_536
 #: Vectors on which the centres of a level, or of one cell, are fitted, at most.
 SAMPLE = 32_768
 #: Width of the error bounds in standard deviations of the worst case: with a least similarity and without.
-WIDTH, WIDTH_K = 2.5, 1.5
+WIDTH, WIDTH_K = 2.5, 1.0
 _SEED = 20_240_601
 
 
@@ -83,45 +83,70 @@ def encode(u: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return np.packbits(o > 0, axis=1), fit, level[:, ::2] << 4 | level[:, 1::2], low, step
 
 
-def estimate(dim: int, bits, fit, levels, low, step, width: float = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """(estimated inner products, error bounds) of queries (rows) and coded vectors (columns)."""
+def estimate(dim: int, bits, fit, levels, low, step, width: float = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(estimated inner products of queries (rows) and coded vectors (columns), error of each column, error of each row)."""
     signs = np.unpackbits(bits, axis=1, count=dim).astype(np.float32)
     signs *= 2
     signs -= 1
+    signs /= (math.sqrt(dim) * fit)[:, None]
     level = np.empty((len(levels), 2 * levels.shape[1]), np.float32)
     level[:, ::2], level[:, 1::2] = levels >> 4, levels & 15
     q = level[:, :dim] * step[:, None] + low[:, None]
-    est = (q @ signs.T) / (math.sqrt(dim) * fit)
     code_error = width * np.sqrt(np.maximum(1 - fit**2, 0)) / fit / math.sqrt(max(dim - 1, 1))
-    return est, code_error[None, :] + width * step[:, None] / math.sqrt(12)
+    return q @ signs.T, code_error.astype(np.float32), (width * step / math.sqrt(12)).astype(np.float32)
 
 
-def to_rerank(est, bound, same, k: int, least: float | None) -> tuple[np.ndarray, np.ndarray]:
+def reaching(est, column_error, row_error, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of the pairs that can be among the k best of their row and reach ``least``."""
-    upper = est + bound
-    upper[same] = -np.inf
-    if least is None:
-        lower = est - bound
-        lower[same] = -np.inf
-        if lower.shape[1] > k:
-            kth = np.partition(lower, lower.shape[1] - k, axis=1)[:, lower.shape[1] - k]
-            return np.nonzero((upper >= kth[:, None]) & np.isfinite(upper))
-        return np.nonzero(np.isfinite(upper))
-    row, col = np.nonzero(upper >= least)
+    row, col = np.nonzero(est >= (least - row_error)[:, None] - column_error[None, :])
     n = np.bincount(row, minlength=len(est))
     crowded = n[row] > k
     if crowded.any():  # the k-th best lower bound among what is left of a row
         r, c = row[crowded], col[crowded]
-        lower = est[r, c] - np.broadcast_to(bound, est.shape)[r, c]
+        error = column_error[c] + row_error[r]
+        lower = est[r, c] - error
         order = np.lexsort((-lower, r))
         first = np.searchsorted(r[order], r)
         kth = lower[order][first + k - 1]
         keep = ~crowded
-        keep[crowded] = upper[r, c] >= kth
+        keep[crowded] = est[r, c] + error >= kth
         row, col = row[keep], col[keep]
     return row, col
 
 
+def _kth(values: np.ndarray, k: int) -> np.ndarray:
+    """A number not above the k-th greatest of each row: the k-th greatest of the maxima of groups of columns."""
+    n, m = values.shape
+    if m >= 32 * k:
+        g = m // 8
+        values = np.maximum.reduceat(values, np.arange(0, g * 8, 8), axis=1)
+    if values.shape[1] <= k:
+        return np.full(n, -np.inf, values.dtype)
+    return np.partition(values, values.shape[1] - k, axis=1)[:, values.shape[1] - k]
+
+
+def k_best(est, column_error, row_error, q_full, d_full, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, similarity) of the k best of each row, ties included; minus infinity in ``est`` marks pairs that do not count.
+
+    What cannot reach the k-th best lower bound of its row is left out, the rest is reranked: in single precision first, and
+    what stays in double precision."""
+    kth = _kth(est - column_error, k) - 2 * row_error
+    row, col = np.nonzero((est + column_error >= kth[:, None]) & (est > -np.inf))
+    size = 131_072
+    single = [np.einsum("ij,ij->i", q_full[row[x : x + size]].astype(np.float32), d_full[col[x : x + size]].astype(np.float32)) for x in range(0, len(row), size)]
+    s = np.concatenate(single) if single else np.empty(0, np.float32)
+    est.fill(-np.inf)
+    est[row, col] = s
+    keep = s >= _kth(est, k)[row] - 1e-5
+    row, col = row[keep], col[keep]
+    s = np.round(np.concatenate([np.einsum("ij,ij->i", q_full[row[x : x + size]].astype(float), d_full[col[x : x + size]].astype(float)) for x in range(0, len(row), size)] or [np.empty(0)]), 12)
+    order = np.lexsort((-s, row))
+    row, col, s = row[order], col[order], s[order]
+    first, last = np.searchsorted(row, row), np.searchsorted(row, row, side="right") - 1
+    keep = s >= s[np.minimum(first + k - 1, last)]
+    return row[keep], col[keep], s[keep]
+
+
 def nearest(
     vectors: DataFrame, vector_id: str, vector: str, dim: int, k: int = 5, least: float | None = None
 ) -> DataFrame:
@@ -154,7 +179,9 @@ def nearest(
         return spark.createDataFrame([], f"id {kind}, neighbour {kind}, similarity double, rank int")
     wanted = max(1, n // PER_LIST)
     lists = min(CELLS, wanted)
-    memberships = min(lists, 2 + math.ceil(math.log2(wanted) / 2)) if lists > 1 else 1
+    # a pair at a stated similarity must share a list; among k nearest of any similarity a few may be missed
+    near = 2 + math.ceil(math.log2(wanted) / 2) if least is not None else 1 + math.ceil(math.log2(wanted) / 3)
+    memberships = min(lists, near) if lists > 1 else 1
     if wanted > CELLS:  # two lists in each cell
         memberships = min(lists, memberships // 2 + 1)
     share = max(1, n // SAMPLE)
@@ -234,39 +261,33 @@ def nearest(
         bits = np.frombuffer(b"".join(pdf["bits"]), np.uint8).reshape(len(pdf), -1)
         levels = np.frombuffer(b"".join(pdf["levels"]), np.uint8).reshape(len(pdf), -1)
         fit, low, step = (pdf[c].to_numpy() for c in ("fit", "low", "step"))
-        nothing = pd.DataFrame({"vid": np.empty(0, np.int64), "nv": np.empty(0, np.int64), "s": np.empty(0)})
         if with_vectors:
             joined = b"".join(pdf["raw"])
-            full = np.frombuffer(joined, np.float64 if len(joined) == 8 * dim * len(pdf) else np.float32).reshape(-1, dim).astype(np.float64)
-            full /= np.abs(full).max(axis=1, keepdims=True)
+            full = np.frombuffer(joined, np.float64 if len(joined) == 8 * dim * len(pdf) else np.float32).reshape(-1, dim)
+            full = full / np.abs(full).max(axis=1, keepdims=True).astype(np.float64)
             full /= np.sqrt((full * full).sum(axis=1))[:, None]
         found = []
         size = max(1, 4_000_000 // max(1, len(ds)))
+        at = np.argsort(vid[ds], kind="stable")
         for lo in range(0, len(qs), size):
             part = qs[lo : lo + size]
-            est, bound = estimate(dim, bits[ds], fit[ds], levels[part], low[part], step[part], WIDTH_K if with_vectors else WIDTH)
-            r, c = to_rerank(est, bound, vid[part][:, None] == vid[ds][None, :], k, least)
+            est, column_error, row_error = estimate(dim, bits[ds], fit[ds], levels[part], low[part], step[part], WIDTH_K if with_vectors else WIDTH)
+            own = np.minimum(np.searchsorted(vid[ds], vid[part], sorter=at), len(ds) - 1)  # a vector stands in a list once
+            same = vid[ds][at[own]] == vid[part]
+            est[np.flatnonzero(same), at[own][same]] = -np.inf
             if with_vectors:
-                found.append(best_of(vid[part], vid[ds], full[part], full[ds], r, c))
+                r, c, s = k_best(est, column_error, row_error, full[part], full[ds], k)
+                found.append((vid[part][r], vid[ds][c], s))
             else:
+                r, c = reaching(est, column_error, row_error, k, least)
                 found.append((vid[part][r], vid[ds][c]))
         if with_vectors:
-            return pd.concat([f for f in found], ignore_index=True) if found else nothing
+            a, b, s = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+            return pd.DataFrame({"vid": a, "nv": b, "s": s})
         a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 2
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    def best_of(q_ids, d_ids, q_full, d_full, r, c) -> pd.DataFrame:
-        """The ``k`` best of the candidates of each query, ties included."""
-        s = np.concatenate([np.einsum("ij,ij->i", q_full[r[x : x + 65_536]], d_full[c[x : x + 65_536]]) for x in range(0, len(r), 65_536)] or [np.empty(0)])
-        s = np.round(s, 12)
-        order = np.lexsort((-s, r))
-        r, c, s = r[order], c[order], s[order]
-        first = np.searchsorted(r, r)
-        last = np.searchsorted(r, r, side="right") - 1
-        keep = s >= s[np.minimum(first + k - 1, last)]
-        return pd.DataFrame({"vid": q_ids[r[keep]], "nv": d_ids[c[keep]], "s": s[keep]})
-
     schema = "list long, q int, d int, role byte, vid long, bits binary, fit float, levels binary, low float, step float"
     grouped = placed(assign, schema + (", raw binary" if with_vectors else "")).groupBy("list", "q", "d")
     if with_vectors:

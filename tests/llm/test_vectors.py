@@ -52,7 +52,8 @@ def test_bounds_hold():
     rng = np.random.default_rng(4)
     u = V.unit(rng.standard_normal((300, 128)))
     bits, fit, levels, low, step = V.encode(u, V.rotation(128))
-    est, bound = V.estimate(128, bits, fit, levels, low, step)
+    est, columns, rows_ = V.estimate(128, bits, fit, levels, low, step)
+    bound = columns[None, :] + rows_[:, None]
     off = ~np.eye(300, dtype=bool)
     error = np.abs(est - u @ u.T)[off]
     assert (error <= bound[off]).mean() > 0.98 and abs((est - u @ u.T)[off].mean()) < 0.01
@@ -63,3 +64,19 @@ def test_empty(spark):
     assert V.nearest(df, "id", "e", 32).count() == 0
     one = spark.createDataFrame([("a", [1.0] * 32)], "id string, e array<float>")
     assert V.nearest(one, "id", "e", 32).count() == 0
+
+
+def test_k_best_of_a_block():
+    rng = np.random.default_rng(9)
+    x = V.unit(rng.standard_normal((700, 16)) + 2 * np.repeat(rng.standard_normal((70, 16)), 10, axis=0))
+    x[3] = x[2]  # a tie
+    codes = V.encode(x, V.rotation(16))
+    est, columns, rows_ = V.estimate(16, codes[0], codes[1], codes[2][:50], codes[3][:50], codes[4][:50], 4.0)
+    est[np.arange(50), np.arange(50)] = -np.inf
+    row, col, s = V.k_best(est, columns, rows_, x[:50], x, 3)
+    exact = np.round(x[:50].astype(float) @ x.T.astype(float), 12)
+    exact[np.arange(50), np.arange(50)] = -np.inf
+    for r in range(50):
+        kth = np.sort(exact[r])[-3]
+        assert set(col[row == r]) == set(np.flatnonzero(exact[r] >= kth))
+    assert np.allclose(s, exact[row, col], atol=1e-9)
