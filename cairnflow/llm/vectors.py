@@ -125,16 +125,18 @@ def _kth(values: np.ndarray, k: int) -> np.ndarray:
     return np.partition(values, values.shape[1] - k, axis=1)[:, values.shape[1] - k]
 
 
-def k_best(est, column_error, row_error, q_full, d_full, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def k_best(est, column_error, row_error, q_full, d_full, k: int, single: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, column, similarity) of the k best of each row, ties included; minus infinity in ``est`` marks pairs that do not count.
+    ``single`` may hold both sides in single precision.
 
     What cannot reach the k-th best lower bound of its row is left out, the rest is reranked: in single precision first, and
     what stays in double precision."""
     kth = _kth(est - column_error, k) - 2 * row_error
     row, col = np.nonzero((est + column_error >= kth[:, None]) & (est > -np.inf))
     size = 131_072
-    single = [np.einsum("ij,ij->i", q_full[row[x : x + size]].astype(np.float32), d_full[col[x : x + size]].astype(np.float32)) for x in range(0, len(row), size)]
-    s = np.concatenate(single) if single else np.empty(0, np.float32)
+    q32, d32 = single or (q_full.astype(np.float32), d_full.astype(np.float32))
+    near = [np.einsum("ij,ij->i", q32[row[x : x + size]], d32[col[x : x + size]]) for x in range(0, len(row), size)]
+    s = np.concatenate(near) if near else np.empty(0, np.float32)
     est.fill(-np.inf)
     est[row, col] = s
     keep = s >= _kth(est, k)[row] - 1e-5
@@ -266,6 +268,7 @@ def nearest(
             full = np.frombuffer(joined, np.float64 if len(joined) == 8 * dim * len(pdf) else np.float32).reshape(-1, dim)
             full = full / np.abs(full).max(axis=1, keepdims=True).astype(np.float64)
             full /= np.sqrt((full * full).sum(axis=1))[:, None]
+            single = full.astype(np.float32)
         found = []
         size = max(1, 4_000_000 // max(1, len(ds)))
         at = np.argsort(vid[ds], kind="stable")
@@ -276,7 +279,7 @@ def nearest(
             same = vid[ds][at[own]] == vid[part]
             est[np.flatnonzero(same), at[own][same]] = -np.inf
             if with_vectors:
-                r, c, s = k_best(est, column_error, row_error, full[part], full[ds], k)
+                r, c, s = k_best(est, column_error, row_error, full[part], full[ds], k, (single[part], single[ds]))
                 found.append((vid[part][r], vid[ds][c], s))
             else:
                 r, c = reaching(est, column_error, row_error, k, least)
