@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from cairnflow.functions import exprs as X, word_lists as W
-from cairnflow.operators import analytics, lifecycle, retrieval, search, store
+from cairnflow.operators import analytics, graph, lifecycle, retrieval, search, store
 
 Tables = dict[str, DataFrame]
 
@@ -32,6 +32,24 @@ def recall(t: Tables, queries: DataFrame, as_of: str, **filters) -> DataFrame:
 batch_recall = recall
 
 
+def recall_by_concepts(t: Tables, queries: DataFrame, k: int = 7) -> DataFrame:
+    """Memories that hold a concept of the queries (``query_id, concepts``), by salience: the short way without ranking."""
+    return search.concept_search(retrieval.post_filter(t["memories"]), queries, "query_id", "concepts", k)
+
+
+def with_associations(ranked: DataFrame, edges: DataFrame, k: int = 3) -> DataFrame:
+    """The ``k`` strongest links of each returned memory: ``query_id, id, other, strength, relation_type, place``."""
+    links = graph.undirected(edges.select("source_id", "target_id", "strength", "relation_type"))
+    best = search.top_k(links, ["node"], [F.desc("strength"), F.col("other"), F.col("relation_type")], k).withColumnRenamed("rank", "place")
+    return ranked.select("query_id", "id").join(best, F.col("id") == F.col("node")).drop("node")
+
+
+def feedback_record(ranked: DataFrame, queries: DataFrame, as_of: str) -> DataFrame:
+    """The record that a recall leaves for later rating: the returned ids by rank, no rating yet."""
+    ids = ranked.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("retrieved_memory_ids"))
+    return queries.select("query_id", "query_text").join(ids, "query_id").withColumns({"feedback": F.lit(None).cast("string"), "created_at": F.lit(as_of).cast("timestamp_ntz")})
+
+
 def get_context(t: Tables, project: str, k: int = 5) -> DataFrame:
     m = t["memories"].filter((F.col("project") == project) & F.col("state").isin("active", "fading"))
     return retrieval.post_filter(m).orderBy(F.desc("timestamp"), "id").limit(k)
@@ -51,6 +69,17 @@ def recall_project(t: Tables, project: str, min_salience: float = 0.7) -> DataFr
     return retrieval.post_filter(t["memories"], project=project, min_salience=min_salience).orderBy(F.desc("salience"), "id")
 
 
+def project_overview(t: Tables, project: str, min_salience: float = 0.7, min_strength: float = 0.3) -> DataFrame:
+    """What a project's recall shows, ``part, id, score``: its memories by salience, its patterns by strength, the count of each state."""
+    m = t["memories"].filter(F.col("project") == project)
+    memories = recall_project(t, project, min_salience).select(F.lit("memory").alias("part"), "id", F.col("salience").alias("score"))
+    patterns = m.filter((F.size("gist_of") > 0) & (F.col("state") == "active") & (F.col("salience") >= min_strength))
+    states = m.groupBy("state").agg(F.count(F.lit(1)).cast("double").alias("score"))
+    return memories.unionByName(patterns.select(F.lit("pattern").alias("part"), "id", F.col("salience").alias("score"))).unionByName(
+        states.select(F.lit("summary").alias("part"), F.col("state").alias("id"), "score")
+    )
+
+
 def recall_timeline(t: Tables, as_of: str, hours: int, k: int = 50) -> DataFrame:
     since = F.expr(f"TIMESTAMP_NTZ'{as_of}' - INTERVAL {int(hours)} HOURS")
     return retrieval.post_filter(t["memories"].filter(F.col("timestamp") >= since)).orderBy(F.desc("timestamp"), "id").limit(k)
