@@ -163,7 +163,10 @@ class Maker:
         r, s = self.r, self.secret()
         good = r.random() < 0.6
         name = self.name(r.choice(_PLURALS + _CREDENTIALS if good or r.random() < 0.5 else _SETTINGS + _OTHERS))
-        value = s if good else r.choice([self.decoy() or "none", self.ident(), self.ident(), self.chars("0123456789abcdef", 40, 64)])
+        dead = [self.decoy() or "none", self.ident(), self.ident()]
+        if name_class(name) not in ("pw", "cred", "many"):
+            dead.append(self.chars("0123456789abcdef", 40, 64))
+        value = s if good else r.choice(dead)
         head = lex(r.choice([f"{name} = [", f"{name}:", f"  {name}: [", f"{name} = \\", f'"{name}": [', f"{name} = (", f"{name}: |", f"{name}: >"]))
         n = max((t.end for t in head), default=0) + 1
         tail = lex(r.choice([f"  {self.quoted(value)},", f"    {value}", f"  - {value}", f"  {self.quoted(value)}", f"- {self.quoted(value)}"]), n)
