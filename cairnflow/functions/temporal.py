@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+# fixed values: the expressions of time that are understood (further ones in ``time_range``)
 _N = r"(?i)\b(?:last|past)\s+(\d+)\s+(minute|hour|day|week|month)s?\b"
 _ONE = r"(?i)\b(?:last|past)\s+(hour|day|week|month)\b"
 

@@ -34,6 +34,7 @@ def normalize(c: Column) -> Column:
     return tidy(nfkc(c))
 
 
+# fixed values: the patterns of the cleaners below define their results
 def clean_paper(t: Column) -> Column:
     """Without mark-up commands, citations, environments, inline formula signs, figure references and the reference list."""
     t = F.regexp_replace(t, r"\\(?:textbf|textit|emph|underline)\{([^}]*)\}", "$1")
@@ -254,8 +255,10 @@ def triplets(memories: DataFrame, edges: DataFrame, least: float = 0.7) -> DataF
     w = Window.partitionBy("a", "b").orderBy(F.desc("strength"), "source_id")
     pos = pair.withColumn("_n", F.row_number().over(w)).filter("_n = 1")
     pos = pos.join(ok.select(F.col("id").alias("a")), "a", "left_semi").join(ok.select(F.col("id").alias("b")), "b", "left_semi")
-    project = Window.partitionBy("project")
-    placed = ok.withColumns({"at": F.row_number().over(project.orderBy(F.md5("id"), "id")) - 1, "size": F.count(F.lit(1)).over(project)})
+    hashed = chunks.chunked(ok.withColumn("_h", F.md5("id")), ["project"], ["_h", "id"])
+    size = ok.groupBy("project").agg(F.count(F.lit(1)).alias("size"))
+    numbered = chunks.numbered(hashed, ["project"], ["_h", "id"], "at").withColumn("at", F.col("at") - 1)
+    placed = numbered.drop("_h", "_p").join(size, "project")
     anchors = placed.join(pos.select(F.col("source_id").alias("id")).distinct(), "id", "left_semi").withColumnRenamed("id", "anchor")
     linked = edges.select(F.col("source_id").alias("anchor"), F.col("target_id").alias("id")).unionByName(
         edges.select(F.col("target_id").alias("anchor"), F.col("source_id").alias("id"))

@@ -144,13 +144,17 @@ def _scan(rows: DataFrame, queries: list, types: tuple[str, str], k: int, exclud
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            vs, ids = b.column("v").to_pylist(), b.column("id").to_pylist()
-            gs = b.column("g").to_pylist()
+            ids, gs, v = b.column("id").to_pylist(), b.column("g").to_pylist(), b.column("v")
+            flat, starts = v.flatten().to_numpy(zero_copy_only=False), v.offsets.to_numpy()
+            starts, lengths = starts[:-1] - starts[0], np.diff(starts)
+            places: dict[tuple[int, str], list[int]] = {}
+            for i, g in enumerate(gs):
+                places.setdefault((int(lengths[i]), g), []).append(i)
             for kind, (qids, q) in shared.value.items():
-                at = [i for i, v in enumerate(vs) if (len(v), gs[i]) == kind]
+                at = places.get(kind)
                 if not at:
                     continue
-                m = np.array([vs[i] for i in at])
+                m = flat[starts[at][:, None] + np.arange(kind[0])].astype(np.float64)
                 m /= np.linalg.norm(m, axis=1, keepdims=True)
                 sims = np.round(m @ q.T, 9)
                 own = np.array([ids[i] for i in at], dtype=object)

@@ -220,7 +220,16 @@ def triplet_positives(t):
     return C.triplets(t("memories"), t("associations")).select("anchor", "positive", "relation", "strength")
 
 
-@query()
+@query(
+    """WITH ok AS (SELECT id, coalesce(project, '') AS project FROM memories WHERE state <> 'archived' AND length(left(concat_ws(' ', summary, content), 2000)) >= 20),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY md5(id), id) - 1 AS place, count(*) OVER (PARTITION BY project) AS size FROM ok),
+    pos AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY least(source_id, target_id), greatest(source_id, target_id) ORDER BY strength DESC, source_id) AS n FROM associations WHERE strength >= 0.7)
+      WHERE n = 1 AND source_id IN (SELECT id FROM ok) AND target_id IN (SELECT id FROM ok)),
+    lk AS (SELECT source_id AS a, target_id AS b FROM associations UNION SELECT target_id, source_id FROM associations),
+    c AS (SELECT x.id AS a, y.id AS b, (y.place - x.place + x.size) % x.size AS far FROM placed x JOIN placed y ON y.project = x.project AND y.id <> x.id WHERE x.id IN (SELECT source_id FROM pos)),
+    neg AS (SELECT a AS anchor, arg_min(b, far) AS negative FROM c ANTI JOIN lk USING (a, b) GROUP BY a)
+    SELECT source_id AS anchor, target_id AS positive, negative, relation_type AS relation FROM pos LEFT JOIN neg ON neg.anchor = source_id"""
+)
 def triplets(t):
     return C.triplets(t("memories"), t("associations")).select("anchor", "positive", "negative", "relation")
 

@@ -311,7 +311,11 @@ def entity_search(t):
 _KW = ", ".join(f"'{w}'" for w in W.KEYWORD_STOP_WORDS)
 
 
-@query()
+@query(
+    rf"""WITH w AS (SELECT id, generate_subscripts(ks, 1) AS p, unnest(ks) AS k FROM (SELECT id, list_filter({_FIELDS.format(x="lower(content)")}, lambda w: length(w) >= 3 AND w NOT IN ({_KW})) AS ks FROM memories)),
+    f AS (SELECT id, k, min(p) AS p FROM w GROUP BY ALL), n AS (SELECT id, k, row_number() OVER (PARTITION BY id ORDER BY p) AS r FROM f), o AS (SELECT id, string_agg(k, ' ' ORDER BY r) AS keywords FROM n WHERE r <= 10 GROUP BY id)
+    SELECT m.id, CASE WHEN content IS NULL THEN NULL ELSE coalesce(keywords, '') END AS keywords FROM memories m LEFT JOIN o USING (id)"""
+)
 def keyword_extract(t):
     """The first ten keywords of each memory, in order."""
     return t("memories").select("id", F.array_join(X.keywords(F.col("content")), " ").alias("keywords"))

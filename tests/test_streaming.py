@@ -46,3 +46,17 @@ def test_rate_limit(spark, tmp_path):
     got = run(spark, tmp_path, rows(), lambda s: S.rate_limited(s, "u", "ts", "id", 2, 15, "2 hours"))
     want = events.accepted_events(spark.createDataFrame(rows(), SCHEMA), ["u"], "ts", "id", 2, 15)
     assert {r.id for r in got.filter("u <> 'end'").collect()} == {r.id for r in want.collect()}
+
+
+def test_tails_and_changes(spark, tmp_path):
+    (tmp_path / "h").mkdir()
+    (tmp_path / "h" / "history").write_text(": 1700000000:0;git status\n\nls -la\n")
+    out = str(tmp_path / "commands")
+    S.drain(S.terminal_tail(spark, str(tmp_path / "h")), str(tmp_path / "ck_tail"), lambda df, _: df.write.mode("append").parquet(out))
+    assert sorted(r.command for r in spark.read.parquet(out).collect()) == ["git status", "ls -la"]
+    polled = [("clip", T0 + dt.timedelta(minutes=m), i) for m, i in ((0, 1), (1, 1), (2, 2), (3, None), (4, 2))]
+    got = run(spark, tmp_path, polled, lambda s: S.changed_snapshots(s.withColumn("c", F.col("id").cast("string")), ["u"], "c", "2 hours", "ts", "2 hours"))
+    assert sorted(str(r.id) for r in got.filter("u <> 'end'").collect()) == ["1", "2", "None"]
+    (tmp_path / "y").mkdir()
+    kinds = run(spark, tmp_path / "y", rows(), lambda s: S.subscribed(s.withColumn("event_type", F.when(F.col("id") % 3 == 0, "view").otherwise("click")), ["view"]))
+    assert sorted(r.id for r in kinds.filter("u <> 'end'").collect()) == [0, 3, 6, 9]
