@@ -202,7 +202,7 @@ def index(memories: DataFrame) -> dict[str, DataFrame]:
 
     The tables are written to the shared folder; ``retrieve`` takes them in place of the memories, for any number of calls."""
     known = _known(memories)
-    return known | {"vectors": materialize(known["vectors"], "memory-vectors")}
+    return known | {"lengths": materialize(known["lengths"], "lengths"), "vectors": materialize(known["vectors"], "memory-vectors")}
 
 
 def _known(memories: DataFrame | dict) -> dict[str, DataFrame]:

@@ -12,6 +12,8 @@ from cairnflow.functions import exprs as X
 from cairnflow.sources.tables import materialize
 
 K1, B = 1.2, 0.75
+#: Entries of posting lists above which full-text search leaves out lists that cannot bring a document in.
+PRUNE_ABOVE = 5_000_000
 #: Queries compared with the vectors in one pass.
 QUERY_BLOCK = 4096
 #: Queries whose best rows are picked at once inside a task.
@@ -21,10 +23,10 @@ QUERY_STRIPE = 256
 def postings(docs: DataFrame, doc_id: str, text: Column) -> tuple[DataFrame, DataFrame]:
     """(doc_id, term, tf) and (doc_id, length) of the documents that have a token.
 
-    Both are read several times by a search, and by any number of searches, so they are written once."""
+    The posting lists are read several times by a search, and by any number of searches, so they are written once."""
     words = docs.select(F.col(doc_id).alias("doc_id"), F.explode(X.tokens(text)).alias("term"))
     lists = materialize(words.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
-    return lists, materialize(lists.groupBy("doc_id").agg(F.sum("tf").alias("length")), "lengths")
+    return lists, lists.groupBy("doc_id").agg(F.sum("tf").alias("length"))
 
 
 def bm25(
@@ -45,10 +47,11 @@ def bm25_of(lists: DataFrame, lengths: DataFrame, queries: DataFrame, query_id:
     The vocabulary is expanded to its prefixes of the lengths that the queries use, so prefixes
     are found by an equality join and never by comparing all terms with all prefixes.
 
-    With ``k`` the lists of frequent prefixes are not joined whole.  A query's k-th best score is
-    at least the k-th best part of any of its prefixes.  Its prefixes with the least upper bounds,
-    as long as these sum up to less, cannot bring a document in by themselves: candidates come
-    from the other prefixes' lists, and the left out parts are then looked up for these candidates.
+    With ``k`` and more than ``PRUNE_ABOVE`` entries in the posting lists those of frequent prefixes
+    are not joined whole; the result is the same.  A query's k-th best score is at least
+    the k-th best part of any of its prefixes.  Its prefixes with the least upper bounds, as long as
+    these sum up to less, cannot bring a document in by themselves: candidates come from the other
+    prefixes' lists, and the left out parts are then looked up for these candidates.
     """
     terms = queries.select(
         F.col(query_id).alias("query_id"), F.explode(F.array_distinct(X.query_terms(query))).alias("prefix")
@@ -63,24 +66,22 @@ def bm25_of(lists: DataFrame, lengths: DataFrame, queries: DataFrame, query_id:
         starts.select("term", F.left("term", F.col("l")).alias("prefix")).join(prefixes.select("prefix"), "prefix")
     )
     hits = lists.join(matches, "term").groupBy("prefix", "doc_id").agg(F.sum("tf").alias("tf"))
-    hits = materialize(hits.join(lengths, "doc_id"), "hits")
     counts = hits.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"))
     corpus = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avg_length"))
     idf = F.log(1 + (F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     share = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
-    parts = hits.join(counts, "prefix").crossJoin(F.broadcast(corpus)).select("prefix", "doc_id", (idf * share).alias("part"))  # one row
-    if k is None:
+    parts = hits.join(counts, "prefix").join(lengths, "doc_id").crossJoin(F.broadcast(corpus)).select("prefix", "doc_id", (idf * share).alias("part"))  # one row
+    if k is None or lists.count() <= PRUNE_ABOVE:
         scored = parts.join(terms, "prefix").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 9).alias("score"))
-        return top_k(scored, ["query_id"], [F.desc("score"), F.col("doc_id")], None)
+        return top_k(scored, ["query_id"], [F.desc("score"), F.col("doc_id")], k)
     parts = materialize(parts, "parts")
     best = top_k(parts, ["prefix"], [F.desc("part"), F.col("doc_id")], k)
     bounds = best.groupBy("prefix").agg(F.max("part").alias("most"), F.max(F.when(F.col("rank") == k, F.col("part"))).alias("kth"))
     by_query = Window.partitionBy("query_id")  # as many rows as the query has terms
     below = F.sum("most").over(by_query.orderBy("most", "prefix"))
     split = terms.join(bounds, "prefix").withColumns({"sure": F.max("kth").over(by_query), "below": below})
-    split = materialize(split.select("query_id", "prefix", (F.coalesce(F.col("below") >= F.col("sure") - 1e-6, F.lit(True))).alias("leads")), "query-terms")
+    split = split.select("query_id", "prefix", (F.coalesce(F.col("below") >= F.col("sure") - 1e-6, F.lit(True))).alias("leads"))
     found = parts.join(split.filter("leads").select("query_id", "prefix"), "prefix").groupBy("query_id", "doc_id").agg(F.sum("part").alias("part"))
-    found = materialize(found, "candidates")
     rest = split.filter("NOT leads").select("query_id", "prefix")
     more = found.select("query_id", "doc_id").join(rest, "query_id").join(parts, ["prefix", "doc_id"]).select("query_id", "doc_id", "part")
     scored = found.unionByName(more).groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 9).alias("score"))

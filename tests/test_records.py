@@ -2,7 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from cairnflow.operators import evaluation, events, examples, records, retrieval, store
+from cairnflow.operators import evaluation, events, examples, records, retrieval, search, store
 from cairnflow.sources import tables
 
 T0 = dt.datetime(2024, 6, 1)
@@ -107,6 +107,22 @@ def test_pipeline_metrics_and_ranges(spark):
     assert sorted((x.query_id, x.id, round(x.activation, 3)) for x in r.collect()) == [("exact", "m3", 0.3), ("q", "m3", 0.3)]
 
 
+def test_full_text_with_and_without_pruning(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(60)]
+    docs = [(k, " ".join(rng.choices(words, weights=[1 / (n + 1) for n in range(60)], k=rng.randrange(1, 30)))) for k in range(400)] + [(900, None), (901, "")]
+    queries = [(k, " ".join(rng.sample(words, 4))) for k in range(40)] + [(90, ""), (91, None), (92, "zzz")]
+    d, q = spark.createDataFrame(docs, "id long, text string"), spark.createDataFrame(queries, "q long, text string")
+    got = []
+    for limit in (10**9, 0):
+        monkeypatch.setattr(search, "PRUNE_ABOVE", limit)
+        got.append(sorted(tuple(r) for r in search.bm25(d, "id", F.col("text"), q, "q", F.col("text"), 5).select("query_id", "doc_id", "score", "rank").collect()))
+    assert [r[:2] + r[3:] for r in got[0]] == [r[:2] + r[3:] for r in got[1]] and len(got[0]) > 150
+    assert all(abs(a[2] - b[2]) < 1e-8 for a, b in zip(*got))
+
+
 def test_scratch_tables_are_dropped(spark):
     with tables.scratch(spark):
         df = tables.materialize(spark.range(3), "test")
