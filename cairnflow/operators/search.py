@@ -186,15 +186,25 @@ def _scan(rows: DataFrame, queries: list, types: tuple[str, str], k: int, exclud
 
 
 def concept_search(memories: DataFrame, queries: DataFrame, query_id: str, concepts: str, k: int | None = 10) -> DataFrame:
-    """Memories that hold one of the query's concepts (without letter case), by salience: ``query_id, id, salience, hits, rank``."""
-    asked = queries.select(
-        F.col(query_id).alias("query_id"), F.explode(F.array_distinct(F.transform(F.col(concepts), lambda x: F.lower(x)))).alias("c")
-    )
-    held = memories.select("id", "salience", F.explode(X.folded_set(F.col("concepts"))).alias("c"))
-    hits = asked.join(held, "c").groupBy("query_id", "id").agg(
-        F.max("salience").alias("salience"), F.count(F.lit(1)).alias("hits")
-    )
-    return top_k(hits, ["query_id"], [F.desc("salience"), F.col("id")], k)
+    """Memories that hold one of the query's concepts (without letter case), by salience: ``query_id, id, salience, hits, rank``.
+
+    With ``k`` only the first ``k`` memories of each concept are joined, since the order doesn't depend on the query: what
+    is behind them in every concept of a query is behind the query's first ``k``.  The hits are then counted for these."""
+    low = F.array_distinct(F.transform(F.col(concepts), lambda x: F.lower(x)))
+    asked = queries.select(F.col(query_id).alias("query_id"), low.alias("cs"))
+    each = asked.select("query_id", F.explode("cs").alias("c"))
+    sets = memories.select("id", "salience", X.folded_set(F.col("concepts")).alias("held"))
+    held = sets.select("id", "salience", F.explode("held").alias("c"))
+    if k is None:
+        hits = each.join(held, "c").groupBy("query_id", "id").agg(F.max("salience").alias("salience"), F.count(F.lit(1)).alias("hits"))
+        return top_k(hits, ["query_id"], [F.desc("salience"), F.col("id")], None)
+    used = held.join(each.select("c").distinct(), "c", "left_semi").groupBy("c", "id").agg(F.max("salience").alias("salience"))
+    first = materialize(top_k(used, ["c"], [F.desc("salience"), F.col("id")], k).drop("rank"), "concept-heads")
+    found = each.join(first, "c").groupBy("query_id", "id").agg(F.max("salience").alias("salience"))
+    best = materialize(top_k(found, ["query_id"], [F.desc("salience"), F.col("id")], k), "concept-best")
+    both = best.select("query_id", "id").join(asked, "query_id").join(sets.select("id", "held"), "id")
+    hits = both.groupBy("query_id", "id").agg(F.sum(F.size(F.array_intersect("cs", "held"))).alias("hits"))
+    return best.join(hits, ["query_id", "id"]).select("query_id", "id", "salience", "hits", "rank")
 
 
 def text_contains_search(rows: DataFrame, texts: Column, needles: list[str], state: Column | None = None) -> DataFrame:
