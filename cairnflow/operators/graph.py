@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cairnflow.functions import exprs as X, word_lists as W
+from cairnflow.operators import pairs
 from cairnflow.sources.tables import discard, materialize
 
 
@@ -168,38 +169,11 @@ def strengthen(edges: DataFrame, replayed: DataFrame, boost: float = 1.05) -> Da
     )
 
 
-def shared_concept_pairs(memories: DataFrame, least: int, share: float = 0.0) -> DataFrame:
+def shared_concept_pairs(memories: DataFrame, least: int, share: float = 0.0, without: DataFrame | None = None) -> DataFrame:
     """``a, b, shared`` (a < b) of memories with at least ``least`` equal concepts (without letter case), and at least the
-    ``share`` of the longer list.
-
-    Candidates come from an inverted index with a prefix filter: in order of rarity, two
-    memories that share ``r`` concepts (``least``, or the share of either list) share one of all but
-    the ``r - 1`` most frequent of each, so these never enter the index.  A concept's list is cut into blocks and pairs of
-    blocks are joined, so a concept that a large share of memories holds is spread over many
-    tasks.  The candidates are then counted on the whole lists.
-    """
-    lists = materialize(memories.select("id", X.folded_set(F.col("concepts")).alias("cs")).filter(F.size("cs") >= least), "concept-lists")
-    held = lists.select("id", F.explode("cs").alias("c"))
-    sizes = held.groupBy("c").agg(F.count(F.lit(1)).alias("m"))
-    rarest = Window.partitionBy("id").orderBy("m", "c")
-    n = F.count(F.lit(1)).over(Window.partitionBy("id"))
-    ranked = held.join(sizes, "c").withColumns({"_k": F.row_number().over(rarest), "_n": n})
-    needed = F.greatest(F.lit(least), F.ceil(F.col("_n") * share - 1e-9))
-    used = ranked.filter((F.col("_k") <= F.col("_n") - (needed - 1)) & (F.col("m") > 1))
-    placed = used.withColumns(
-        {"blocks": F.expr("cast(ceil(m / 200) as int)"), "own": F.expr("cast(pmod(xxhash64(id), ceil(m / 200)) as int)")}
-    )
-    left = placed.select("c", F.col("id").alias("a"), F.col("own").alias("i"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("j"))
-    right = placed.select("c", F.col("id").alias("b"), F.col("own").alias("j"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("i"))
-    pairs = left.join(right, ["c", "i", "j"]).filter(F.col("a") < F.col("b")).select("a", "b").distinct()
-    full = lists.select("id", "cs")
-    return (
-        pairs.join(full.select(F.col("id").alias("a"), F.col("cs").alias("ca")), "a")
-        .join(full.select(F.col("id").alias("b"), F.col("cs").alias("cb")), "b")
-        .select("a", "b", F.size(F.array_intersect("ca", "cb")).cast("long").alias("shared"), F.greatest(F.size("ca"), F.size("cb")).alias("_longer"))
-        .filter((F.col("shared") >= least) & (F.col("shared") >= share * F.col("_longer") - 1e-9))
-        .drop("_longer")
-    )
+    ``share`` of the longer list, but not the pairs ``without``; they are counted block against block (``pairs.sharing``)."""
+    lists = memories.select("id", X.folded_set(F.col("concepts")).alias("cs"))
+    return pairs.sharing(lists, least, share, without)
 
 
 def strongest_per_pair(edges: DataFrame) -> DataFrame:

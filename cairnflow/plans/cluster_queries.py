@@ -76,14 +76,8 @@ _T = "list_distinct(list_filter(string_split_regex(lower({x}), '[ \\t\\n\\r\\f\\
 )
 def near_dup_title_or_vec(t):
     """Pairs of memories that share three concepts and are near-duplicates by title and vector."""
-    m = t("memories")
-    ok = X.usable_vector(F.col("embedding")) & (F.size("embedding") == 128)
-    s = m.select("id", F.coalesce("summary", F.lit("")).alias("s"), F.when(ok, F.col("embedding")).otherwise(F.array().cast("array<float>")).alias("v"))
-    pairs = graph.shared_concept_pairs(m, 3)
-    j = pairs.join(s.select(F.col("id").alias("a"), F.col("s").alias("sa"), F.col("v").alias("va")), "a").join(
-        s.select(F.col("id").alias("b"), F.col("s").alias("sb"), F.col("v").alias("vb")), "b"
-    )
-    return j.filter(clusters.near_duplicate(F.col("sa"), F.col("sb"), F.col("va"), F.col("vb"), 0.3, 0.75)).select("a", "b")
+    m = t("memories").select("id", "concepts", F.col("summary").alias("title"), F.col("embedding").alias("v"))
+    return clusters.near_duplicates(m, 3, 0.3, 0.75, 128)
 
 
 @query("SELECT h AS hash, count(*) AS n, min(id) AS first_id FROM (SELECT DISTINCT id, left(sha256(coalesce(type, '') || chr(0) || coalesce(content, '')), 32) AS h FROM raw_memories) GROUP BY h HAVING count(*) > 1".replace("chr(0)", "chr(1)"))
