@@ -8,11 +8,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.fs
-import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, functions as F
 
-from cairnflow.sources.tables import materialize
+from cairnflow.sources.tables import in_parts
 
 #: Rows that all others are held against in one pass.
 PAIR_BLOCK = 16384
@@ -80,37 +78,19 @@ def sharing(
     if without is not None:
         known = without.groupBy(F.col("a").alias("id")).agg(F.collect_set("b").alias("_not"))
         rows = rows.join(known, "id", "left").withColumn("_not", F.coalesce("_not", F.array().cast("array<string>")))
-    blocks = max(1, -(-rows.count() // PAIR_BLOCK))
-    ranges = rows.repartitionByRange(blocks, "id").withColumn("_block", F.spark_partition_id())
-    kept = materialize(ranges.sortWithinPartitions("id"), "pair-rows")
+    kept, parts = in_parts(rows, "pair-rows", ["id"], PAIR_BLOCK)
     out = None
-    for k in range(blocks):
-        found = _held(kept.filter(F.col("_block") <= k), _block(kept, k), least, share, without is not None, test)
+    for k, block in enumerate(parts):
+        found = _held(kept.filter(F.col("_part") <= k), block, least, share, without is not None, test)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _block(kept: DataFrame, k: int) -> Callable[[], pa.Table]:
-    """Reads a range: in a task from the shared folder, or broadcast where pyarrow can't read that."""
-    files = kept.inputFiles()
-    try:
-        pa.fs.FileSystem.from_uri(files[0])
-    except Exception:  # noqa: BLE001
-        shared = kept.sparkSession.sparkContext.broadcast(kept.filter(F.col("_block") == k).toArrow())
-        return lambda: shared.value.sort_by("id")
-
-    def read() -> pa.Table:
-        parts = [pq.read_table(path, filesystem=fs, filters=[("_block", "==", k)]) for fs, path in map(pa.fs.FileSystem.from_uri, files)]
-        return pa.concat_tables(parts).sort_by("id")
-
-    return read
-
-
 def _held(rows: DataFrame, block: Callable[[], pa.Table], least: int, share: float, excluding: bool, test: tuple[Prepare, Keep] | None) -> DataFrame:
     kind = dict(rows.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads = block().combine_chunks()
+        heads = block()
         if not heads.num_rows:
             return
         names, counts = heads["id"].to_pylist(), _Counts(heads["cs"])

@@ -6,37 +6,44 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cairnflow.functions import exprs as X
-from cairnflow.sources.tables import materialize
+from cairnflow.operators.pairs import flat
+from cairnflow.sources.tables import in_parts, materialize
 
 K1, B = 1.2, 0.75
 #: Entries of posting lists above which full-text search leaves out lists that cannot bring a document in.
 PRUNE_ABOVE = 5_000_000
 #: Queries compared with the vectors in one pass.
 QUERY_BLOCK = 4096
+#: Documents that a task scores, and vectors that it compares, at once.
+DOC_PART, VECTOR_PART = 100_000, 32_768
+#: Queries of a task that holds them against all documents.
+TASK_QUERIES = 2048
 #: Queries whose best rows are picked at once inside a task.
 QUERY_STRIPE = 256
 
 
 def postings(docs: DataFrame, doc_id: str, text: Column) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, term, tf) and (doc_id, length) of the documents that have a token.
+    """(doc_id, term, tf), a row for each place of a term, and (doc_id, length) of the documents that have a token.
 
-    The posting lists are read several times by a search, and by any number of searches, so they are written once."""
-    words = docs.select(F.col(doc_id).alias("doc_id"), F.explode(X.tokens(text)).alias("term"))
-    lists = materialize(words.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
-    return lists, lists.groupBy("doc_id").agg(F.sum("tf").alias("length"))
+    Both are read several times by a search, and by any number of searches, so they are written once."""
+    words = docs.select(F.col(doc_id).alias("doc_id"), X.tokens(text).alias("words"))
+    lists = materialize(words.select("doc_id", F.explode("words").alias("term"), F.lit(1).cast("long").alias("tf")), "postings")
+    lengths = words.filter(F.size("words") > 0).groupBy("doc_id").agg(F.sum(F.size("words")).alias("length"))
+    return lists, materialize(lengths, "lengths")
 
 
 def bm25(
-    docs: DataFrame, doc_id: str, text: Column, queries: DataFrame, query_id: str, query: Column, k: int | None = 10
+    docs: DataFrame, doc_id: str, text: Column, queries: DataFrame, query_id: str, query: Column, k: int | None = 10, group: DataFrame | None = None
 ) -> DataFrame:
     """``bm25_of`` the posting lists of ``docs``."""
-    return bm25_of(*postings(docs, doc_id, text), queries, query_id, query, k)
+    return bm25_of(*postings(docs, doc_id, text), queries, query_id, query, k, group)
 
 
-def bm25_of(lists: DataFrame, lengths: DataFrame, queries: DataFrame, query_id: str, query: Column, k: int | None = 10) -> DataFrame:
+def bm25_of(lists: DataFrame, lengths: DataFrame, queries: DataFrame, query_id: str, query: Column, k: int | None = 10, group: DataFrame | None = None) -> DataFrame:
     """Best ``k`` documents of each query: ``query_id, doc_id, score, rank``.
 
     A query term matches every term that starts with it; term frequencies of a prefix are
@@ -47,11 +54,9 @@ def bm25_of(lists: DataFrame, lengths: DataFrame, queries: DataFrame, query_id:
     The vocabulary is expanded to its prefixes of the lengths that the queries use, so prefixes
     are found by an equality join and never by comparing all terms with all prefixes.
 
-    With ``k`` and more than ``PRUNE_ABOVE`` entries in the posting lists those of frequent prefixes
-    are not joined whole; the result is the same.  A query's k-th best score is at least
-    the k-th best part of any of its prefixes.  Its prefixes with the least upper bounds, as long as
-    these sum up to less, cannot bring a document in by themselves: candidates come from the other
-    prefixes' lists, and the left out parts are then looked up for these candidates.
+    With ``k`` and more than ``PRUNE_ABOVE`` entries in the posting lists, or with ``group`` (document id ``doc_id`` and ``g``; then
+    the best ``k`` are those of each group, and ``g`` is returned), a task holds some queries against all documents part by
+    part and returns their best only; what a query merely matches is never written nor moved.
     """
     terms = queries.select(
         F.col(query_id).alias("query_id"), F.explode(F.array_distinct(X.query_terms(query))).alias("prefix")
@@ -65,27 +70,107 @@ def bm25_of(lists: DataFrame, lengths: DataFrame, queries: DataFrame, query_id:
     matches = (
         starts.select("term", F.left("term", F.col("l")).alias("prefix")).join(prefixes.select("prefix"), "prefix")
     )
-    hits = lists.join(matches, "term").groupBy("prefix", "doc_id").agg(F.sum("tf").alias("tf"))
+    inside = group is not None or k is not None and lists.count() > PRUNE_ABOVE
+    hits = lists.join(F.broadcast(matches) if inside else matches, "term").groupBy("prefix", "doc_id").agg(F.sum("tf").alias("tf"))  # the vocabulary
+    hits = materialize(hits, "hits") if inside else hits
     counts = hits.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"))
     corpus = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avg_length"))
     idf = F.log(1 + (F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     share = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
     parts = hits.join(counts, "prefix").join(lengths, "doc_id").crossJoin(F.broadcast(corpus)).select("prefix", "doc_id", (idf * share).alias("part"))  # one row
-    if k is None or lists.count() <= PRUNE_ABOVE:
+    if not inside:
         scored = parts.join(terms, "prefix").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 9).alias("score"))
         return top_k(scored, ["query_id"], [F.desc("score"), F.col("doc_id")], k)
-    parts = materialize(parts, "parts")
-    best = top_k(parts, ["prefix"], [F.desc("part"), F.col("doc_id")], k)
-    bounds = best.groupBy("prefix").agg(F.max("part").alias("most"), F.max(F.when(F.col("rank") == k, F.col("part"))).alias("kth"))
-    by_query = Window.partitionBy("query_id")  # as many rows as the query has terms
-    below = F.sum("most").over(by_query.orderBy("most", "prefix"))
-    split = terms.join(bounds, "prefix").withColumns({"sure": F.max("kth").over(by_query), "below": below})
-    split = split.select("query_id", "prefix", (F.coalesce(F.col("below") >= F.col("sure") - 1e-6, F.lit(True))).alias("leads"))
-    found = parts.join(split.filter("leads").select("query_id", "prefix"), "prefix").groupBy("query_id", "doc_id").agg(F.sum("part").alias("part"))
-    rest = split.filter("NOT leads").select("query_id", "prefix")
-    more = found.select("query_id", "doc_id").join(rest, "query_id").join(parts, ["prefix", "doc_id"]).select("query_id", "doc_id", "part")
-    scored = found.unionByName(more).groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 9).alias("score"))
-    return top_k(scored, ["query_id"], [F.desc("score"), F.col("doc_id")], k)
+    parts = materialize(parts.withColumn("g", F.lit("")) if group is None else parts.join(group, "doc_id"), "parts")
+    found = _best_documents(parts, terms, k)
+    return found.drop("g") if group is None else found
+
+
+def _best_documents(parts: DataFrame, terms: DataFrame, k: int) -> DataFrame:
+    """``query_id, g, doc_id, score, rank``: the best ``k`` documents of each query and group by the sum of their ``parts``."""
+    docs = parts.groupBy("g", "doc_id").agg(F.collect_list(F.struct("prefix", "part")).alias("x"))
+    docs = materialize(docs.select("g", "doc_id", F.col("x.prefix").alias("prefixes"), F.col("x.part").alias("parts")), "scored-documents")
+    _, read = in_parts(docs, "document-parts", ["g", "doc_id"], DOC_PART)
+    used = terms.join(parts.select("prefix").distinct(), "prefix", "left_semi").groupBy("query_id").agg(F.collect_list("prefix").alias("prefixes"))
+    asked = materialize(used, "asked")
+    tasks = max(1, -(-asked.count() // TASK_QUERIES))
+
+    def scored(t: pa.Table, wanted: list[list[str]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The places and scores of the best in a part, query after query."""
+        names, _, sizes = flat(t["prefixes"])
+        values = flat(t["parts"])[0].to_numpy(zero_copy_only=False)
+        rows, g = np.repeat(np.arange(len(sizes)), sizes), t["g"].combine_chunks().dictionary_encode()
+        g = g.indices.to_numpy(zero_copy_only=False)
+        vocabulary = pc.unique(names)
+        codes = pc.index_in(names, value_set=vocabulary).to_numpy(zero_copy_only=False)
+        order = np.argsort(codes, kind="stable")
+        cuts = np.cumsum(np.bincount(codes, minlength=len(vocabulary)))[:-1]
+        lists = dict(zip(vocabulary.to_pylist(), zip(np.split(rows[order], cuts), np.split(values[order], cuts))))
+        known: dict[tuple, tuple] = {}
+        for words in wanted:
+            key = tuple(sorted(w for w in words if w in lists))
+            if key not in known:
+                total = np.zeros(len(sizes))
+                for w in key:
+                    at, x = lists[w]
+                    total[at] += x
+                at = np.unique(np.concatenate([lists[w][0] for w in key])) if len(key) > 1 else lists[key[0]][0] if key else np.zeros(0, int)
+                known[key] = _first_of_groups(at, np.round(total[at], 9), g[at], k)
+            yield known[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            wanted = b.column("prefixes").to_pylist()
+            best = [([], []) for _ in wanted]
+            gs, ids, before = [], [], 0
+            for one in read:
+                t = one()
+                if not t.num_rows:
+                    continue
+                for (places, scores), (at, score) in zip(best, scored(t, wanted)):
+                    places.append(at + before)
+                    scores.append(score)
+                gs.append(t["g"].combine_chunks())
+                ids.append(t["doc_id"].combine_chunks())
+                before += t.num_rows
+            if not before:
+                continue
+            g_all, id_all = pa.concat_arrays(gs), pa.concat_arrays(ids)
+            code = g_all.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            out = []
+            for i, (places, scores) in enumerate(best):
+                at, score = np.concatenate(places), np.concatenate(scores)
+                order = np.lexsort((at, -score, code[at]))
+                at, score = at[order], score[order]
+                rank = np.arange(len(at)) - np.searchsorted(code[at], code[at]) + 1
+                out.append((np.full((rank <= k).sum(), i), at[rank <= k], score[rank <= k], rank[rank <= k]))
+                if sum(len(x[0]) for x in out[-256:]) > 100_000 or i == len(best) - 1 or len(out) == 256:
+                    q, at, score, rank = (np.concatenate(x) for x in zip(*out))
+                    out = []
+                    yield pa.record_batch([b.column("query_id").take(pa.array(q)), g_all.take(pa.array(at)), id_all.take(pa.array(at)), pa.array(score), pa.array(rank, pa.int32())], names=["query_id", "g", "doc_id", "score", "rank"])
+
+    kinds = dict(asked.dtypes) | {"doc_id": dict(docs.dtypes)["doc_id"]}
+    return asked.repartition(tasks, "query_id").mapInArrow(run, f"query_id {kinds['query_id']}, g string, doc_id {kinds['doc_id']}, score double, rank int")
+
+
+def _first_of_groups(at: np.ndarray, score: np.ndarray, g: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places and scores that can be among the best ``k`` of their group; groups and places ascend."""
+    if not len(at):
+        return at, score
+    starts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+    lengths = np.diff(np.append(starts, len(at)))
+    if len(starts) == 1:
+        floor = np.partition(score, -k)[-k] if len(score) > k else -np.inf
+    else:
+        left = score.copy()
+        for r in range(k):  # the k-th greatest of the different scores
+            floor = np.repeat(np.maximum.reduceat(left, starts), lengths)
+            left[left >= floor] = -np.inf
+    keep = np.flatnonzero(score >= floor)
+    order = keep[np.lexsort((at[keep], -score[keep], g[keep]))]  # ties: the first
+    place = np.arange(len(order)) - np.searchsorted(g[order], g[order])
+    order = order[place < k]
+    return at[order], score[order]
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int | None) -> DataFrame:

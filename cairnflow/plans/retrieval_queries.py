@@ -111,9 +111,9 @@ def fts_bm25_topk(t):
 )
 def fts_project_topk(t):
     m = t("memories")
-    hits = search.bm25(m, "id", retrieval.memory_text(m), _queries(t), "query_id", F.col("query_text"), None).drop("rank")
-    of = m.select(F.col("id").alias("doc_id"), F.coalesce("project", F.lit("")).alias("project"))
-    return search.top_k(hits.join(of, "doc_id"), ["query_id", "project"], [F.desc("score"), F.col("doc_id")], 3)
+    of = m.select(F.col("id").alias("doc_id"), F.coalesce("project", F.lit("")).alias("g"))
+    found = search.bm25(m, "id", retrieval.memory_text(m), _queries(t), "query_id", F.col("query_text"), 3, of)
+    return found.select("query_id", F.col("g").alias("project"), "doc_id", "score", "rank")
 
 
 @query(
