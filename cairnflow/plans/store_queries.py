@@ -252,9 +252,8 @@ _PAIRS = """held AS (SELECT DISTINCT id, lower(c) AS c FROM (SELECT id, unnest(c
     WHERE (e.source_id = a AND e.target_id = b) OR (e.source_id = b AND e.target_id = a))"""
 )
 def cross_pollinate(t):
-    pairs = graph.shared_concept_pairs(t("memories").filter("state IN ('active', 'fading')"), 2)
     known = t("associations").select(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b"))
-    return pairs.join(known, ["a", "b"], "left_anti")
+    return graph.shared_concept_pairs(t("memories").filter("state IN ('active', 'fading')"), 2, without=known)
 
 
 @query(
