@@ -198,7 +198,8 @@ def vector_top_k(
 
     The queries are a stated set: they are taken in blocks of ``QUERY_BLOCK``, each block as one
     matrix against the rows of every partition.  A task keeps ``k`` per query and batch, so what
-    is shuffled does not grow with the vectors of a task.  Vectors that are null, empty, zero,
+    is shuffled does not grow with the vectors of a task.  More queries than a block (without ``group``) are spread over
+    tasks, each of which reads all vectors part by part and returns its queries' best only.  Vectors that are null, empty, zero,
     not finite or of another length than the query's match nothing.
     """
     g = (F.lit("") if group is None else F.col(group).cast("string")).alias("g")
@@ -208,6 +209,8 @@ def vector_top_k(
     asked = asked.filter(X.usable_vector(F.col("v")) & F.col("g").isNotNull())
     types = dict(asked.dtypes)["query_id"], dict(rows.dtypes)["id"]
     n = asked.count()
+    if n > QUERY_BLOCK and group is None:
+        return _best_vectors(rows.drop("g"), asked.drop("g"), n, types, k, exclude_self, least)
     blocks = max(1, -(-n // QUERY_BLOCK))
     out = None
     for b in range(blocks):
@@ -217,6 +220,78 @@ def vector_top_k(
     return top_k(out, ["query_id"], [F.desc("score"), F.col("id")], k)
 
 
+#: Queries and vectors of one product of matrices.
+_TILE = 4096
+#: More than the error of a cosine in single precision.
+_SLACK = 1e-5
+
+
+def _best_vectors(rows: DataFrame, asked: DataFrame, n: int, types: tuple[str, str], k: int, exclude_self: bool, least: float | None) -> DataFrame:
+    """``vector_top_k`` for many queries: products in single precision tell which vectors can be among a query's best, their
+    cosines are then computed in double precision.  Parts come in the order of ids, so of equal scores the first stays."""
+    _, read = in_parts(rows, "vectors-by-id", ["id"], VECTOR_PART)
+    asked = materialize(asked, "asked-vectors")
+    keep = k + exclude_self
+
+    def lengths(column) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        values, starts, sizes = flat(column)
+        values = values.to_numpy(zero_copy_only=False)
+        for d in np.unique(sizes):
+            at = np.flatnonzero(sizes == d)
+            m = values[starts[at][:, None] + np.arange(d)].astype(np.float64)
+            yield int(d), at, m / np.linalg.norm(m, axis=1, keepdims=True)
+
+    def best(q: np.ndarray, state: tuple, m: np.ndarray, places: np.ndarray) -> tuple:
+        """The state (query, place, score of what is kept; floor of each query) after further vectors."""
+        (who, at, score), floor = state
+        q4, m4 = q.astype(np.float32), m.astype(np.float32)
+        for lo in range(0, len(m4), _TILE // 2):
+            cos = q4 @ m4[lo : lo + _TILE // 2].T
+            bound = floor
+            if not np.isfinite(floor).all() and cos.shape[1] > keep:
+                bound = np.maximum(floor, np.partition(cos, -keep, axis=1)[:, -keep])
+            row, col = np.divmod(np.flatnonzero(cos >= (bound - _SLACK).astype(np.float32)[:, None]), cos.shape[1])
+            if not len(row):
+                continue
+            exact = np.round(np.einsum("ij,ij->i", q[row], m[lo + col]), 9)
+            use = exact >= floor[row] if least is None else exact >= np.maximum(floor[row], least)
+            who, at, score = (np.concatenate(x) for x in ((who, row[use]), (at, places[lo + col[use]]), (score, exact[use])))
+            order = np.lexsort((at, -score, who))
+            who, at, score = who[order], at[order], score[order]
+            rank = np.arange(len(who)) - np.searchsorted(who, who)
+            last = rank == keep - 1
+            floor = floor.copy()
+            floor[who[last]] = score[last]
+            who, at, score = (x[rank < keep] for x in (who, at, score))
+        return (who, at, score), floor
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, _TILE):
+                b, before, ids = whole.slice(first, _TILE), 0, []
+                asked_ = list(lengths(b.column("v")))
+                states = {d: ((np.zeros(0, int), np.zeros(0, int), np.zeros(0)), np.full(len(q), -np.inf)) for d, _, q in asked_}
+                for one in read:
+                    t = one()
+                    if not t.num_rows:
+                        continue
+                    there = {d: (at, m) for d, at, m in lengths(t["v"])}
+                    for d, _, q in asked_:
+                        if d in there:
+                            states[d] = best(q, states[d], there[d][1], there[d][0] + before)
+                    ids.append(t["id"].combine_chunks())
+                    before += t.num_rows
+                for d, own, _ in asked_:
+                    who, at, score = states[d][0]
+                    if len(who):
+                        q, found = b.column("query_id").take(pa.array(own[who])), pa.concat_arrays(ids).take(pa.array(at))
+                        out = pa.record_batch([q, found, pa.array(score)], names=["query_id", "id", "score"])
+                        yield out.filter(pc.not_equal(q.cast(pa.string()), found.cast(pa.string()))) if exclude_self else out
+
+    found = asked.repartition(max(1, -(-n // _TILE)), "query_id").mapInArrow(run, f"query_id {types[0]}, id {types[1]}, score double")
+    return top_k(found, ["query_id"], [F.desc("score"), F.col("id")], k)
+
+
 def _scan(rows: DataFrame, queries: list, types: tuple[str, str], k: int, exclude_self: bool, least: float | None):
     by_kind: dict[tuple[int, str], tuple[list, list]] = {}
     for q, v, g in queries:
