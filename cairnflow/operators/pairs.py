@@ -66,10 +66,11 @@ class _Counts:
 
 
 def sharing(
-    rows: DataFrame, least: int, share: float = 0.0, without: DataFrame | None = None, test: tuple[Prepare, Keep] | None = None
+    rows: DataFrame, least: int, share: float = 0.0, without: DataFrame | None = None, test: tuple[Prepare, Keep] | None = None, latter: bool = False
 ) -> DataFrame:
     """``a, b, shared`` (a < b) of rows (``id``, distinct elements ``cs``) that share at least ``least`` elements and the ``share``
-    of the longer list, but not the pairs ``without`` (a, b with a < b); ``test`` may read further columns.
+    of the longer list, but not the pairs ``without`` (a, b with a < b); ``test`` may read further columns.  With ``latter`` only
+    ``b``, the rows that make a pair with a smaller id, each at least once.
 
     The rows are cut into ranges of ids of about ``PAIR_BLOCK``.  Each range is read by all tasks and held against all rows
     up to it; the counts of a row are sums of the bits of its elements, so candidates are never written nor moved: only
@@ -81,12 +82,12 @@ def sharing(
     kept, parts = in_parts(rows, "pair-rows", ["id"], PAIR_BLOCK)
     out = None
     for k, block in enumerate(parts):
-        found = _held(kept.filter(F.col("_part") <= k), block, least, share, without is not None, test)
+        found = _held(kept.filter(F.col("_part") <= k), block, least, share, without is not None, test, latter)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _held(rows: DataFrame, block: Callable[[], pa.Table], least: int, share: float, excluding: bool, test: tuple[Prepare, Keep] | None) -> DataFrame:
+def _held(rows: DataFrame, block: Callable[[], pa.Table], least: int, share: float, excluding: bool, test: tuple[Prepare, Keep] | None, latter: bool) -> DataFrame:
     kind = dict(rows.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +97,7 @@ def _held(rows: DataFrame, block: Callable[[], pa.Table], least: int, share: flo
         names, counts = heads["id"].to_pylist(), _Counts(heads["cs"])
         place = {x: i for i, x in enumerate(names)} if excluding else {}
         own = test[0](heads) if test else None
-        ids = heads["id"].combine_chunks()
+        ids, hit = heads["id"].combine_chunks(), np.zeros(len(names), bool)
 
         def pairs(b: pa.RecordBatch, of: list) -> pa.RecordBatch:
             at = np.concatenate([x[1] for x in of])
@@ -123,7 +124,9 @@ def _held(rows: DataFrame, block: Callable[[], pa.Table], least: int, share: flo
                     at = at[count[at] >= share * counts.sizes[at + lo] - 1e-9]
                 if test and len(at):
                     at = at[test[1](mine, i, own, at + lo)]
-                if len(at):
+                if latter:
+                    hit[at + lo] = True
+                elif len(at):
                     gathered.append((i, at + lo, count[at]))
                     n += len(at)
                 if n >= _FLUSH:
@@ -131,5 +134,7 @@ def _held(rows: DataFrame, block: Callable[[], pa.Table], least: int, share: flo
                     gathered, n = [], 0
             if gathered:
                 yield pairs(b, gathered)
+        if latter:
+            yield pa.record_batch([ids.filter(pa.array(hit))], names=["b"])
 
-    return rows.mapInArrow(run, f"a {kind}, b {kind}, shared long")
+    return rows.mapInArrow(run, f"b {kind}" if latter else f"a {kind}, b {kind}, shared long")
