@@ -30,6 +30,13 @@ def _expected(t):
     return t("retrieval_feedback").filter("feedback = 'helpful'").select("query_id", F.explode("retrieved_memory_ids").alias("id"))
 
 
+def _scored(t):
+    """The queries of which an answer is expected; no other one has a row of metrics, so no other one need be answered.
+
+    They are written, else the optimizer moves what is computed of them below the join."""
+    return materialize(_queries(t).join(_expected(t).select("query_id").distinct(), "query_id", "left_semi"), "scored-queries")
+
+
 @query(f"WITH {_BM25}, r AS (SELECT query_id, doc_id AS id, rank FROM fts), {_EXPECTED}, {_METRICS.format(ranked='r')} SELECT * FROM metrics")
 def eval_text(t):
     return V.query_scores(retrieval.candidates(t("memories"), _queries(t))[0], _expected(t))
@@ -42,7 +49,8 @@ def eval_vector(t):
 
 @query(f"{_ALL}, r AS (SELECT query_id, id, rank FROM ranked WHERE rank <= 7), {_EXPECTED}, {_METRICS.format(ranked='r')} SELECT * FROM metrics")
 def eval_full(t):
-    out = retrieval.retrieve(t("memories"), t("associations"), t("retrieval_feedback"), _queries(t), AS_OF)
+    known = retrieval.index(t("memories"))  # else the vectors are computed for their count, for the ranges of their parts and for the parts
+    out = retrieval.retrieve(known, t("associations"), t("retrieval_feedback"), _scored(t), AS_OF)
     return V.query_scores(out, _expected(t))
 
 
