@@ -36,6 +36,15 @@ def prune(edges: DataFrame, least: float) -> DataFrame:
     return edges.filter(F.col("strength") >= least)
 
 
+def links(edges: DataFrame) -> DataFrame:
+    """What activation spreads over: each edge from either end with the weight of its relation, written once for any number of calls."""
+    both = undirected(edges).select(
+        "node", "other", "strength", F.coalesce("activation_count", F.lit(0)).alias("count"),
+        X.weight_of(F.col("relation_type"), W.RELATION_WEIGHTS, 1.0).alias("weight"),
+    )
+    return materialize(both, "links")
+
+
 def spread_activation(
     entries: DataFrame,
     edges: DataFrame,
@@ -44,7 +53,7 @@ def spread_activation(
     decay: float = 0.7,
     threshold: float = 0.1,
 ) -> DataFrame:
-    """Activation that spreads from entry points over undirected edges.
+    """Activation that spreads from entry points over undirected ``edges``, or their ``links``.
 
     ``entries``: keys, ``id, activation``.  At hop h a node passes ``activation * strength *
     decay^(h + 1) * weight of the relation`` to each neighbour if that is above ``threshold``;
@@ -55,13 +64,7 @@ def spread_activation(
     A bounded number of hops, each a join and a group-by on the frontier.  The state is written
     between hops: it is read twice, and a plan that repeats itself would double with every hop.
     """
-    links = materialize(
-        undirected(edges).select(
-            "node", "other", "strength", F.coalesce("activation_count", F.lit(0)).alias("count"),
-            X.weight_of(F.col("relation_type"), W.RELATION_WEIGHTS, 1.0).alias("weight"),
-        ),
-        "links",
-    )
+    over = edges if "node" in edges.columns else links(edges)
     state = entries.select(
         *keys, "id", F.col("activation").cast("double").alias("activation"),
         F.lit(0).cast("long").alias("activation_count"), F.lit(None).cast("int").alias("hop"), F.lit(True).alias("fresh"),
@@ -75,7 +78,7 @@ def spread_activation(
         offer = F.round(F.col("activation") * F.col("strength") * (decay ** (h + 1)) * F.col("weight"), 12)
         offers = (
             state.filter("fresh")
-            .join(links, F.col("id") == F.col("node"))
+            .join(over, F.col("id") == F.col("node"))
             .select(*keys, F.col("other").alias("id"), F.struct(offer.alias("p"), F.col("count").alias("c")).alias("o"))
             .filter(F.col("o.p") > threshold)
             .groupBy(*keys, "id")

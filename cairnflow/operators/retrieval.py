@@ -235,10 +235,16 @@ def retrieve(
     entries = merge_entry_points(text, vector, ["query_id"], s)
     if ranges is not None:
         entries = inject(entries, in_range(memories, ranges, s.max_results))
-    spread = materialize(
-        graph.spread_activation(entries, edges, ["query_id"], s.hops, s.decay, s.threshold), "activated"
-    )
-    scored = spread.join(memories.drop("embedding"), "id").join(feedback_scores(feedback), "id", "left")
+    return ranked(entries, memories, edges, feedback_scores(feedback), as_of, s, diverse, **filters)
+
+
+def ranked(
+    entries: DataFrame, memories: DataFrame, edges: DataFrame, rated: DataFrame, as_of: str, s: Settings = Settings(), diverse: bool = False, **filters
+) -> DataFrame:
+    """``retrieve`` from the entry points (``query_id, id, activation``) on: spread over ``edges`` or their ``graph.links``, scored
+    with the ``feedback_scores`` ``rated``, filtered and cut."""
+    spread = graph.spread_activation(entries, edges, ["query_id"], s.hops, s.decay, s.threshold)
+    scored = spread.join(memories.drop("embedding"), "id").join(rated, "id", "left")
     scored = scored.withColumn("context_boost", F.lit(0.0)).withColumn("score", F.round(rank_score(as_of), 9))
     kept = post_filter(scored, **filters)
     best = search.top_k(

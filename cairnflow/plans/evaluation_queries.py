@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairnflow.functions import exprs as X
-from cairnflow.operators import evaluation as V, retrieval, search
+from cairnflow.operators import evaluation as V, graph, retrieval, search
 from cairnflow.plans.registry import AS_OF, Registry
 from cairnflow.plans.retrieval_queries import _ALL, _BM25, _VEC
-from cairnflow.sources.tables import materialize
+from cairnflow.sources.tables import materialize, release, scratch
 
 _R = Registry()
 query, QUERIES, SQL = _R.query, _R.QUERIES, _R.SQL
@@ -101,24 +101,37 @@ SWEEP = {"hops": (0, 1), "alpha": (0.4, 0.8), "both_bonus": (0.0,), "decay": (0.
 def parameter_sweep(t):
     """One parameter at a time: each value's metrics less those of the defaults, and their composite.
 
-    The index of the memories is built once and read by every run."""
+    What every run reads is built once: the candidates of the queries (which only the limits of the lists change, and
+    behind which the index goes), the links and the ratings.  A run merges, spreads and ranks; it leaves five numbers and nothing on disk."""
     system = V.system_metrics(t("memories"), _labels(t))
-    known = retrieval.index(t("memories"))
+    asked = materialize(_scored(t).withColumn("n", F.monotonically_increasing_id()), "numbered-queries")  # shorter keys
+    want = materialize(_expected(t).distinct().join(asked.select("query_id", "n"), "query_id").select(F.col("n").alias("query_id"), "id"), "expected")
+    asked = asked.select(F.col("n").alias("query_id"), "query_text")
+    spark, found = asked.sparkSession, {}
+    links, rated = graph.links(t("associations")), materialize(retrieval.feedback_scores(t("retrieval_feedback")), "rated")
+    names = ["ndcg", "precision", "mrr", *system.columns]
+
+    def candidates(s):
+        limits = s.text_limit, s.vector_limit
+        if limits not in found:
+            with scratch(spark) as kept:
+                kept += [materialize(x, "candidates") for x in retrieval.candidates(retrieval.index(t("memories")), asked, s)]
+            found[limits] = kept
+        return found[limits]
 
     def means(s):
-        r = retrieval.retrieve(known, t("associations"), t("retrieval_feedback"), _queries(t), AS_OF, s)
-        return V.query_scores(r, _expected(t)).agg(*[F.avg(c).alias(c) for c in ("ndcg", "precision", "mrr")]).crossJoin(system)
-
-    base = materialize(means(retrieval.Settings()), "sweep")
-    old = base.select(*[F.col(c).alias(f"_{c}") for c in base.columns])
-    out = None
-    for name, values in SWEEP.items():
-        for value in values:
-            new = means(retrieval.Settings(**{name: value})).crossJoin(F.broadcast(old))  # one row each
-            delta = new.select(*[(F.col(c) - F.col(f"_{c}")).alias(c) for c in base.columns])
-            row = V.composite(delta).select(F.lit(name).alias("parameter"), F.lit(float(value)).alias("value"), *[F.round(c, 6).alias(c) for c in base.columns], F.round("composite", 6).alias("composite"))
-            out = row if out is None else out.unionByName(row)
-    return out
+        text, vector = candidates(s)
+        release(spark)
+        with scratch(spark):
+            r = retrieval.ranked(retrieval.merge_entry_points(text, vector, ["query_id"], s), t("memories"), links, rated, AS_OF, s)
+            return tuple(V.query_scores(r, want).agg(*[F.avg(c) for c in names[:3]]).first())
+
+    system = tuple(system.first())
+    runs = [(name, float(value), *means(retrieval.Settings(**{name: value})), *system) for name, values in SWEEP.items() for value in values]
+    new = spark.createDataFrame(runs, ", ".join(["parameter string, value double", *(f"{c} double" for c in names)]))
+    old = dict(zip(names, (*means(retrieval.Settings()), *system)))
+    delta = V.composite(new.select("parameter", "value", *[(F.col(c) - F.lit(old[c])).alias(c) for c in names]))
+    return delta.select("parameter", "value", *[F.round(c, 6).alias(c) for c in names], F.round("composite", 6).alias("composite"))
 
 
 @query(

@@ -1,6 +1,9 @@
 import datetime as dt
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from cairnflow.operators import evaluation, retrieval
 from cairnflow.plans import evaluation_queries as E
 from cairnflow.plans.registry import AS_OF
@@ -37,3 +40,23 @@ def test_eval_full_answers_what_is_scored(spark, monkeypatch):
     (known, queries), = asked
     assert {r.query_id for r in queries.collect()} == scored  # 8 of 30
     assert known["vectors"].inputFiles()  # written once
+
+
+def test_sweep_finds_candidates_once(spark, monkeypatch):
+    t, scored = _tables(spark)
+    names = ["ndcg", "precision", "mrr"]
+
+    def means(s):
+        every = retrieval.retrieve(t("memories"), t("associations"), t("retrieval_feedback"), E._queries(t), AS_OF, s)
+        return evaluation.query_scores(every, E._expected(t)).agg(*[F.avg(c) for c in names]).first()
+
+    base = means(retrieval.Settings())
+    monkeypatch.setattr(E, "SWEEP", {"hops": (0, 1), "alpha": (0.1,), "decay": (0.2,), "threshold": (0.6,), "text_limit": (2,)})
+    want = {(name, float(v)): [round(x - y, 6) for x, y in zip(means(retrieval.Settings(**{name: v})), base)] for name, vs in E.SWEEP.items() for v in vs}
+    asked, keep = [], retrieval.candidates
+    monkeypatch.setattr(retrieval, "candidates", lambda m, q, *rest: asked.append(q.count()) or keep(m, q, *rest))
+    got = E.parameter_sweep(t).collect()
+    assert {(r.parameter, r.value): pytest.approx([r[c] for c in names], abs=2e-6) for r in got} == want
+    assert len({tuple(x) for x in want.values()}) > 3
+    assert all(r.noise_suppression == r.signal_retention == 0 and r.composite == pytest.approx(0.3 * r.ndcg + 0.2 * r.precision + 0.2 * r.mrr, abs=2e-6) for r in got)
+    assert asked == [len(scored)] * 2  # the defaults' and the shorter list's
