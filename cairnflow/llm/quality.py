@@ -20,6 +20,7 @@ import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -60,6 +61,7 @@ def _ranks(words: str) -> dict[str, int]:
 _BAND_OF = {k: _ranks(v) for k, v in FUNCTION_WORDS.items()}
 _WORDS_OF = {k: frozenset(v) for k, v in _BAND_OF.items()}
 _ANY_FUNCTION_WORD = frozenset().union(*_WORDS_OF.values())
+_LANGUAGES_OF = {w: [k for k in FUNCTION_WORDS if w in _WORDS_OF[k]] for w in _ANY_FUNCTION_WORD}
 
 
 def _band_shares(bands: dict[str, int]) -> list[float]:
@@ -94,16 +96,34 @@ CLASS_LIMIT, CLASS_CHARS = 0.20, 40
 REPETITION, REPETITION_CHARS = 0.13, 200
 
 _WORD = re.compile(r"[^\W_]+")
+_NOT_ASCII = re.compile(r"[^\x00-\x7f]")
+#: Bytes of UTF-8 with ASCII signs turned into blanks and ASCII capitals into small letters.
+_SPACED = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256)).lower()
 _MARK = re.compile(r"\s*(?:[-*•–—+·▪◦‣►○●✓✗]|\d{1,3}[.)]|[A-Za-z][.)]|[ivxIVX]{1,5}[.)]|\(\w{1,3}\)|\[[ xX]\])\s+(?=\S)")
 _RULE = re.compile(r"\s*[|+:][-+=|: ]{3,}[|+:]?\s*|\s*[-=]{3,}(?:\s+[-=]{3,})+\s*")
 _RULED = re.compile(r"^[|+][-=+|: ]{6,}[|+]$", re.M)
 _GAPS = re.compile(r"(?<=\S) {2,}(?=\S)")
 _QUOTED = re.compile(r'"[^"\n]*"')
-_ENDS = re.compile(r"[.!?…:;,。！？](?:[\"'”’»)\]]*)\s*$")
+_ENDS, _CLOSING = tuple(".!?…:;,。！？"), "\"'”’»)]"
 _HEADING = re.compile(r"\s*#{1,6}\s")
 _INNER_STOP = re.compile(r"[.!?] +[A-ZÀ-Þ]")
 _SENTENCE = re.compile(r"[.!?:;…]\s*$")
 _LATIN1_DEBRIS = re.compile(r"[ÃÂâ][\x80-\xbf€-™¡-¿]|�|[─-▟]|[\x00-\x08\x0e-\x1f\x7f-\x9f]")
+_DEBRIS_OPENS = re.compile(r"[ÃÂâ�─-▟\x00-\x08\x0e-\x1f\x7f-\x9f]")
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a text: the runs of letters and digits, in small letters."""
+    if text.isascii():
+        return text.encode().translate(_SPACED).decode().split()
+    lower = text.lower()
+    signs = [c for c in set(_NOT_ASCII.findall(lower)) if not c.isalnum()]
+    if len(signs) > 32:
+        return _WORD.findall(lower)
+    lower = lower.encode("utf-8", "surrogatepass").translate(_SPACED).decode("utf-8", "surrogatepass")
+    for c in signs:
+        lower = lower.replace(c, " ")
+    return lower.split()
 
 
 def divergence(p: list[float], q: list[float]) -> float:
@@ -155,20 +175,26 @@ def _vowel_or_consonant(c: str) -> int:
     return 0 if not ("a" <= base <= "z") else 1 if base in "aeiouy" else 2
 
 
-_VOWELS = np.array([_vowel_or_consonant(chr(c)) for c in range(0x250)] + [0], np.int64)
+_VOWELS = np.array([_vowel_or_consonant(chr(c)) for c in range(0x250)] + [0], np.uint8)
+_ASCII_VOWELS = _VOWELS[:128].tobytes() + bytes(128)
+
+
+@lru_cache(maxsize=65536)
+def _folded(code: int) -> tuple[int, int]:
+    """(class, place of the letter without accents in a to z, else a number outside) of a character."""
+    c = chr(code)
+    return _class_of(c), ord(unicodedata.normalize("NFD", c.lower())[:1]) - 97
 
 
 def count_characters(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(characters of each class, letters a to z with accents folded)."""
-    codes = _codes(text)
-    plain = codes < 128
-    ascii_ = np.bincount(codes[plain], minlength=128)
+    ascii_ = np.bincount(np.frombuffer(text.encode("ascii", "ignore"), np.uint8), minlength=128)
     classes, letters = _ASCII_CLASSES @ ascii_, ascii_[97:123] + ascii_[65:91]
-    if not plain.all():
-        for code, k in Counter(codes[~plain].tolist()).items():
-            c = chr(code)
-            classes[_class_of(c)] += k
-            at = ord(unicodedata.normalize("NFD", c.lower())[:1]) - 97
+    if not text.isascii():
+        codes = _codes(text)
+        for code, k in Counter(codes[codes > 127].tolist()).items():
+            kind, at = _folded(code)
+            classes[kind] += k
             if 0 <= at < 26:
                 letters[at] += k
     return classes, letters
@@ -176,24 +202,34 @@ def count_characters(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 def letter_divergence(letters: np.ndarray) -> tuple[float, str, int]:
     """(divergence from the nearest language, that language, number of letters)."""
-    n = int(letters.sum())
+    n = int(np.add.reduce(letters))
     if not n:
         return 1.0, "", 0
     p = letters / n
-    m = (_LETTER_ROWS + p) / 2
+    m = _LETTER_ROWS + p
+    m /= 2
     own = p[p > 0]
     # the divergence is the entropy of the mixture less the mean of the entropies
-    far = (m * -np.log2(m)).sum(axis=1) - (_LETTER_ENTROPY - (own * np.log2(own)).sum()) / 2
+    far = np.add.reduce(m * -np.log2(m), axis=1) - (_LETTER_ENTROPY - np.add.reduce(own * np.log2(own))) / 2
     k = int(far.argmin())
     return max(0.0, float(far[k])), _LANGUAGES[k], n
 
 
+def letters_are_near(letters: np.ndarray, n: int) -> bool:
+    """Whether ``n`` letters are within all letter limits for certain: half the triangular discrimination is never below the divergence."""
+    if not n:
+        return True
+    expected = n * _LETTER_ROWS[0]
+    apart = letters - expected
+    return float(np.add.reduce(apart * apart / (letters + expected))) / 2 < WORDLESS_LIMIT * n + WORDLESS_GRACE
+
+
 def class_shares(classes: np.ndarray) -> list[float]:
     """Shares of small and capital letters, digits, blanks, ordinary punctuation, joining and other signs."""
     small, capital, *rest = classes.tolist()
     if capital > 3 * small:  # a text in capitals
         small, capital = capital, small
-    n = sum(classes.tolist()) or 1
+    n = small + capital + sum(rest) or 1
     return [x / n for x in (small, capital, *rest)]
 
 
@@ -202,7 +238,8 @@ def is_noise(text: str) -> bool:
     if _broken(text, 25):
         return True
     classes, letters = count_characters(text)
-    far, _, n = letter_divergence(letters)
+    n = int(np.add.reduce(letters))
+    far = 0.0 if letters_are_near(letters, n) else letter_divergence(letters)[0]
     if n >= 8 and far > LETTER_LIMIT + LETTER_GRACE / n or is_wordless(text, far, n):
         return True
     return len(text) >= CLASS_CHARS and divergence(class_shares(classes), _CHARACTERS) > CLASS_LIMIT
@@ -212,42 +249,45 @@ def is_wordless(text: str, far: float, n: int) -> bool:
     """Whether a piece of ``n`` letters has letters, or an order of letters, far from language and no function words either."""
     if not n or far <= WORDLESS_LIMIT + WORDLESS_GRACE / n and order_divergence(text) <= ORDER_LIMIT + ORDER_GRACE / n:
         return False
-    count = Counter(_WORD.findall(text.lower()))
+    count = Counter(words_of(text))
     total = max(sum(count.values()), n // LETTERS_A_WORD)
     return all(word_divergence(count, k, total) > WORD_LIMIT for k in _LANGUAGES)
 
 
 def order_divergence(text: str) -> float:
     """Divergence of the pairs of letters inside words, told by whether vowel and consonant alternate, from those of language."""
-    kinds = _VOWELS[np.minimum(_codes(text), len(_VOWELS) - 1)]
-    a, b = kinds[:-1], kinds[1:]
-    pairs = np.bincount(a * 3 + b, minlength=9).tolist()
-    change, same = pairs[5] + pairs[7], pairs[4] + pairs[8]
-    if not change + same:
+    if text.isascii():
+        kinds = text.encode().translate(_ASCII_VOWELS)
+    else:
+        kinds = _VOWELS[np.minimum(_codes(text), len(_VOWELS) - 1)].tobytes()
+    change = kinds.count(b"\1\2") + kinds.count(b"\2\1")
+    runs = kinds.count(b"\0\1") + kinds.count(b"\0\2") + (kinds[:1] > b"\0")
+    pairs = len(kinds) - kinds.count(b"\0") - runs
+    if not pairs:
         return 0.0
-    share = change / (change + same)
+    share = change / pairs
     return divergence([share, 1 - share], ALTERNATION) if share < ALTERNATION[0] else 0.0
 
 
 def _broken(text: str, one_in: int) -> bool:
     """Whether more than one of so many characters shows a broken encoding."""
-    return not text.isascii() and len(_LATIN1_DEBRIS.findall(text)) * one_in > len(text)
+    return not text.isascii() and bool(_DEBRIS_OPENS.search(text)) and len(_LATIN1_DEBRIS.findall(text)) * one_in > len(text)
 
 
-def is_symbols(text: str) -> bool:
+def is_symbols(classes: np.ndarray) -> bool:
     """Whether hardly any letter or digit stands among the signs."""
-    small, capital, digits, blanks, *_ = class_shares(count_characters(text)[0])
+    small, capital, digits, blanks, *_ = class_shares(classes)
     return small + capital + digits < 0.25 * (1 - blanks)
 
 
 def _separators(line: str) -> dict[str, int]:
-    bare = _QUOTED.sub("", line)
+    bare = _QUOTED.sub("", line) if '"' in line else line
     return {
         "|": bare.count("|"),
         "\t": bare.count("\t"),
         ";": bare.count(";"),
         ",": bare.count(","),
-        "  ": len(_GAPS.findall(bare.strip())),
+        "  ": len(_GAPS.findall(bare.strip())) if "  " in bare else 0,
     }
 
 
@@ -264,9 +304,10 @@ def matter(text: str) -> dict[str, tuple[int, int]]:
             paragraph += 1
     opened = [x for x, kind, _ in lines if not kind]
     grid = _grid(opened)
-    blobs = "\n".join(x for x in opened if _blob(x))
-    far, _, n = letter_divergence(count_characters(blobs)[1])
-    wordless = is_wordless(blobs, far, n)  # together they tell more than one by one
+    wordless = False
+    if blobs := "\n".join(x for x in opened if _blob(x)):
+        far, _, n = letter_divergence(count_characters(blobs)[1])
+        wordless = is_wordless(blobs, far, n)  # together they tell more than one by one
     kinds, k = [], -1
     for line, kind, para in lines:
         if not kind:
@@ -279,7 +320,7 @@ def matter(text: str) -> dict[str, tuple[int, int]]:
                 kind = "heading"
             elif _blob(line) and (wordless or is_noise(line)):
                 kind = "prose"  # counted as noise below
-            elif len(line.split()) <= 6 and not _SENTENCE.search(line) and not _function_words(line):
+            elif _at_most(line, 6) and not _SENTENCE.search(line) and not _function_words(line):
                 kind = "short"
             else:
                 kind = "prose"
@@ -306,16 +347,22 @@ def matter(text: str) -> dict[str, tuple[int, int]]:
     return {k: tuple(v) for k, v in out.items()}
 
 
+def _at_most(line: str, words: int) -> bool:
+    return len(line.split(None, words)) <= words
+
+
 def _blob(line: str) -> bool:
-    return len(line) >= 60 and len(line.split()) <= 3
+    return len(line) >= 60 and _at_most(line, 3)
 
 
 def _grid(lines: list[str]) -> set[int]:
     """The lines that are rows of cells: the same separator, equally often, in most of them."""
-    counts = [_separators(x) for x in lines]
     grid: set[int] = set()
+    if len(lines) < 3:
+        return grid
+    counts = [_separators(x) for x in lines]
     for sep in ("|", "\t", ";", ",", "  "):
-        have = Counter(c[sep] for c in counts if c[sep])
+        have = Counter([c[sep] for c in counts if c[sep]])
         if not have:
             continue
         modal, rows = max(have.items(), key=lambda x: (x[1], x[0]))
@@ -335,27 +382,29 @@ def _grid(lines: list[str]) -> set[int]:
 
 
 def _cells_are_noise(text: str) -> bool:
-    far, _, n = letter_divergence(count_characters(text)[1])
-    return _broken(text, 8) or is_symbols(text) or n >= 40 and far > 0.3 + LETTER_GRACE / n
+    classes, letters = count_characters(text)
+    far, _, n = letter_divergence(letters)
+    return _broken(text, 8) or is_symbols(classes) or n >= 40 and far > 0.3 + LETTER_GRACE / n
 
 
 def _function_words(line: str) -> bool:
     return bool(_INNER_STOP.search(line)) or any(
-        w in _ANY_FUNCTION_WORD and len(w) > 1 for w in _WORD.findall(line.lower())
+        w in _ANY_FUNCTION_WORD and len(w) > 1 for w in words_of(line)
     )
 
 
 def _prose_like(line: str) -> bool:
-    w = [x for x in _WORD.findall(line.lower()) if len(x) > 1]
+    w = [x for x in words_of(line) if len(x) > 1]
     return len(w) >= 6 and sum(x in _ANY_FUNCTION_WORD for x in w) >= 0.12 * len(w)
 
 
 def word_shares(count: dict[str, int], language: str, n: int) -> list[float]:
     """Shares of the bands of function words and of all other words among ``n`` words, with ``PRIOR_WORDS`` of prose added."""
-    shares = [PRIOR_WORDS * PROSE_SHARE * q for q in _BAND_SHARES[language]]
-    bands = _BAND_OF[language]
-    for w in count.keys() & _WORDS_OF[language]:
-        shares[bands[w]] += count[w]
+    bands, found = _BAND_OF[language], [0] * len(BANDS)
+    for w, k in count.items():
+        if w in bands:
+            found[bands[w]] += k
+    shares = [PRIOR_WORDS * PROSE_SHARE * q + k for q, k in zip(_BAND_SHARES[language], found)]
     total = n + PRIOR_WORDS
     return [*(x / total for x in shares), 1 - sum(shares) / total]
 
@@ -386,29 +435,32 @@ def measure(text: str | None) -> tuple:
     """The statistics of one text, in the order of ``COLUMNS``."""
     if text is None or not text.strip():
         return (0, None, None, None, None, None, None, None, None, None)
-    words = _WORD.findall(text.lower())
+    words = words_of(text)
     n = len(words)
     classes, letters = count_characters(text)
     total, blanks = int(classes.sum()), int(classes[3])
     lines = [x for x in text.splitlines() if x.strip()]
     count = Counter(words)
-    known = {w: count[w] for w in _ANY_FUNCTION_WORD & count.keys()}
+    known = {w: k for w, k in count.items() if w in _ANY_FUNCTION_WORD}
     common = sum(known.values())
-    mine = {k: sum(known[w] for w in known.keys() & words_) for k, words_ in _WORDS_OF.items()}
+    mine = dict.fromkeys(FUNCTION_WORDS, 0)
+    for w, k in known.items():
+        for lang in _LANGUAGES_OF[w]:
+            mine[lang] += k
     best = max(mine, key=lambda k: (mine[k], k == "en"))
     far, nearest, n_letters = letter_divergence(letters)
-    spread = divergence(class_shares(classes), _CHARACTERS)
+    shares, bands = class_shares(classes), word_shares(known, best, n)
     return (
         n,
         sum(map(len, words)) / n if n else None,
         int(classes[4:].sum()) / (total - blanks),
-        sum(bool(_ENDS.search(x)) for x in lines) / len(lines),
+        sum(x.rstrip().rstrip(_CLOSING).endswith(_ENDS) for x in lines) / len(lines),
         common / n if n else None,
         (best if mine[best] else nearest) or None,
         far if n_letters else None,
-        spread,
-        word_divergence(known, best, n),
-        nearest_structure(matter_shares(text, count, n), class_shares(classes), word_shares(known, best, n), best),
+        divergence(shares, _CHARACTERS),
+        divergence(bands, _PROSE_WORDS[best]),
+        nearest_structure(matter_shares(text, count, n), shares, bands, best),
     )
 
 
@@ -435,11 +487,16 @@ def is_repetition(text: str, count: Counter, n: int) -> bool:
 
 def nearest_structure(forms: list[float], classes: list[float], words: list[float], language: str) -> str:
     """The profile with the least weighted sum of divergences of the three distributions."""
-
-    def distance(kind: str) -> float:
-        return sum(w * divergence(p, q) for w, p, q in zip(WEIGHTS, (forms, classes, words), _STRUCTURES[kind][language]))
-
-    return min(_STRUCTURES, key=distance)
+    nearest, least = "", math.inf
+    for kind, profile in _STRUCTURES.items():
+        matter_, *rest = profile[language]
+        parts = [WEIGHTS[0] * divergence(forms, matter_)]
+        if parts[0] >= least:  # the other two only add to it
+            continue
+        parts += (w * divergence(p, q) for w, p, q in zip(WEIGHTS[1:], (classes, words), rest))
+        if sum(parts) < least:
+            nearest, least = kind, sum(parts)
+    return nearest
 
 
 def text_quality(docs: DataFrame, doc_id: str, text: str) -> DataFrame:

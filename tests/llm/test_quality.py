@@ -129,3 +129,63 @@ def test_structure_is_the_nearest_profile():
     for kind in ("prose", "table"):
         _, classes, share = quality.PROFILES[kind]
         assert quality.nearest_structure(half, quality._normal(classes), quality.word_profile("de", share), "de") == kind
+
+
+def test_plain_prose_costs_few_divergences(monkeypatch):
+    calls = dict.fromkeys(("letter_divergence", "count_characters", "divergence"), 0)
+    for name in calls:
+
+        def counted(*args, name=name, real=getattr(quality, name)):
+            calls[name] += 1
+            return real(*args)
+
+        monkeypatch.setattr(quality, name, counted)
+    assert quality.measure("\n\n".join([f"{PROSE} {PROSE}"] * 3))[-1] == "prose"
+    # the letters of the text itself; the text and its three lines; two columns, six of profiles and one of each line
+    assert calls["letter_divergence"] == 1 and calls["count_characters"] == 4 and calls["divergence"] <= 11
+
+
+def _odd_texts():
+    rng = random.Random(9)
+    signs = list(" \t\n\"'|;,.!?…”’»)]}-_İßſΣς½²١中éüñ•ÃÂâ\x80€�─\x85\x0b\x1c\ud800")
+    for text in (PROSE, GERMAN, *(t for texts in CASES.values() for t in texts)):
+        for n in (0, 3, 40):
+            mixed = list(text)
+            for _ in range(n):
+                mixed.insert(rng.randrange(len(mixed) + 1), rng.choice(signs))
+            yield "".join(mixed)
+    yield from ("", " ", "\ud800", "a", "é", "-" * 90, "".join(map(chr, range(0x3000))))
+
+
+def test_shortcuts_give_what_the_definitions_give():
+    import re
+
+    vowel = quality._vowel_or_consonant
+    for text in _odd_texts():
+        assert quality.words_of(text) == re.findall(r"[^\W_]+", text.lower())
+        kinds = [vowel(c) if ord(c) < 0x250 else 0 for c in text]
+        pairs = [a != b for a, b in zip(kinds, kinds[1:]) if a and b]
+        share = sum(pairs) / len(pairs) if pairs else 1
+        far = quality.divergence([share, 1 - share], quality.ALTERNATION) if share < quality.ALTERNATION[0] else 0.0
+        assert quality.order_divergence(text) == far
+        classes, letters = quality.count_characters(text)
+        assert classes.tolist() == [sum(quality._class_of(c) == k for c in text) for k in range(7)]
+        for piece in (letters, letters // 9):
+            far, _, n = quality.letter_divergence(piece)
+            if n and quality.letters_are_near(piece, n):
+                assert far <= quality.WORDLESS_LIMIT + quality.WORDLESS_GRACE / n
+        for line in text.splitlines():
+            ends = bool(re.search(r"[.!?…:;,。！？](?:[\"'”’»)\]]*)\s*$", line))
+            assert ends == line.rstrip().rstrip(quality._CLOSING).endswith(quality._ENDS)
+
+
+def test_nearest_structure_is_the_least_of_all():
+    rng = random.Random(8)
+    for _ in range(300):
+        shares = [quality._normal([rng.random() ** 4 + 1e-9 for _ in range(n)]) for n in (4, 7, 4)]
+        language = rng.choice(list(quality.LETTERS))
+        every = {
+            kind: sum(w * quality.divergence(p, q) for w, p, q in zip(quality.WEIGHTS, shares, profile[language]))
+            for kind, profile in quality._STRUCTURES.items()
+        }
+        assert quality.nearest_structure(*shares, language) == min(every, key=every.get)
